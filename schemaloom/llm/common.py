@@ -65,3 +65,40 @@ def id_filter(df: DataFrame, ids: DataFrame, column: str, bits: int = 23) -> Dat
         .where("shiftrightunsigned(_b, cast(_slot & 63 as int)) & 1 = 1")
         .drop("_slot", "_w", "_b")
     )
+
+
+def labelled_ids(labels: DataFrame, column: str, bound: int, folds: int = 3, held_out: int = 1, seed: int = 0) -> DataFrame:
+    """(doc_id, label) of about ``bound`` labelled rows outside the held-out fold, chosen by hash; never many more, so it may be
+    broadcast. A doc_id with several labels counts once, with the largest; null labels and ids are left out.
+    """
+    rows = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
+        .where("doc_id is not null and label is not null")
+        .where(fold(F.col("doc_id"), folds) != held_out)
+        .groupBy("doc_id")
+        .agg(F.max("label").alias("label"))
+    )
+    n = max(rows.count(), 1)
+    share = min(1.0, bound / n)
+    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 24)) < int(share * (1 << 24)))
+
+
+def id_and_text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def logistic(x, y, penalty: float = 1e-2, steps: int = 40):
+    """Weights, the last one the intercept, of a penalised logistic fit by Newton's method; numpy arrays."""
+    import numpy as np
+
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    ridge = penalty * np.eye(len(w))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = x.T @ (x * (p * (1 - p))[:, None]) + ridge
+        step = np.linalg.solve(h, x.T @ (y - p) - penalty * w)
+        w += np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

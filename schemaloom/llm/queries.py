@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, packing, secrets, sharding
+from . import ann, packing, quality, secrets, sharding, toxicity, urls
 from .common import table
 
 
@@ -32,8 +32,22 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")), threshold=0.5)
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.train(urls.labelled_urls(spark)))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_ann, op4_packing, op5_sharding)}
+    return {f.__name__: f for f in (op1_secrets, op2_ann, op4_packing, op5_sharding, op6_quality, op7_urls, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
