@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors over hashed n-gram indicators.
 
-Indicators of byte trigrams, of words, of word pairs and of runs of a repeated word, hashed to ``2**BITS`` places, are scaled
-by the log ratio of their smoothed shares in the two classes; a linear hinge-loss model is fitted to them by dual
+Indicators of byte trigrams, of words and of word pairs, hashed to ``2**BITS`` places, and of class n-grams (bytes of a class, a
+word after itself) above some shares, are scaled by the log ratio of their smoothed shares in the two classes; a linear hinge-loss model is fitted to them by dual
 coordinate descent, and a logistic fit on a fifth of the rows that the descent hasn't seen turns margins into probabilities.
 At most about ``SAMPLE`` labelled rows outside the held-out fold are learnt from; every text is scored whole.
 
@@ -24,26 +24,34 @@ from .common import fold_py, id_and_text, labelled_ids, logistic
 BITS = 18
 SAMPLE = 4000
 _MIX = np.uint32(2654435761)
-
-
-def indicators(text: str) -> np.ndarray:
-    """The distinct places of a text's n-grams."""
-    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8).astype(np.uint32)
+#: Shares of a text's bytes or adjacent words above which an indicator of a class n-gram is set, and the byte classes.
+SHARES = (0.01, 0.02, 0.04, 0.08, 0.16, 0.32)
+CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?", b"#$%&*+/<=>@^_~|\\", b" ", bytes(range(128, 256)))
+_CLASS = np.zeros((256, len(CLASSES)), np.int64)
+for _i, _c in enumerate(CLASSES):
+    _CLASS[list(_c), _i] = 1
+SHAPES = len(SHARES) * (len(CLASSES) + 1)
+
+
+def indicators(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places of a text's n-grams, and those of its class n-grams (after the others)."""
+    raw = text.encode("utf-8", "replace")
+    data = np.frombuffer(raw, np.uint8)
+    shares = np.zeros(len(CLASSES) + 1)
     found = []
+    if len(data):
+        shares[:-1] = np.bincount(data, minlength=256) @ _CLASS / len(data)
     if len(data) >= 3:
-        found.append((data[:-2] << 16 | data[1:-1] << 8 | data[2:]) + np.uint32(1))
-    words = np.fromiter(map(zlib.crc32, text.encode("utf-8", "replace").lower().split()), np.uint32)
+        wide = data.astype(np.uint32)
+        found.append((wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]) + np.uint32(1))
+    words = np.fromiter(map(zlib.crc32, raw.lower().split()), np.uint32)
     if len(words):
-        found.append(words * np.uint32(3) + np.uint32(7))
-        found.append(words[:-1] * np.uint32(31) + words[1:])
-        same = words[:-1] == words[1:]
-        if same.any():
-            run = same[:-1] & same[1:]
-            found.append(np.array([11] + [13] * bool(run.any()), np.uint32))
+        found += [words * np.uint32(3) + np.uint32(7), words[:-1] * np.uint32(31) + words[1:]]
+        shares[-1] = (words[:-1] == words[1:]).sum() / len(words)
+    shape = np.flatnonzero((shares[:, None] > np.array(SHARES)).ravel()) + (1 << BITS)
     if not found:
-        return np.zeros(0, np.int64)
-    hashed = (np.concatenate(found) * _MIX) >> np.uint32(32 - BITS)
-    return np.unique(hashed).astype(np.int64)
+        return np.zeros(0, np.int64), shape
+    return np.unique((np.concatenate(found) * _MIX) >> np.uint32(32 - BITS)).astype(np.int64), shape
 
 
 @dataclass(frozen=True)
@@ -53,25 +61,32 @@ class NbSvm:
     slope: float
     offset: float
 
+    def margin(self, row: tuple[np.ndarray, np.ndarray]) -> float:
+        grams, shape = row
+        return float(self.weights[grams].sum() / max(len(grams), 1) ** 0.5 + self.weights[shape].sum()) + self.bias
+
     def scores(self, texts: list[str]) -> list[float]:
-        margins = [float(self.weights[indicators(t)].sum()) + self.bias for t in texts]
-        return (1 / (1 + np.exp(-np.clip(self.slope * np.asarray(margins) + self.offset, -35, 35)))).tolist()
+        margins = np.array([self.margin(indicators(t)) for t in texts])
+        return (1 / (1 + np.exp(-np.clip(self.slope * margins + self.offset, -35, 35)))).tolist()
 
 
-def dual_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 12, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Hinge loss, L2 penalty: coordinate descent on the dual, a coordinate a row, rows in random order."""
+def dual_descent(rows: list, scale: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 20, seed: int = 0) -> tuple[np.ndarray, float]:
+    """Hinge loss, L2 penalty: coordinate descent on the dual, a coordinate a row, rows in random order. A row is its
+    places; n-grams are scaled to the length of their number's root."""
+    places = [np.concatenate(r) for r in rows]
+    values = [scale[p] * np.concatenate([np.full(len(r[0]), max(len(r[0]), 1) ** -0.5), np.ones(len(r[1]))]) for p, r in zip(places, rows)]
     w, b, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
-    norms = np.array([(scale[r] ** 2).sum() + 1.0 for r in rows])
+    norms = np.array([(v**2).sum() + 1.0 for v in values])
     random = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in random.permutation(len(rows)):
-            r = rows[i]
-            gradient = y[i] * ((w[r] * scale[r]).sum() + b) - 1
+            p, v = places[i], values[i]
+            gradient = y[i] * (w[p] @ v + b) - 1
             fresh = min(max(alpha[i] - gradient / norms[i], 0.0), cost[i])
             step = (fresh - alpha[i]) * y[i]
             if step:
-                w[r] += step * scale[r]
+                w[p] += step * v
                 b += step
                 moved = max(moved, abs(step))
                 alpha[i] = fresh
@@ -80,27 +95,27 @@ def dual_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost:
     return w * scale, b
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0) -> NbSvm:
+def fit(rows: list, labels: np.ndarray, cost: float = 1.0) -> NbSvm:
     """From the indicators of labelled texts; every fifth row is kept for the probabilities."""
+    width = (1 << BITS) + SHAPES
     if len(set(labels.tolist())) < 2:
         share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.5
-        return NbSvm(np.zeros(1 << BITS), 0.0, 0.0, float(np.log(share / (1 - share))))
+        return NbSvm(np.zeros(width), 0.0, 0.0, float(np.log(share / (1 - share))))
     kept = np.arange(len(rows)) % 5 == 0
     own = np.flatnonzero(~kept)
     if len(set(labels[own].tolist())) < 2 or len(set(labels[kept].tolist())) < 2:
         own, kept = np.arange(len(rows)), np.ones(len(rows), bool)
-    counts = {c: np.ones(1 << BITS) for c in (0, 1)}
+    counts = {c: np.ones(width) for c in (0, 1)}
     for i in own:
-        counts[int(labels[i])][rows[i]] += 1
+        for places in rows[i]:
+            counts[int(labels[i])][places] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    length = np.median([max(len(r), 1) for r in rows]) ** 0.5
-    ratio /= length  # margins then stay near one whatever the usual length
     y = np.where(labels[own] == 1, 1.0, -1.0)
-    share = (y > 0).mean()
-    weights, bias = dual_descent([rows[i] for i in own], ratio, y, cost * np.where(y > 0, 0.5 / share, 0.5 / (1 - share)))
-    margins = np.array([weights[rows[i]].sum() + bias for i in np.flatnonzero(kept)])
+    weights, bias = dual_descent([rows[i] for i in own], ratio, y, np.full(len(y), cost))
+    model = NbSvm(weights.astype(np.float32), float(bias), 1.0, 0.0)
+    margins = np.array([model.margin(rows[i]) for i in np.flatnonzero(kept)])
     slope, offset = logistic(margins[:, None], labels[kept].astype(float), penalty=0.05)
-    return NbSvm(weights.astype(np.float32), float(bias), float(slope), float(offset))
+    return NbSvm(model.weights, model.bias, float(slope), float(offset))
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int = SAMPLE) -> NbSvm:
@@ -108,12 +123,14 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: i
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [indicators(t).astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "found"])
+            found = [[x.astype("<u4").tobytes() for x in indicators(t)] for t in batch.column("text").to_pylist()]
+            columns = [pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *columns], ["doc_id", "label", "grams", "shape"])
 
-    rows = chosen.select("doc_id", "label", "text").mapInArrow(featured, "doc_id long, label int, found binary").collect()
+    rows = chosen.select("doc_id", "label", "text").mapInArrow(featured, "doc_id long, label int, grams binary, shape binary").collect()
     rows.sort(key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))  # the same order in every run
-    return fit([np.frombuffer(r["found"], "<u4").astype(np.int64) for r in rows], np.array([r["label"] for r in rows], int))
+    places = [tuple(np.frombuffer(r[c], "<u4").astype(np.int64) for c in ("grams", "shape")) for r in rows]
+    return fit(places, np.array([r["label"] for r in rows], int))
 
 
 def score(docs: DataFrame, model, threshold: float = 0.5, folds: int = 3, held_out: int = 1) -> DataFrame:
