@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, packing, quality, secrets, sharding, toxicity, urls
+from . import ann, lmscore, packing, quality, secrets, sharding, toxicity, urls
 from .common import table
 
 
@@ -46,8 +46,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.7)
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_ann, op4_packing, op5_sharding, op6_quality, op7_urls, op9_toxicity)}
+    return {f.__name__: f for f in (op1_secrets, op2_ann, op4_packing, op5_sharding, op6_quality, op7_urls, op9_toxicity, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
