@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, lmscore, packing, quality, secrets, sharding, toxicity, urls
+from . import ann, jaccard, lmscore, packing, quality, secrets, sharding, toxicity, urls
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search_table(table(spark, sf_dir, "embeddings"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -51,7 +55,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_ann, op4_packing, op5_sharding, op6_quality, op7_urls, op9_toxicity, op10_lm_score)}
+    return {f.__name__: f for f in (op1_secrets, op2_ann, op3_jaccard_join, op4_packing, op5_sharding, op6_quality, op7_urls, op9_toxicity, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
