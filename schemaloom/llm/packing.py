@@ -32,7 +32,7 @@ END_ID = 1
 ITEMS = 20_000
 ROUNDS = 6
 #: Entries of a worker's cache of encoded words; beyond it, it starts anew. No effect on results.
-CACHE = 400_000
+CACHE = 1_000_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _encoders: dict[int, "WordEncoder"] = {}
@@ -58,13 +58,27 @@ class WordEncoder:
         if len(self.known) > CACHE:
             self.known = {"": b""}
         known = self.known
-        missing = list({w for ws in words if ws for w in ws if w not in known})
-        for i in range(0, len(missing), 10_000):
-            part = missing[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
+        missing = {w for ws in words if ws for w in ws if w not in known}
+        if missing:
+            # a full stop or comma after a letter is always a token run of its own when it ends the word
+            ended = [w for w in missing if w[-1] in ".," and w[-2:-1].lower().isalpha()]
+            cores = {w[:-1] for w in ended}
+            self._learn([w for w in (missing.difference(ended) | cores | {".", ","}) if w not in known])
+            for w in ended:
+                known[w] = known[w[:-1]] + known[w[-1]]
         return [self.whole(t) if ws is None else b"".join(map(known.__getitem__, ws)) for t, ws in zip(texts, words)]
 
+    def _learn(self, words: list[str]) -> None:
+        known, model = self.known, self.tokenizer.model
+        plain = [w for w in words if w.isascii() and w.isalpha()]  # nothing to split or normalise but case
+        for w in plain:
+            known[w] = np.array([t.id for t in model.tokenize(w.lower())], "<u4").tobytes()
+        rest = list(set(words).difference(plain))
+        for i in range(0, len(rest), 10_000):
+            part = rest[i : i + 10_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[w] = np.array(e.ids, "<u4").tobytes()
+
 
 def _encoder(spec: str) -> WordEncoder:
     key = hash(spec)
