@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, jaccard, lmscore, packing, quality, secrets, sharding, toxicity, urls
+from . import ann, decontam, jaccard, lmscore, packing, quality, secrets, sharding, toxicity, urls
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.train(urls.labelled_urls(spark)))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.7)
@@ -55,7 +59,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_ann, op3_jaccard_join, op4_packing, op5_sharding, op6_quality, op7_urls, op9_toxicity, op10_lm_score)}
+    return {f.__name__: f for f in (op1_secrets, op2_ann, op3_jaccard_join, op4_packing, op5_sharding, op6_quality, op7_urls, op8_decontamination, op9_toxicity, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
