@@ -15,19 +15,16 @@ TOKENS = (("YYYY", "yyyy"), ("SSS", "SSS"), ("MM", "MM"), ("DD", "dd"), ("hh", "
 def instant(text: Column) -> Column:
     """The timestamp of a date-time, to the millisecond (cut, not rounded); null if it isn't one.
 
-    A time zone moves the local time, so nothing depends on which offsets Spark's own parser knows.
+    The offset moves the local time, so nothing depends on which zones Spark's own parser knows. The grammar fixes the first
+    19 characters' places; the cast checks the calendar and the clock.
     """
-    part = lambda i: F.regexp_extract(text, RFC3339, i)
-    number = lambda i: part(i).try_cast("int")
-    zone = part(8)
+    local = F.concat(F.substring(text, 1, 10), F.lit(" "), F.substring(text, 12, 8)).try_cast("timestamp_ntz")
+    zone = F.when(text.endswith("Z"), "+00:00").otherwise(F.right(text, F.lit(6)))
     hours, minutes = F.substring(zone, 2, 2).try_cast("int"), F.substring(zone, 5, 2).try_cast("int")
-    local = F.try_make_timestamp_ntz(number(1), number(2), number(3), number(4), number(5), number(6).cast("decimal(16,6)"))
-    shift = F.when(zone == "Z", F.lit(0)).otherwise((hours * 60 + minutes) * F.when(F.substring(zone, 1, 1) == "+", F.lit(-1)).otherwise(F.lit(1)))
-    in_range = (number(4) <= 23) & (number(5) <= 59) & (number(6) <= 59) & (number(1) >= 1) & ((zone == "Z") | ((hours <= 23) & (minutes <= 59)))
-    millis = F.rpad(F.substring(part(7), 1, 3), 3, "0").try_cast("int")
-    moved = local + F.make_dt_interval(mins=shift, secs=(F.coalesce(millis, F.lit(0)) / 1000).cast("decimal(18,6)"))
-    kept = (moved >= F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")) & (moved < F.lit("+10000-01-01 00:00:00").cast("timestamp_ntz"))
-    return F.when(text.rlike(RFC3339) & in_range & kept, moved)
+    shift = F.when((hours <= 23) & (minutes <= 59), (hours * 60 + minutes) * F.when(F.left(zone, F.lit(1)) == "+", -1).otherwise(1))
+    millis = F.rpad(F.regexp_extract(text, r"\.([0-9]{1,3})", 1), 3, "0").try_cast("int")
+    moved = local + F.make_dt_interval(mins=shift, secs=(millis / 1000).cast("decimal(18,6)"))
+    return F.when(text.rlike(RFC3339) & F.year(moved).between(1, 9999), moved)
 
 
 def canonical(text: Column) -> Column:
@@ -36,17 +33,17 @@ def canonical(text: Column) -> Column:
 
 def render(text: Column, pattern: str) -> Column:
     """The pattern's tokens replaced; letters other than T that are in no token are an error of the pattern."""
-    moment, parts, i = instant(text), [], 0
+    java, i = "", 0
     while i < len(pattern):
-        for token, java in TOKENS:
+        for token, letters in TOKENS:
             if pattern.startswith(token, i):
-                parts.append(F.lit("Z") if java is None else F.date_format(moment, java))
+                java += letters or "'Z'"
                 i += len(token)
                 break
         else:
             if pattern[i] != "T" and pattern[i].isascii() and pattern[i].isalpha():
                 raise fail(INVALID_DATE, f"unsupported date format token at index {i}")
-            parts.append(F.lit(pattern[i]))
+            java += "''" if pattern[i] == "'" else f"'{pattern[i]}'"
             i += 1
-    whole = F.concat(*parts) if parts else F.lit("")
-    return F.when(moment.isNotNull(), whole)
+    moment = instant(text)
+    return F.date_format(moment, java.replace("''", "") if "'" not in pattern else java) if java else F.when(moment.isNotNull(), "")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,12 +23,14 @@ from .expressions import Expr
 
 @dataclass(frozen=True)
 class Typed:
-    """A value with its error (None: it never has one) and its type; computed: a number made by arithmetic."""
+    """A value with its error (None: it never has one) and its type; computed: a number made by arithmetic; columns: the
+    fields of a document that is spread over the columns of a frame."""
 
     value: Column
     err: Column | None
     type: T.DataType
     computed: bool = False
+    columns: dict | None = None
 
     @property
     def code(self) -> Column:
@@ -48,6 +50,33 @@ class Scope:
     output: Typed | None = None
     current: tuple[Typed, ...] = ()
     present: object = None
+    binder: "Binder | None" = None
+
+
+class Binder:
+    """Names for intermediate results: columns of their own, a projection for each level of nesting. Without them an operand that
+    is checked, used and masked would be written out many times, and the whole would grow with a power of the depth.
+    """
+
+    def __init__(self, prefix: str):
+        self.prefix, self.levels, self.open = prefix, {}, []
+
+    def bind(self, c: Column, level: int) -> Column:
+        name = f"{self.prefix}{sum(map(len, self.levels.values()))}"
+        self.levels.setdefault(level, {})[name] = c
+        return F.col(name)
+
+    def note(self, level: int) -> None:
+        if self.open:
+            self.open[-1] = max(self.open[-1], level)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        for level in sorted(self.levels):
+            df = df.withColumns(self.levels[level])
+        return df
+
+    def names(self) -> list[str]:
+        return [n for own in self.levels.values() for n in own]
 
 
 def first(*errs: Column | None) -> Column | None:
@@ -75,7 +104,7 @@ def resolve(base: Typed, pointer: str, present=None) -> Typed:
             if part not in kind.names:
                 return broken(issues.SOURCE_PATH_NOT_FOUND, err)
             err = first(err, check(value.isNull(), issues.SOURCE_PATH_NOT_FOUND)) if n else err
-            value, kind = value[part], kind[part].dataType
+            value, kind = base.columns[part] if n == 0 and base.columns else value[part], kind[part].dataType
         elif isinstance(kind, T.ArrayType) and part.isascii() and part.isdigit():
             at = int(part)
             err = first(err, check(value.isNull() | (F.size(value) <= at), issues.SOURCE_PATH_NOT_FOUND))
@@ -93,7 +122,16 @@ def source(name: str, kind: T.DataType) -> Typed:
 
 
 def compile_expression(e: Expr, scope: Scope) -> Typed:
-    return _OPERATORS[e.op](e, scope)
+    binder = scope.binder
+    if binder is None:
+        return _OPERATORS[e.op](e, scope)
+    binder.open.append(0)
+    made = _OPERATORS[e.op](e, scope)
+    level = binder.open.pop() + (e.op not in ("get", "literal"))
+    if e.op not in ("get", "literal"):
+        made = replace(made, value=binder.bind(made.value, level), err=made.err if made.err is None else binder.bind(made.err, level))
+    binder.note(level)
+    return made
 
 
 def _get(e: Expr, s: Scope) -> Typed:
@@ -141,7 +179,7 @@ def _map(e: Expr, s: Scope) -> Typed:
     inner: list[Typed] = []
 
     def body(item: Column) -> Typed:
-        return compile_expression(e["expression"], replace(s, current=(*s.current, Typed(item, None, rows.type.elementType))))
+        return compile_expression(e["expression"], replace(s, binder=None, current=(*s.current, Typed(item, None, rows.type.elementType))))
 
     def value(item: Column) -> Column:
         inner.append(body(item))

@@ -89,23 +89,31 @@ class Mapping:
         invariants. Without schemas, their validations are left out.
         """
         document = _input(df, input_column)
-        made = self.compiled(Scope(document))
+        before, after = compiler.Binder("_b"), compiler.Binder("_a")
+        made = self.compiled(Scope(document, binder=before))
         none = F.expr(f"cast(array() as array<{ISSUE}>)")
         seen = _named(violations(document.value, document.type, source.resolved), issues.SOURCE_SCHEMA_VALIDATION) if source else none
-        out = df.withColumn("_source", seen).withColumn("err", F.when(F.size("_source") > 0, F.lit(issues.SOURCE_SCHEMA_VALIDATION)).otherwise(made.code))
-        out = out.withColumn("output", F.when(F.col("err").isNull(), made.value))
-        after = [none]
-        if target:
-            after.append(F.when(F.col("output").isNotNull(), _named(violations(F.col("output"), made.type, target.resolved), issues.TARGET_SCHEMA_VALIDATION)).otherwise(none))
-        scope = Scope(document, Typed(F.col("output"), None, made.type))
-        for check in self.checks:
+        out = before.apply(df).withColumns({"_source": seen, "_ran": made.code})
+        out = out.withColumn("err", F.when(F.size("_source") > 0, F.lit(issues.SOURCE_SCHEMA_VALIDATION)).otherwise(F.col("_ran")))
+        out = out.withColumn("output", F.when(F.col("err").isNull(), made.value)).drop(*before.names(), "_ran")
+        scope = Scope(document, Typed(F.col("output"), None, made.type), binder=after)
+        checked: dict[str, Column] = {}
+        for n, check in enumerate(self.checks):
             failed, unknown = invariants.holds(check, scope)
             said = F.when(failed, "failed").when(unknown, "could not be evaluated")
             row = F.struct(F.lit(issues.INVARIANT_FAILED).alias("code"), F.lit(check.id).alias("pointer"), said.alias("detail"))
-            after.append(F.when(F.col("output").isNotNull() & said.isNotNull(), F.array(row)).otherwise(none))
+            checked[f"_c{n}"] = F.when(F.col("output").isNotNull() & said.isNotNull(), F.array(row)).otherwise(none)
+        if target:
+            broken = _named(violations(F.col("output"), made.type, target.resolved), issues.TARGET_SCHEMA_VALIDATION)
+            checked = {"_t": F.when(F.col("output").isNotNull(), broken).otherwise(none)} | checked
+        out = after.apply(out).withColumns(checked) if checked else out
         rule = F.struct(F.col("err").alias("code"), F.lit("").alias("pointer"), F.lit("evaluation").alias("detail"))
         ran = F.when((F.size("_source") == 0) & F.col("err").isNotNull(), F.array(rule)).otherwise(none)
-        out = out.withColumn("issues", F.concat(F.col("_source"), ran, *after)).withColumn("err", F.coalesce("err", F.get(F.col("issues"), F.lit(0))["code"])).drop("_source")
+        out = out.withColumn("issues", F.concat(F.col("_source"), ran, *map(F.col, checked)))
+        code = F.coalesce("err", F.get(F.col("issues"), F.lit(0))["code"])
+        # Always true, but not for the optimiser: a filter on err would else be pushed down by writing out, level by level, all that
+        # err was made from, which grows without bound and could reach no scan anyway.
+        out = out.withColumn("err", F.when(F.spark_partition_id() >= 0, code)).drop("_source", *checked, *after.names())
         if mode == "report":
             return out
         if mode in ("ok", "quarantine"):
@@ -123,7 +131,8 @@ class Mapping:
 def _input(df: DataFrame, column: str | None) -> Typed:
     if column is not None:
         return Typed(F.col(column), None, df.schema[column].dataType)
-    return Typed(F.struct(*[F.col(f"`{c}`") for c in df.columns]), None, df.schema)
+    columns = {c: F.col(f"`{c}`") for c in df.columns}
+    return Typed(F.struct(*columns.values()), None, df.schema, columns=columns)
 
 
 def _tree(node: Any) -> tuple[Column, T.DataType]:
