@@ -36,7 +36,7 @@ def _one(test: Column, path: Column, category: str) -> Column:
 
 def violations(c: Column, t: T.DataType, node: dict) -> Column:
     """All violations of a document column."""
-    found = _violations(c, t, node, F.lit(""), False)
+    found = _violations(values.normal_value(c, t), values.normal_type(t), node, F.lit(""), False)
     whole = F.concat(*found) if found else F.expr(f"cast(array() as {ISSUE})")
     return F.array_sort(whole)
 
