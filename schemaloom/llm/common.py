@@ -48,9 +48,9 @@ def fold_py(doc_id, folds: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
 
 
-def id_filter(df: DataFrame, ids: DataFrame, column: str, bits: int = 23) -> DataFrame:
-    """Rows of ``df`` whose id may be in ``ids``: a bitmap of ``2**bits`` bits (1 MB by default, whatever the input) is
-    broadcast and drops nearly all other rows before any shuffle. False positives pass; an exact join has to follow.
+def id_told(df: DataFrame, ids: DataFrame, column: str, bits: int = 23) -> DataFrame:
+    """``df`` with ``_told``: false if its id is surely not in ``ids``. A bitmap of ``2**bits`` bits is broadcast, 1 MB by default
+    whatever the input; of the ids outside some are told in as well, so an exact join has to follow.
     """
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     words = (
@@ -61,12 +61,17 @@ def id_filter(df: DataFrame, ids: DataFrame, column: str, bits: int = 23) -> Dat
     return (
         df.withColumn("_slot", slot(F.col(column)))
         .withColumn("_w", F.shiftright("_slot", 6))
-        .join(F.broadcast(words), "_w", "inner")
-        .where("shiftrightunsigned(_b, cast(_slot & 63 as int)) & 1 = 1")
+        .join(F.broadcast(words), "_w", "left")
+        .withColumn("_told", F.expr("coalesce(shiftrightunsigned(_b, cast(_slot & 63 as int)) & 1 = 1, false)"))
         .drop("_slot", "_w", "_b")
     )
 
 
+def id_filter(df: DataFrame, ids: DataFrame, column: str, bits: int = 23) -> DataFrame:
+    """The rows of ``df`` that ``id_told`` tells in: nearly all others are dropped before anything is shuffled."""
+    return id_told(df, ids, column, bits).where("_told").drop("_told")
+
+
 def labelled_ids(labels: DataFrame, column: str, bound: int, folds: int = 3, held_out: int = 1, seed: int = 0) -> DataFrame:
     """(doc_id, label) of about ``bound`` labelled rows outside the held-out fold, chosen by hash; never many more, so it may be
     broadcast. A doc_id with several labels counts once, with the largest; null labels and ids are left out.

@@ -23,17 +23,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, id_filter, stored
+from .common import id_and_text, id_filter, id_told, stored
 
 WORDS, PERCENT = 5, 75
 HASHES, CHUNK, CHUNK_TOKENS = 4, 64, 60_000
-#: Tokens in so many documents' prefixes go last in the order; at most 2**21 tokens do. Any order gives the same links.
-COMMON, COMMON_MOST = 16, 1 << 21
+#: Tokens of two classes or more go last in the order, the more classes the later; of so many tokens at most the counts are
+#: sent to the workers, those of the most classes. Any order gives the same links, this one few groups to compare.
+COMMON_MOST = 1 << 22
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,19 +93,19 @@ def _per_text(make: Callable, names: list[str], types: list) -> Callable:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, f1 and f2 (the set's fingerprint), common (32 bits of each prefix token), mins (the min-hashes)."""
+    """doc_id, n, f1 and f2 (the set's fingerprint), mins (the min-hashes)."""
 
     def make(doc_id, text):
         found = shingles(text)
         n = len(found)
         if not n:
-            return doc_id, 0, 0, 0, [], []
+            return doc_id, 0, 0, 0, []
         f1, f2 = mix(found, 2).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(found, 3))
         mins = [mix(found, 10 + k).min() for k in range(HASHES)]
-        return doc_id, n, int(f1.astype(np.int64)), int(f2.astype(np.int64)), found[: prefix_length(n)].astype(np.uint32).view(np.int32), np.array(mins).view(np.int64)
+        return doc_id, n, int(f1.astype(np.int64)), int(f2.astype(np.int64)), np.array(mins).view(np.int64)
 
-    names, types = ["doc_id", "n", "f1", "f2", "common", "mins"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-    return id_and_text(docs).mapInArrow(_per_text(make, names, types), "doc_id long, n long, f1 long, f2 long, common array<int>, mins array<long>")
+    names, types = ["doc_id", "n", "f1", "f2", "mins"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    return id_and_text(docs).mapInArrow(_per_text(make, names, types), "doc_id long, n long, f1 long, f2 long, mins array<long>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -159,8 +161,12 @@ def leaders(classes: DataFrame) -> DataFrame:
     return pairs.where(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)").select(F.col("doc_id").alias("a"), "b").distinct()
 
 
-def cells(docs: DataFrame, members: DataFrame, common: np.ndarray) -> DataFrame:
-    """token, component, packed (chunk, size, position) of each prefix token of each member (doc_id, component, chunk)."""
+def cells(docs: DataFrame, members: DataFrame, moved: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """token, component, packed (chunk, size, position) of each prefix token of each member (doc_id, component, chunk).
+
+    ``moved`` (doc_id) has the documents that aren't members or whose component or chunk isn't simply (doc_id, 0): a bitmap
+    tells them, and some others, apart, and only their texts are joined with ``members``.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +179,11 @@ def cells(docs: DataFrame, members: DataFrame, common: np.ndarray) -> DataFrame:
                     n, low = len(found), found.astype(np.uint32)
                     if not n:
                         continue
-                    where = np.searchsorted(sent.value, low)
-                    late = sent.value[where.clip(0, max(len(sent.value) - 1, 0))] == low if len(sent.value) else np.zeros(n, bool)
+                    tokens_known, counts = sent.value
+                    late = np.zeros(n, np.int64)
+                    if len(tokens_known):
+                        where = np.searchsorted(tokens_known, low).clip(0, len(tokens_known) - 1)
+                        late = np.where(tokens_known[where] == low, counts[where], 0).astype(np.int64)
                     first = found[np.argsort(late, kind="stable")][: prefix_length(n)]
                     tokens.append(first)
                     comps.append(np.full(len(first), component, np.int64))
@@ -184,7 +193,9 @@ def cells(docs: DataFrame, members: DataFrame, common: np.ndarray) -> DataFrame:
                         [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(comps)), pa.array(np.concatenate(packed))], ["token", "component", "packed"]
                     )
 
-    texts = id_and_text(docs).join(members, "doc_id").select("text", "component", "chunk")
+    told = id_told(id_and_text(docs).where("doc_id is not null"), moved, "doc_id")
+    still = told.where("not _told").select("text", F.col("doc_id").alias("component"), F.lit(0).cast("long").alias("chunk"))
+    texts = told.where("_told").join(members, "doc_id").select("text", "component", "chunk").unionByName(still)
     return texts.mapInArrow(run, "token long, component long, packed long")
 
 
@@ -270,7 +281,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     signed = stored(signatures(docs), "signatures")
     full = signed.where("n > 0 and doc_id is not null")
-    common = common_tokens(full)
     least = full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("class_id"), F.min("mins").alias("mins"))
     classes = stored(least, "classes")
     reps = classes.select(F.col("class_id").alias("doc_id"), "n", "mins")
@@ -280,11 +290,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = comps.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_TOKENS)).alias("chunks")).where("chunks > 1")
     members = stored(
         comps.join(sizes, "component", "left").select(
-            "doc_id", "component", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.least("chunks", F.lit(32_000))), F.lit(0)).cast("long").alias("chunk")
+            "doc_id", "component", F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.least("chunks", F.lit(32_000)))).cast("long").alias("chunk")
         ),
         "members",
     )
-    pairs = stored(group_pairs(cells(docs, members, common)), "pairs")
+    copies = stored(full.select("doc_id").join(members.select("doc_id"), "doc_id", "left_anti").distinct(), "copies")
+    common = common_tokens(docs, copies, int(full.agg(F.sum("n")).first()[0] or 0))
+    moved = stored(copies.unionByName(members.where("component <> doc_id or chunk <> 0").select("doc_id")).distinct(), "moved")
+    pairs = stored(group_pairs(cells(docs, members, moved, common)), "pairs")
     more = open_groups(docs, members, pairs)
     final = stored(components(more), "final")
     whole = members.join(final.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
@@ -296,13 +309,67 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def common_tokens(full: DataFrame) -> np.ndarray:
-    """Sorted low words of the tokens that many prefixes hold: a token has to have its share of all, so their number is bounded."""
-    counts = full.select(F.explode("common").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
-    counts = stored(counts.where(F.col("c") >= COMMON), "common")
-    total = counts.agg(F.sum("c")).first()[0] or 0
-    got = counts.where(F.col("c") >= total // COMMON_MOST).select("token").toArrow().column(0).to_numpy()
-    return np.sort(got.view(np.uint32)) if len(got) else np.zeros(0, np.uint32)
+def common_tokens(docs: DataFrame, copies: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted tokens of 32 bits, how many classes hold them) of the tokens of several classes, counted over all tokens of all
+    documents but the ``copies`` (doc_id).
+
+    Tasks sort their tokens and send them in ranges, as gaps of two bytes where these suffice; a range is counted by one task.
+    ``total`` (all tokens) sets how many ranges there are.
+    """
+    bits = min(max(8, (total // 2_000_000).bit_length()), 16)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            every = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint32)
+            cuts = np.searchsorted(every, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(32 - bits))
+            rows = [(i, _packed(x, i << (32 - bits))) for i, x in enumerate(np.split(every, cuts)) if len(x)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["part", "tokens"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for text in batch.column(0).slice(at, 256).to_pylist():
+                    held.append(shingles(text).astype(np.uint32))
+                    size += len(held[-1])
+                if size > 4_000_000:
+                    yield flush()
+                    size = 0
+        yield flush()
+
+    def tally(rows: pd.DataFrame) -> pd.DataFrame:
+        low = int(rows["part"].iloc[0]) << (32 - bits)
+        tokens, n = np.unique(np.concatenate([_unpacked(x, low) for x in rows["tokens"]]), return_counts=True)
+        kept = n > 1
+        return pd.DataFrame({"token": tokens[kept].astype(np.int64), "n": n[kept]})
+
+    told = id_told(id_and_text(docs).where("doc_id is not null"), copies, "doc_id")
+    texts = told.where("not _told").select("text").unionByName(told.where("_told").join(copies, "doc_id", "left_anti").select("text"))
+    counts = stored(texts.mapInArrow(deal, "part int, tokens binary").groupBy("part").applyInPandas(tally, "token long, n long"), "common")
+    level = F.least("n", F.lit(1 << 16))  # the most frequent first, until there are enough
+    least, many = 2, 0
+    for r in counts.groupBy(level.alias("n")).agg(F.count("*").alias("tokens")).orderBy(F.desc("n")).collect():
+        many += r["tokens"]
+        if many > COMMON_MOST:
+            least = r["n"] + 1
+            break
+    got = counts.where(level >= least).toArrow()
+    tokens, n = got.column(0).to_numpy().astype(np.uint32), got.column(1).to_numpy().clip(0, 2**32 - 1).astype(np.uint32)
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def _packed(tokens: np.ndarray, low: int) -> bytes:
+    gaps = np.diff(tokens.astype(np.int64), prepend=low)
+    return b"\x01" + gaps.astype("<u2").tobytes() if gaps.max() < 1 << 16 else b"\x00" + tokens.astype("<u4").tobytes()
+
+
+def _unpacked(data: bytes, low: int) -> np.ndarray:
+    if data[0]:
+        return (np.cumsum(np.frombuffer(data, "<u2", offset=1).astype(np.int64)) + low).astype(np.uint32)
+    return np.frombuffer(data, "<u4", offset=1)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
