@@ -116,23 +116,29 @@ def _offsets(gaps: Column, found: Column, kind: int) -> Column:
     return F.when(F.size(found) == 0, empty).otherwise(F.aggregate(found, zero, step, lambda acc: acc["out"]))
 
 
-def with_spans(docs: DataFrame, model: MarkovRatio, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``_spans``: array<struct<start, kind, end, found>>, by start, then kind as in ``KINDS``."""
+def with_spans(docs: DataFrame, model: MarkovRatio, threshold: float = THRESHOLD, name: str = "_spans") -> DataFrame:
+    """``docs`` with the column ``name``: array<struct<start, kind, end, found>>, by start, then kind as in ``KINDS``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     value = lambda x: F.regexp_extract(x["found"], ASSIGN, 2)
+    assign, access, digits, run, base = (fresh(docs, n) for n in ("_assign", "_access", "_hex", "_run", "_base"))
     found = docs.withColumns({
-        "_assign": F.filter(_places(text, ASSIGN, 0), lambda x: F.length(value(x)) >= 8),
-        "_access": F.filter(_places(text, ACCESS, 1), lambda x: F.length(x["found"]) >= 16),
-        "_hex": _places(text, HEX, 2),
-        "_run": F.filter(_places(text, RUN, 3), lambda x: x["found"].rlike("[0-9]") & x["found"].rlike("[A-Za-z]")),
+        assign: F.filter(_places(text, ASSIGN, 0), lambda x: F.length(value(x)) >= 8),
+        access: F.filter(_places(text, ACCESS, 1), lambda x: F.length(x["found"]) >= 16),
+        digits: _places(text, HEX, 2),
+        run: F.filter(_places(text, RUN, 3), lambda x: x["found"].rlike("[0-9]") & x["found"].rlike("[A-Za-z]")),
     })
-    apart = lambda x: ~F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    random = F.filter(F.col("_run"), lambda x: apart(x) & (model.score(x["found"]) > threshold))
-    return (
-        found.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-        .withColumn("_spans", F.array_sort(F.concat(F.col("_base"), random)))
-        .drop("_assign", "_access", "_hex", "_run", "_base")
-    )
+    apart = lambda x: ~F.exists(F.col(base), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    random = F.filter(F.col(run), lambda x: apart(x) & (model.score(x["found"]) > threshold))
+    sorted_base = found.withColumn(base, F.array_sort(F.concat(assign, access, digits)))
+    return sorted_base.withColumn(name, F.array_sort(F.concat(F.col(base), random))).drop(assign, access, digits, run, base)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def join_spans(spans: Column) -> Column:
@@ -168,5 +174,6 @@ def redact(docs: DataFrame, model: MarkovRatio, mark: str = "[secret]") -> DataF
         out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate(F.col("_spans"), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return with_spans(docs, model).withColumn("text", F.when(F.size("_spans") > 0, done).otherwise(text)).drop("_spans")
+    spans = fresh(docs, "_spans")
+    done = F.aggregate(F.col(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return with_spans(docs, model, name=spans).withColumn("text", F.when(F.size(spans) > 0, done).otherwise(text)).drop(spans)
