@@ -1,6 +1,6 @@
 """Benchmark decontamination under word edit distance: CGK embedding, repeated bit-sampling LSH, exact verification.
 
-Texts and items are read as words (A-Z lower-cased, ASCII punctuation dropped). An item of n words is found in a document if some
+Texts and items are read as words (lower-cased, ASCII punctuation dropped). An item of n words is found in a document if some
 run of its words is within ``EDITS`` n word edits (rounded down) of the item.
 
 1. Windows. Of 2k + 2 words of an item (its longest, then rarest), k edits leave k + 2, and these stay in step within k words:
@@ -37,7 +37,7 @@ _DROP = string.punctuation.encode()
 
 
 def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().translate(None, _DROP).split()
+    return text.lower().encode("utf-8", "replace").translate(None, _DROP).split()
 
 
 def edits_allowed(n: int, share: float = EDITS) -> int:
