@@ -80,6 +80,30 @@ def equal(a: Column, ta: T.DataType, b: Column, tb: T.DataType) -> Column:
     return as_type(a, ta, t).eqNullSafe(as_type(b, tb, t))
 
 
+def merged_type(a: T.DataType, b: T.DataType) -> T.DataType | None:
+    """Like ``common_type``, but a struct gets the fields of both: a field that one side's type lacks is missing there."""
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        names = [*a.names, *[n for n in b.names if n not in a.names]]
+        fields = [(n, merged_type(a[n].dataType if n in a.names else NULL, b[n].dataType if n in b.names else NULL)) for n in names]
+        return T.StructType([T.StructField(n, t) for n, t in fields]) if all(t is not None for _, t in fields) else None
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        inner = merged_type(a.elementType, b.elementType)
+        return inner and T.ArrayType(inner)
+    return common_type(a, b)
+
+
+def padded(c: Column, have: T.DataType, want: T.DataType) -> Column:
+    """``c`` as a merged type, missing fields null."""
+    if have == want:
+        return c
+    if isinstance(want, T.StructType) and isinstance(have, T.StructType):
+        parts = [(padded(c[f.name], have[f.name].dataType, f.dataType) if f.name in have.names else F.lit(None).cast(f.dataType)).alias(f.name) for f in want.fields]
+        return F.when(c.isNotNull(), F.struct(*parts))
+    if isinstance(want, T.ArrayType) and isinstance(have, T.ArrayType):
+        return F.transform(c, lambda x: padded(x, have.elementType, want.elementType))
+    return as_type(c, have, want)
+
+
 def any_leaf(c: Column, t: T.DataType, test: Any) -> Column | None:
     """Whether some scalar below ``c`` passes ``test(column, type)`` (a Column or None); None if none can."""
     if isinstance(t, T.ArrayType):

@@ -155,7 +155,10 @@ def verify_samples(
     done = mapping.transform(samples, "report", input_column, source, target)
     if expected is not None:
         t_out, t_expected = done.schema["output"].dataType, expected.schema["expected"].dataType
-        same = values.equal(F.col("output"), values.normal_type(t_out), values.normal_value(F.col("expected"), t_expected), values.normal_type(t_expected))
+        t_out, t_want = values.normal_type(t_out), values.normal_type(t_expected)
+        both = values.merged_type(t_out, t_want)  # expected documents are read with the whole target type
+        wanted = values.normal_value(F.col("expected"), t_expected)
+        same = F.lit(False) if both is None else values.padded(F.col("output"), t_out, both).eqNullSafe(values.padded(wanted, t_want, both))
         done = done.join(expected.select(id_column, "expected", F.lit(True).alias("_golden")), id_column, "left")
         golden = F.struct(F.lit(issues.GOLDEN_OUTPUT_MISMATCH).alias("code"), F.lit("").alias("pointer"), F.lit("output").alias("detail"))
         off = F.col("_golden") & F.col("output").isNotNull() & ~same
