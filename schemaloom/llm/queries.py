@@ -63,4 +63,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL can express; the other queries have models, permutations or tokenizers and are tested by brute force."""
+    return {"op3_jaccard_join": NEAR_DUPLICATES}
+
+
+NEAR_DUPLICATES = r"""
+with recursive words as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), shingles as (
+  select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from words
+), sizes as (select doc_id, count(*) as n from shingles group by doc_id
+), links as (
+  select a.doc_id as a, b.doc_id as b from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), reach as (select doc_id as d, doc_id as r from documents union select reach.d, links.b from reach join links on links.a = reach.r
+) select d.doc_id, coalesce(n, 0)::bigint as n_shingles, m.c as component_id
+from documents d left join sizes using (doc_id) join (select d, min(r) as c from reach group by d) m on m.d = d.doc_id"""
