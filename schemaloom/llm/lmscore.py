@@ -8,9 +8,12 @@ suffix's, the root's with a half for every symbol. A text's score is the sum ove
 longest kept suffix of what precedes them.
 
 Counts cover all training documents: tasks count words and (DEPTH + 1)-grams of their texts, a shuffle adds them up; deeper
-grams are counted from the words. What is sent to
-workers is bounded: contexts with at least 1/``CONTEXTS`` of all symbols, words with at least 1/``WORDS`` of all tokens.
-Other words of a document meet their counts in a join. Both ways give the same base score.
+grams are counted from the words. Every context seen ``SUPPORT`` times that diverges is kept, so the tree grows with the input:
+it is a table, made in groups of contexts with the same last ``TRUNK`` symbols.
+
+What is sent to workers is bounded: the ``HELD`` most frequent kept contexts, words with at least 1/``WORDS`` of all tokens.
+Other words of a document meet their counts in a join, other contexts what they add to the score of their longest kept suffix
+(a filter of 2^``FILTER`` bits tells nearly all that aren't in the table). Both ways give the same scores.
 
 Null texts are empty (one end token). Rows that repeat are scored each. Without training documents N = V = 0: every token then has
 0.5 / 0.5 in the base score, and the tree has its root only. An empty table gives an empty result.
@@ -33,7 +36,8 @@ from .common import fold, fold_py, id_and_text, stored
 #: Symbols; the longest context counted in running text; the longest inside a word (with its first boundary).
 RADIX, DEPTH, DEEP = 64, 4, 7
 DIVERGENCE = 12.0
-CONTEXTS, WORDS = 50_000, 1 << 20
+SUPPORT, TRUNK = 20, 2
+HELD, WORDS, FILTER = 1 << 17, 1 << 20, 27
 BOUNDARY, END = 0, 1
 
 
@@ -155,15 +159,17 @@ def deep_grams(vocabulary: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SuffixTree:
-    """nodes: for each depth the codes of the frequent contexts, numbered on from 1 (0 is the root); row_of: the row of logp that
+    """nodes: for each depth the codes of the contexts held and their suffixes, numbered on from 1 (0 is the root); row_of: the row of logp that
     a node scores with, its own if it was kept, else that of its longest kept suffix; logp: (rows, RADIX) log10; emit: log10
-    share in its class of each byte.
+    share in its class of each byte; least: kept contexts seen less often are in the table only, and have their bits in told.
     """
 
     nodes: tuple
     row_of: np.ndarray
     logp: np.ndarray
     emit: np.ndarray
+    least: int = 0
+    told: np.ndarray | None = None
 
     def walk_tables(self) -> tuple[np.ndarray, np.ndarray]:
         """The deepest node of at most DEPTH for every full context; the child of each node by the symbol that stands before."""
@@ -199,50 +205,154 @@ class SuffixTree:
         out[at] = self.logp[self.row_of[node], found[at]] + np.where(found[at] == END, 0.0, self.emit[data[at]])
         return np.add.reduceat(out, starts) if len(starts) else np.zeros(0)
 
-
-def grow(counts: DataFrame, deep: DataFrame, contexts: int = CONTEXTS, divergence: float = DIVERGENCE) -> SuffixTree:
-    """The tree from stored counts: a depth's frequent contexts come to the driver, at most ``contexts`` of each depth."""
+    def others(self, found: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+        """Of each text, what is to be looked up in the table: depth, context and next symbol, 3 + 42 + 6 bits."""
+        codes = grams(found, starts)
+        at = np.flatnonzero(codes >= 0)
+        context, places, keys = codes[at] // RADIX, [], []
+        for depth in range(1, DEEP + 1):
+            if depth > DEPTH:
+                inside = (at >= depth) & (found[at - depth + 1] != BOUNDARY)  # contexts of this depth are inside words
+                at, context = at[inside], context[inside] + found[at[inside] - depth].astype(np.int64) * RADIX ** (depth - 1)
+            c = context % RADIX**depth
+            a, b = _slots(depth, c)
+            maybe = np.flatnonzero(self.told[a >> 3] >> (a & 7) & self.told[b >> 3] >> (b & 7) & 1)
+            places.append(at[maybe])
+            keys.append((c[maybe] | depth << 6 * DEEP) * RADIX + found[at[maybe]])
+        place, key = np.concatenate(places), np.concatenate(keys)
+        order = np.argsort(place, kind="stable")
+        return np.split(key[order], np.searchsorted(place[order], starts[1:])) if len(starts) else []
+
+
+def _tested(seen: np.ndarray, above: np.ndarray, divergence: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of contexts with next-symbol counts ``seen`` and suffix distributions ``above``: which are kept, and their distributions."""
+    s = seen.sum(1, keepdims=True)
+    kept = (seen * np.log(np.where(seen > 0, seen / s / above, 1.0))).sum(1) >= divergence
+    mass = 2.0 * (seen > 0).sum(1, keepdims=True)
+    return kept, np.where(kept[:, None], (seen + mass * above) / (s + mass), above)
+
+
+def _contexts(g: np.ndarray, n: np.ndarray, support: int) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts of grams that are seen ``support`` times, sorted, and the counts of their next symbols."""
+    c, at = np.unique(g // RADIX, return_inverse=True)
+    often = np.bincount(at, n, len(c)) >= support
+    own, place = often[at], np.cumsum(often) - 1
+    following = np.zeros((int(often.sum()), RADIX))
+    np.add.at(following, (place[at[own]], g[own] % RADIX), n[own])
+    return c[often], following
+
+
+NODE = "depth int, c long, s long, logp array<float>, gap array<float>"
+
+
+def _node_batch(depth: int, c: np.ndarray, seen: np.ndarray, rows: np.ndarray, above: np.ndarray) -> pa.RecordBatch:
+    logp = np.log10(rows)
+    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * RADIX), pa.array(x.ravel().astype(np.float32))) for x in (logp, logp - np.log10(above))]
+    columns = [pa.array(np.full(len(c), depth, np.int32)), pa.array(c), pa.array(seen.sum(1).astype(np.int64)), *lists]
+    return pa.RecordBatch.from_arrays(columns, ["depth", "c", "s", "logp", "gap"])
+
+
+def root_of(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The root's distribution; the grams of ``TRUNK`` + 1 symbols (as many as the alphabet allows at most) and their counts."""
     codes = counts.where("code is not null and code >= 0")
-    total = codes.agg(F.sum("n")).first()[0] or 0
+    got = codes.groupBy(F.pmod("code", F.lit(RADIX ** (TRUNK + 1))).alias("g")).agg(F.sum("n").alias("n")).toArrow()
+    g, n = (got.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+    root = np.bincount(g % RADIX, n, RADIX)
+    return (root + 0.5) / (root.sum() + 0.5 * RADIX), g, n
+
+
+def nodes_of(counts: DataFrame, deep: DataFrame, support: int = SUPPORT, divergence: float = DIVERGENCE) -> DataFrame:
+    """All kept contexts but the root, as stored rows: depth, c, s (times seen), logp and its gap to that of the longest kept suffix."""
+    spark = counts.sparkSession
+    root, g, n = root_of(counts)
+    above, trunk = root[None], []
+    for depth in range(1, TRUNK + 1):
+        c, seen = _contexts(g % RADIX ** (depth + 1), n, support)
+        over = above[c % RADIX ** (depth - 1)]
+        kept, rows = _tested(seen, over, divergence)
+        trunk.append(_node_batch(depth, c[kept], seen[kept], rows[kept], over[kept]))
+        above = np.tile(above, (RADIX, 1))  # a context of this depth has the row of its suffix if it is not one of these
+        above[c] = rows
+    sent = spark.sparkContext.broadcast(above)
+
+    def branch(table: pa.Table) -> pa.Table:
+        depths, codes, n = (table.column(x).to_numpy().astype(np.int64) for x in ("depth", "code", "n"))
+        first = int(codes[0] // RADIX % RADIX**TRUNK)
+        known, rows, out = np.array([first]), sent.value[first][None], []
+        for depth in range(TRUNK + 1, DEEP + 1):
+            own = depths == max(depth, DEPTH)
+            c, seen = _contexts(codes[own] % RADIX ** (depth + 1), n[own], support)
+            if not len(c):
+                break
+            suffix = c % RADIX ** (depth - 1)
+            over = rows[np.searchsorted(known, suffix)]  # seen at least as often as the context itself
+            kept, rows = _tested(seen, over, divergence)
+            known = c
+            out.append(_node_batch(depth, c[kept], seen[kept], rows[kept], over[kept]))
+        return pa.Table.from_batches(out or [trunk[0].slice(0, 0)])
+
+    grams_ = counts.where("code is not null and code >= 0").select(F.lit(DEPTH).alias("depth"), "code", "n").unionByName(deep)
+    last = F.pmod(F.call_function("div", F.col("code"), F.lit(RADIX)), F.lit(RADIX**TRUNK))
+    branches = grams_.withColumn("last", last).groupBy("last").applyInArrow(branch, NODE)
+    return stored(branches.unionByName(spark.createDataFrame(pa.Table.from_batches(trunk), NODE)), "lm-tree")
+
+
+def _slots(depth: np.ndarray | int, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a context in the filter."""
+    key = (c.astype(np.uint64) * np.uint64(8) + np.asarray(depth, np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    key ^= key >> np.uint64(32)
+    key *= np.uint64(0xD6E8FEB86659FD93)
+    return (key >> np.uint64(64 - FILTER)).astype(np.int64), (key & np.uint64((1 << FILTER) - 1)).astype(np.int64)
+
+
+def _told(rest: DataFrame) -> np.ndarray:
+    """The filter over the contexts of ``rest``, eight bits a byte."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.concatenate(_slots(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(both >> 3), pa.array(1 << (both & 7))], ["w", "b"])
+
+    got = rest.select("depth", "c").mapInArrow(slots, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (FILTER - 3), np.uint8)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return out
+
+
+def grow(counts: DataFrame, deep: DataFrame, nodes: DataFrame | None = None, held: int = HELD) -> SuffixTree:
+    """What workers get of the tree: of ``nodes`` (made here if they aren't given) about ``held`` of the most frequent."""
+    nodes = nodes_of(counts, deep) if nodes is None else nodes
     bytes_ = {-1 - r["code"]: r["n"] for r in counts.where("code between -256 and -1").collect()}
     used = np.array([bytes_.get(b, 0) for b in range(256)], float) + 0.5
     used[SYMBOL == BOUNDARY] = 1e-9
     used[32] = 1.0  # a boundary is written as one blank
     emit = np.log10(used / np.bincount(SYMBOL, used, RADIX)[SYMBOL])
-    root = np.zeros(RADIX)
-    for r in codes.groupBy(F.pmod("code", F.lit(RADIX)).alias("x")).agg(F.sum("n").alias("n")).collect():
-        root[r["x"]] = r["n"]
-    rows = [(root + 0.5) / (root.sum() + 0.5 * RADIX)]
-    row_of, nodes = [0], []
-    above = {0: 0}  # of the depth before: code -> row
-    for depth in range(1, DEEP + 1):
-        source = codes if depth <= DEPTH else deep.where(F.col("depth") == depth)
-        g = F.pmod("code", F.lit(RADIX ** (depth + 1))) if depth < DEPTH else F.col("code")
-        table = source.groupBy(g.alias("g")).agg(F.sum("n").alias("n")).withColumn("c", F.call_function("div", F.col("g"), F.lit(RADIX)))
-        frequent = table.groupBy("c").agg(F.sum("n").alias("s")).where(F.col("s") >= max(20, total // contexts)).select("c")
-        got = table.join(F.broadcast(frequent), "c").select("g", "n").toArrow()
-        g, n = (got.column(i).to_numpy().astype(np.int64) for i in (0, 1))
-        c = np.unique(g // RADIX)
-        following = np.zeros((len(c), RADIX))
-        following[np.searchsorted(c, g // RADIX), g % RADIX] = n
-        here = {}
-        for code, seen in zip(c.tolist(), following):
-            row, s, at = above.get(code % RADIX ** (depth - 1), 0), seen.sum(), seen > 0
-            if (seen[at] * np.log(seen[at] / s / rows[row][at])).sum() >= divergence:
-                mass = 2.0 * at.sum()
-                rows.append((seen + mass * rows[row]) / (s + mass))
-                row = len(rows) - 1
-            here[code] = row
-            row_of.append(row)
-        nodes.append(c)
-        above = here
-    return SuffixTree(tuple(nodes), np.array(row_of, np.int32), np.log10(np.array(rows)).astype(np.float32), emit)
+    # a cut at a power of 2 ** (1/8): what is held holds its kept suffixes too, which are seen as often at least
+    grade = F.floor(F.log2("s") * 8).cast("int")
+    sizes = sorted(((r["k"], r["n"]) for r in nodes.groupBy(grade.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    sums = np.cumsum([n for _, n in sizes])
+    least = min((k for (k, _), n in zip(sizes, sums) if n <= held), default=1 << 20)
+    got = nodes.where(grade >= least).select("depth", "c", "logp").toArrow()
+    depths, c = (got.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+    rows = np.concatenate([np.log10(root_of(counts)[0])[None], got.column(2).combine_chunks().flatten().to_numpy().reshape(-1, RADIX)]).astype(np.float32)
+    own = [np.flatnonzero(depths == d) for d in range(1, DEEP + 1)]
+    codes = [c[at] for at in own]
+    for d in range(DEEP - 1, 0, -1):  # a walk needs the suffixes too
+        codes[d - 1] = np.unique(np.concatenate([codes[d - 1], codes[d] % RADIX**d]))
+    codes = [np.unique(x) for x in codes]
+    row_of, above = [0], {0: 0}
+    for d, (at, all_) in enumerate(zip(own, codes), 1):
+        kept = dict(zip(c[at].tolist(), (at + 1).tolist()))
+        above = {x: kept.get(x, above[x % RADIX ** (d - 1)]) for x in all_.tolist()}
+        row_of += above.values()
+    told = _told(nodes.where(grade < least)) if len(depths) < (sums[-1] if len(sums) else 0) else None
+    return SuffixTree(tuple(codes), np.array(row_of, np.int32), rows, emit, least, told)
 
 
 _states: dict[int, tuple] = {}
 
 
-def score(docs: DataFrame, counts: DataFrame, tree: SuffixTree, folds: int = 5, held_out: int = 1, words: int = WORDS) -> DataFrame:
+def score(docs: DataFrame, counts: DataFrame, tree: SuffixTree, nodes: DataFrame, folds: int = 5, held_out: int = 1, words: int = WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     ends = (counts.where("code = -1000").agg(F.sum("n")).first()[0]) or 0
@@ -266,6 +376,8 @@ def score(docs: DataFrame, counts: DataFrame, tree: SuffixTree, folds: int = 5,
                 ids = batch.column(0).slice(at, 256)
                 found, data, starts, split = symbols([t.encode("utf-8", "replace").lower() for t in batch.column(1).slice(at, 256).to_pylist()])
                 scores = own_tree.score(found, data, starts, states)
+                unheld = [] if own_tree.told is None else own_tree.others(found, starts)
+                sizes = np.cumsum([0, *map(len, unheld)] if unheld else np.zeros(len(ids) + 1)).astype(np.int32)
                 base, seen, rare = [], [], []
                 for own in split:
                     values = [known.get(w) for w in own]
@@ -277,27 +389,34 @@ def score(docs: DataFrame, counts: DataFrame, tree: SuffixTree, folds: int = 5,
                     [
                         pa.array(range(row, row + len(ids)), pa.int64()), ids, pa.array([fold_py(i, folds) == held_out for i in ids.to_pylist()], pa.bool_()),
                         pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()),
-                        pa.array(rare, pa.list_(pa.binary())),
+                        pa.array(rare, pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(unheld) if unheld else [], pa.int64())),
                     ],
-                    ["row", "doc_id", "held_out", "n_tokens", "seen", "base", "score", "rare"],
+                    ["row", "doc_id", "held_out", "n_tokens", "seen", "base", "score", "rare", "unheld"],
                 )
                 row += len(ids)
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, seen long, base double, score double, rare array<binary>"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, seen long, base double, score double, rare array<binary>, unheld array<long>"
     judged = stored(id_and_text(docs).mapInArrow(judge, schema), "lm-scores")
     rare = judged.select("row", F.explode("rare").alias("word")).join(vocabulary, "word", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
-    more = rare.groupBy("row").agg(F.sum(F.log10((c + 0.5) / below)).alias("more"), F.count("c").alias("also"))
-    return judged.drop("rare").join(more, "row", "left").select(
+    parts = rare.select("row", F.log10((c + 0.5) / below).alias("more"), F.col("c").alias("known"), F.lit(0.0).alias("gap"))
+    if tree.told is not None:
+        table = nodes.where(F.floor(F.log2("s") * 8) < tree.least).select((F.col("c") + F.shiftleft(F.col("depth").cast("long"), 6 * DEEP)).alias("node"), "gap")
+        asked = judged.select("row", F.explode("unheld").alias("k")).select("row", F.shiftright("k", 6).alias("node"), F.col("k").bitwiseAND(F.lit(RADIX - 1)).cast("int").alias("x"))
+        gap = F.element_at("gap", F.col("x") + 1).cast("double").alias("gap")
+        parts = parts.unionByName(asked.join(table, "node").select("row", F.lit(0.0).alias("more"), F.lit(None).cast("long").alias("known"), gap))
+    more = parts.groupBy("row").agg(F.sum("more").alias("more"), F.count("known").alias("also"), F.sum("gap").alias("gap"))
+    return judged.drop("rare", "unheld").join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("seen") + F.coalesce("also", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("gap", F.lit(0.0))).alias("score"),
     )
 
 
-def score_documents(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 5, held_out: int = 1, held: int = HELD) -> DataFrame:
     counts = stored(count(docs.where(fold(F.col("doc_id").cast("long"), folds) != held_out)), "lm-counts")
     deep = stored(deep_grams(counts.where("word is not null").select("word", F.col("n").alias("c"))), "lm-deep")
-    return score(docs, counts, grow(counts, deep), folds, held_out)
+    nodes = nodes_of(counts, deep)
+    return score(docs, counts, grow(counts, deep, nodes, held), nodes, folds, held_out)

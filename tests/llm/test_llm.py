@@ -257,6 +257,18 @@ def test_suffix_tree_sums_to_one(spark, docs):
     assert tree.score(found, data, starts, (states, child)).shape == (2,)
 
 
+def test_suffix_tree_grows_with_the_input(spark):
+    """A context seen 40 times in 3 million symbols is kept; what is held by workers and what is joined give the same scores."""
+    texts = [(i, prose(50_000, 7000 + i)) for i in range(12)] + [(100 + i, "xqzvkj " + prose(20, 8000 + i)) for i in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    counts = lmscore.count(df).cache()
+    tree = lmscore.grow(counts, lmscore.deep_grams(counts.where("word is not null").select("word", F.col("n").alias("c"))))
+    assert counts.where("code >= 0").agg(F.sum("n")).first()[0] > 3_000_000 and {int(lmscore.SYMBOL[x]) for x in b"qzvk"} <= set(tree.nodes[0].tolist())
+    short = df.where("doc_id >= 100")
+    one, other = ({r["doc_id"]: r["score"] for r in lmscore.score_documents(df, held=h).where("doc_id >= 100").collect()} for h in (1 << 17, 40))
+    assert len(one) == 40 == short.count() and all(abs(one[i] - other[i]) < 1e-3 for i in one)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
