@@ -5,8 +5,9 @@ as error across it, since it is what moves large inner products. Codebooks of 16
 sample (``SAMPLE`` rows, chosen by hash); codes are chosen by coordinate descent under the same loss. Every row is indexed.
 
 A block of queries (``QUERY_BLOCK`` at most, give or take what a hash deals) is sent to all tasks; each streams its share of
-the index, adds up table entries for its codes, keeps the ``SHORTLIST`` best of every batch, scores these exactly in
-double precision from the original vectors, and hands on its best k a query. The results of all tasks meet in a
+the index, adds up table entries for its codes, takes the ``SHORTLIST`` best of every batch and all that tie with the last of them,
+scores these exactly in double precision from the original vectors, and hands on its best k a query. Equal vectors of a batch are
+one candidate: the k smallest ids of each stand for it. The results of all tasks meet in a
 window by query. Recall is measured in the tests.
 
 Vectors that are null, zero, hold a null or non-finite component, or are not of the table's usual length take no part. Ties go to
@@ -182,21 +183,33 @@ def _scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, vectors: np.ndarra
             part = batch.slice(at, 4096)
             vec_ids = part.column(0).to_numpy()
             codes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(vec_ids), -1)
-            data = _matrix(part.column(2), quantiser.dim)
-            take = min(shortlist, len(vec_ids))
+            data = _matrix(part.column(2), quantiser.dim) + 0.0  # -0.0 is 0.0
+            # equal vectors: one class, its members in the order of their ids
+            order = np.argsort(vec_ids, kind="stable")
+            vec_ids, codes, data = vec_ids[order], codes[order], data[order]
+            _, head, kind = np.unique(data.view(np.dtype((np.void, data.itemsize * data.shape[1]))).ravel(), return_index=True, return_inverse=True)
+            members, size = np.argsort(kind, kind="stable"), np.bincount(kind)
+            first, codes, data = np.cumsum(size) - size, codes[head], data[head]
+            take = min(shortlist, len(head))
             for q in range(0, len(ids), 128):
                 own = slice(q, q + 128)
-                scores = np.zeros((len(ids[own]), len(vec_ids)), np.float32)
+                scores = np.zeros((len(ids[own]), len(head)), np.float32)
                 for m in range(codes.shape[1]):
                     scores += pairs[m, own].take(codes[:, m], axis=1)
-                scores[ids[own][:, None] == vec_ids[None]] = -np.inf
-                chosen = np.argpartition(-scores, take - 1, axis=1)[:, :take] if take < len(vec_ids) else np.tile(np.arange(len(vec_ids)), (len(scores), 1))
-                exact = (data[chosen] * vectors[own][:, None, :]).sum(2)
-                found = vec_ids[chosen]
-                exact[found == ids[own][:, None]] = -np.inf
-                all_ids, all_scores = np.concatenate([best_ids[own], found], 1), np.concatenate([best[own], exact], 1)
-                order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
-                best_ids[own], best[own] = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_scores, order, 1)
+                last = -np.partition(-scores, take - 1, axis=1)[:, take - 1]
+                row, chosen = np.nonzero(scores >= last[:, None])
+                exact = np.concatenate([(data[chosen[i : i + 16384]] * vectors[own][row[i : i + 16384]]).sum(1) for i in range(0, len(row), 16384)])
+                # k + 1 members of a class are enough, since one may be the query itself
+                many = np.minimum(size[chosen], k + 1)
+                within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                row, exact, found = np.repeat(row, many), np.repeat(exact, many), vec_ids[members[np.repeat(first[chosen], many) + within]]
+                other = found != ids[own][row]
+                row = np.concatenate([np.repeat(np.arange(len(scores)), k), row[other]])
+                all_ids, all_scores = np.concatenate([best_ids[own].ravel(), found[other]]), np.concatenate([best[own].ravel(), exact[other]])
+                order = np.lexsort((all_ids, -all_scores, row))
+                begin = np.searchsorted(row[order], np.arange(len(scores)))
+                top = order[begin[:, None] + np.arange(k)]  # at least the k that were there before
+                best_ids[own], best[own] = all_ids[top], all_scores[top]
     real = best > -np.inf
     at, _ = np.nonzero(real)
     yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(best_ids[real]), pa.array(best[real])], ["query_id", "vec_id", "score"])

@@ -118,6 +118,26 @@ def test_search(spark):
     assert ann.search_table(df.limit(0)).count() == 0
 
 
+def test_search_among_copies(spark):
+    """A third of all rows are equal: the smallest ids come first."""
+    x = np.random.default_rng(3).normal(size=(3000, 16))
+    ids = np.random.default_rng(4).permutation(3000)
+    x[ids[:1000]] = 2 * x[0] + 0.1
+    x[ids[1000:1300]] = x[ids[:1000][0]] * 1.0000001  # other vectors, the same code
+    df = spark.createDataFrame([(int(i), x[i].tolist()) for i in ids], "vec_id long, embedding array<double>").coalesce(1)
+    got = {}
+    for r in ann.search_table(df, 20, 20).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    near = 0
+    for q in range(0, 3000, 20):
+        s = np.array([(v * x[q]).sum() for v in x])
+        s[q] = -np.inf
+        if s.argmax() in ids[:1300]:
+            near += 1
+            assert [got[q][k] for k in range(1, 21)] == np.lexsort((np.arange(3000), -s))[:20].tolist()
+    assert near > 50
+
+
 def brute(texts):
     sets = {}
     for i, t in texts:
