@@ -8,7 +8,8 @@ run of its words is within ``EDITS`` n word edits (rounded down) of the item.
 2. Embedding. A random walk after Chakraborty, Goldenberg and Koucky: at step t the word at the pointer is written down, and
    bit t of a random function of the word says if the pointer moves. Small edit distances become small Hamming distances.
 3. Repeated bit sampling: each repetition has a walk of its own and writes down the words of ``SAMPLED`` random steps; their hash is
-   the bucket. ``repeats`` adds repetitions until planted edits of the items are met with ``RECALL``.
+   the bucket. ``_repeats`` adds repetitions (``MOST`` at most) until planted edits of the items are met with ``RECALL``. Of lengths
+   where these repetitions meet fewer (long items), all windows are compared, without buckets.
 4. Windows and items that meet in a bucket are compared exactly, by a bit-parallel edit distance over the window's surroundings.
 
 Items without words are in no document; an item of fewer than ``SHORT`` words only counts where it is a document's whole text.
@@ -17,6 +18,7 @@ that repeat are searched each; equal items are all reported; an empty table on e
 """
 from __future__ import annotations
 
+import math
 import random
 import string
 from collections import Counter, defaultdict
@@ -44,6 +46,11 @@ def edits_allowed(n: int, share: float = EDITS) -> int:
     return int(share * n + 1e-9)
 
 
+def size_class(n: int) -> int:
+    """Lengths that differ by a fifth at most are one class."""
+    return int(4 * math.log2(n))
+
+
 class Walks:
     """``count`` repetitions: their walk functions and sampled steps, the latter as shares of twice an item's length."""
 
@@ -127,10 +134,12 @@ class Items:
         self.long = [k for k, ws in enumerate(self.words) if len(ws) >= SHORT]
         self.repeats = self._repeats(seed)
         self.walks = Walks(self.repeats, seed=seed)
+        self.direct = self._missed(seed)
         self.buckets: dict[int, list[int]] = defaultdict(list)
-        hashed, starts, sizes = self._flat([self.words[k] for k in self.long])
-        for r in range(self.repeats if self.long else 0):
-            for k, key in zip(self.long, self.walks.keys(hashed, starts, sizes, r).tolist()):
+        bucketed = [k for k in self.long if not self.direct[k]]
+        hashed, starts, sizes = self._flat([self.words[k] for k in bucketed])
+        for r in range(self.repeats if bucketed else 0):
+            for k, key in zip(bucketed, self.walks.keys(hashed, starts, sizes, r).tolist()):
                 self.buckets[key].append(k)
         self.keys = np.array(sorted(self.buckets), np.uint64)
 
@@ -140,26 +149,38 @@ class Items:
         hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in many for w in ws), np.uint64)
         return hashed, np.cumsum(sizes) - sizes, sizes
 
-    def _repeats(self, seed: int) -> int:
-        """Repetitions until ``RECALL`` of items with the edits allowed, planted at random, meet the item once at least."""
-        if not self.long:
-            return 0
-        draw, walks = random.Random(seed), Walks(MOST, seed=seed)
-        chosen = [self.words[k] for k in draw.sample(self.long, min(200, len(self.long)))]
+    def _met(self, chosen: list[int], walks: Walks, draw: random.Random) -> Iterator[float]:
+        """After each repetition, the share of the chosen items, with the edits allowed planted at random, that met the item."""
         edited = []
-        for ws in chosen:
+        for ws, allowed in ((self.words[k], self.allowed[k]) for k in chosen):
             own = list(ws)
-            for _ in range(edits_allowed(len(ws))):
+            for _ in range(allowed):
                 at, kind = draw.randrange(len(own)), draw.randrange(3)
                 own[at : at + (kind != 1)] = [] if kind == 0 else [b"\x00%d" % draw.randrange(1 << 30)]
             edited.append((own + [b"\x00after"] * len(ws))[: len(ws)])
-        a, b = self._flat(chosen), self._flat(edited)
+        a, b = self._flat([self.words[k] for k in chosen]), self._flat(edited)
         met = np.zeros(len(chosen), bool)
-        for r in range(MOST):
+        for r in range(len(walks.share)):
             met |= walks.keys(*a, r) == walks.keys(*b, r)
-            if met.mean() >= RECALL:
-                return r + 1
-        return MOST
+            yield met.mean()
+
+    def _repeats(self, seed: int) -> int:
+        """Repetitions until ``RECALL`` of items of all lengths meet the item once at least; ``MOST`` at most."""
+        if not self.long:
+            return 0
+        draw = random.Random(seed)
+        shares = self._met(draw.sample(self.long, min(200, len(self.long))), Walks(MOST, seed=seed), draw)
+        return next((r for r, share in enumerate(shares, 1) if share >= RECALL), MOST)
+
+    def _missed(self, seed: int) -> np.ndarray:
+        """Which items are of a class of lengths whose items these walks meet with less than ``RECALL``."""
+        draw, classes, out = random.Random(seed), defaultdict(list), np.zeros(len(self.words), bool)
+        for k in self.long:
+            classes[size_class(len(self.words[k]))].append(k)
+        for _, own in sorted(classes.items()):
+            chosen = draw.sample(own, 200) if len(own) > 200 else draw.choices(own, k=200)
+            out[own] = all(share < RECALL for share in self._met(chosen, self.walks, draw))
+        return out
 
     def meet(self, split: list[list[bytes]], windows: dict[int, list[tuple[int, int]]]) -> dict[int, list[tuple[int, int]]]:
         """row -> (item, start) of the windows that share a bucket with an item."""
@@ -196,13 +217,16 @@ class Items:
             for row, words in enumerate(split):
                 for k in self.whole.get(tuple(words), ()) if 0 < len(words) < SHORT else ():
                     yield row, k, 0, 0, len(words)
-        windows = self.windows(split)
-        for row, pairs in self.meet(split, windows).items() if windows else ():
-            for k, found in self.compare(split[row], pairs).items():
+        windows, pairs = self.windows(split)
+        for row, met in self.meet(split, windows).items() if windows else ():
+            pairs[row].update(met)
+        for row in sorted(pairs):
+            for k, found in self.compare(split[row], sorted(pairs[row])).items():
                 yield row, k, *found
 
-    def windows(self, split: list[list[bytes]]) -> dict[int, list[tuple[int, int]]]:
-        """row -> (start, size) of the windows where enough of an item's chosen words stand in step."""
+    def windows(self, split: list[list[bytes]]) -> tuple[dict[int, list[tuple[int, int]]], dict[int, set[tuple[int, int]]]]:
+        """row -> (start, size) of the windows where enough of an item's chosen words stand in step; row -> (item, start) where the
+        item is compared without buckets."""
         sizes = np.array([len(w) for w in split], np.int64)
         get = self.anchors.get
         word = np.fromiter((get(w, -1) for ws in split for w in ws), np.int64, int(sizes.sum()))
@@ -219,10 +243,14 @@ class Items:
         last = np.arange(len(keys)) + self.need[item] - 1
         ok = (last < len(keys)) & (keys[last.clip(0, max(len(keys) - 1, 0))] - keys <= allowed[item]) if len(keys) else np.zeros(0, bool)
         out: dict[int, set] = defaultdict(set)
+        direct: dict[int, set] = defaultdict(set)
         for i in np.flatnonzero(ok):
             k = int(item[i])
+            if self.direct[k]:  # the words in step stand at most allowed[k] further on, which compare() looks over
+                direct[int((keys[i] >> 33) // len(self.ids))].add((k, max(int(keys[i] & ((1 << 33) - 1)) - lead, 0)))
+                continue
             out[int((keys[i] >> 33) // len(self.ids))].update((int(x & ((1 << 33) - 1)) - lead, len(self.words[k])) for x in keys[i : int(last[i]) + 1])
-        return {r: sorted(w) for r, w in out.items()}
+        return {r: sorted(w) for r, w in out.items()}, direct
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDITS) -> DataFrame:

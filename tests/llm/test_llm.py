@@ -193,6 +193,22 @@ def test_decontamination(spark, docs, none):
     assert decontam.clean(docs, benchmark).columns == docs.columns
 
 
+def test_decontamination_of_long_items():
+    """Items of 400 words with the edits allowed are found, though most items are short."""
+    own = random.Random(8)
+    word = lambda: "w%d" % own.randrange(20_000)
+    items = [(i, " ".join(word() for _ in range(400 if i < 24 else 15))) for i in range(400)]
+    texts = []
+    for _, text in items[:24]:
+        words = text.split()
+        for _ in range(80):
+            at, kind = own.randrange(len(words)), own.randrange(3)
+            words[at : at + (kind != 1)] = [] if kind == 0 else [word()]
+        texts.append(" ".join([word() for _ in range(30)] + words + [word() for _ in range(30)]))
+    found = {(r, k) for r, k, *_ in decontam.Items(items).find(texts)}
+    assert {(i, i) for i in range(24)} <= found
+
+
 def test_edit_distance():
     def table(p, t):
         row = [0] * (len(t) + 1)
