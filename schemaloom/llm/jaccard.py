@@ -4,16 +4,18 @@ A document's set: its distinct five-word shingles (A-Z lower-cased, words betwee
 as one; without words, nothing. Two documents link when 100 |A & B| >= 75 |A | B|. The steps, all exact but for 64-bit
 hashes standing for shingles and 128 bits for sets:
 
-1. Equal sets become one class, represented by its smallest doc_id.
+1. Equal sets become one class, represented by its smallest doc_id. A class keeps its set as a row of bits too (``sketch``).
 2. Similar documents are grouped: each class is verified against the leader (smallest id) of each of its ``HASHES`` min-hash buckets;
-   the components of the links found, cut into chunks of ``CHUNK`` members, are the groups.
-3. The matrix: a column a token, a row a group, set where a member has the token. For two sets that link, each has a token of
-   the other among the first |A| - ceil(0.75 |A|) + 1 of its own under any one global order, so cells are stored for these tokens
-   only. The order puts tokens that many documents share last. A token's cells name the pairs of groups, of different
-   components, whose sizes and token positions allow the overlap: runs of one token are read in order, in a stream.
-4. For each such pair, a member of one group is bounded by its overlap with the other's token union: below 0.75 of its size, the group
-   stays closed; else its members are compared one by one. Two groups need one link, since each is connected already.
-5. Components of all links (alternating large and small stars, checkpointed each round).
+   the components of the links found, cut into chunks of about ``CHUNK`` members, are the groups. The token-group matrix has a row of
+   bits a group: the union of its members' tokens.
+3. A class can only link with a group that has one of its first |A| - ceil(0.75 |A|) + 1 tokens among such tokens of a member, under
+   any one global order; this one puts tokens that many documents share last. Runs of one token name the pairs of groups of
+   different components whose sizes and token positions allow a link. Runs are read in order, in a stream; those of tokens of more than
+   ``HOT`` classes are dealt in blocks over many tasks.
+4. For each such pair, a query's overlap with the other group's union is bounded from the matrix: below 0.75 of the query's size,
+   the group stays closed. Members of groups that open are bounded one by one in the same way, and what is left is compared exactly,
+   the likeliest pair of two components first, the others only where that one fails.
+5. Components of all links (alternating large and small stars, written out each round).
 
 Documents with one doc_id count as linked. Null ids have no component; null texts are empty; an empty table gives an empty
 result; only doc_id and text are read; no candidate is capped.
@@ -29,13 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, id_filter, id_told, stored
+from .common import fresh, id_and_text, id_filter, id_told, release, stored
 
 WORDS, PERCENT = 5, 75
-HASHES, CHUNK, CHUNK_TOKENS = 4, 64, 60_000
+HASHES, CHUNK, CHUNK_TOKENS, HOT = 4, 64, 60_000, 4096
 #: Tokens of two classes or more go last in the order, the more classes the later; of so many tokens at most the counts are
 #: sent to the workers, those of the most classes. Any order gives the same links, this one few groups to compare.
 COMMON_MOST = 1 << 22
+MINS = [f"h{k}" for k in range(HASHES)]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,20 +95,54 @@ def _per_text(make: Callable, names: list[str], types: list) -> Callable:
     return run
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """A row of bits, three a token at least, a power of two in all: bit ``token % size`` of each token."""
+    size = max(64, 1 << (3 * len(found) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(found & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _folded(bits: int, size: int, to: int) -> int:
+    """The row of ``to`` bits of the same tokens."""
+    while size > to:
+        size >>= 1
+        bits = bits >> size | bits & ((1 << size) - 1)
+    return bits
+
+
+def overlap_bound(a: bytes, n: int, b: bytes) -> int:
+    """No less than the tokens that the set of ``a`` (n tokens) shares with what ``b`` is the row of: each common token has its bit in
+    both rows, and of the n tokens n - |bits| at most hide behind others."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    size = 8 * min(len(a), len(b))
+    x, y = _folded(x, 8 * len(a), size), _folded(y, 8 * len(b), size)
+    return (x & y).bit_count() + n - x.bit_count()
+
+
+def union_row(rows: list[bytes]) -> bytes:
+    """The row of the union of all that ``rows`` are of."""
+    size, out = 8 * min(map(len, rows)), 0
+    for r in rows:
+        out |= _folded(int.from_bytes(r, "little"), 8 * len(r), size)
+    return out.to_bytes(size // 8, "little")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, f1 and f2 (the set's fingerprint), mins (the min-hashes)."""
+    """doc_id, n, f1 and f2 (the set's fingerprint), h0 to h3 (its min-hashes), sketch."""
 
     def make(doc_id, text):
         found = shingles(text)
         n = len(found)
         if not n:
-            return doc_id, 0, 0, 0, []
+            return doc_id, 0, 0, 0, *[None] * HASHES, b""
         f1, f2 = mix(found, 2).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(found, 3))
-        mins = [mix(found, 10 + k).min() for k in range(HASHES)]
-        return doc_id, n, int(f1.astype(np.int64)), int(f2.astype(np.int64)), np.array(mins).view(np.int64)
+        mins = np.array([mix(found, 10 + k).min() for k in range(HASHES)]).view(np.int64).tolist()
+        return doc_id, n, int(f1.astype(np.int64)), int(f2.astype(np.int64)), *mins, sketch(found)
 
-    names, types = ["doc_id", "n", "f1", "f2", "mins"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    return id_and_text(docs).mapInArrow(_per_text(make, names, types), "doc_id long, n long, f1 long, f2 long, mins array<long>")
+    names = ["doc_id", "n", "f1", "f2", *MINS, "sketch"]
+    types = [pa.int64()] * (4 + HASHES) + [pa.binary()]
+    return id_and_text(docs).mapInArrow(_per_text(make, names, types), ", ".join(f"{c} long" for c in names[:-1]) + ", sketch binary")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -133,39 +170,62 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
+def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose rows of bits allow a link."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, x, m, y = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = [min(overlap_bound(p, i, q), overlap_bound(q, j, p)) >= needed(i, j) for i, p, j, q in zip(n, x, m, y)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c, n, x: classes.select(F.col("class_id").alias(c), F.col("n").alias(n), F.col("sketch").alias(x))
+    both = pairs.join(side("b", "m", "y"), "b").join(side("a", "n", "x"), "a").select("a", "b", "n", "x", "m", "y")
+    return both.mapInArrow(check, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of every node that has an edge (a, b)."""
+    """node, component (its smallest node) of every node that has an edge (a, b); a stored table. Least neighbours are written out
+    before they are joined, so that the join may split a node with very many edges."""
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         # nodes smaller than all their neighbours keep no edge of their own: their neighbours point at them
-        large = large.where("a <> b").distinct()
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = stored(large.distinct(), "large")
+        small_least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(small_least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(small_least.select("a", F.col("m").alias("b")))
-        edges = stored(small.distinct(), "edges")
+        fresh = stored(small.distinct(), "edges")
+        release(edges, least, large, small_least)
+        edges = fresh
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out = stored(nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "nodes")
+    release(edges)
+    return out
 
 
 def leaders(classes: DataFrame) -> DataFrame:
     """Pairs (a, b): each class and the smallest id of each of its min-hash buckets, where sizes allow a link."""
-    buckets = classes.select("doc_id", "n", F.posexplode("mins").alias("k", "h"))
-    first = buckets.groupBy("k", "h").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")
+    buckets = classes.select(F.col("class_id").alias("doc_id"), "n", F.posexplode(F.array(*MINS)).alias("k", "h"))
+    first = stored(buckets.groupBy("k", "h").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("members")).where("members > 1"), "buckets")
     pairs = buckets.join(first.select("k", "h", F.col("first.doc_id").alias("b"), F.col("first.n").alias("m")), ["k", "h"]).where("doc_id <> b")
-    return pairs.where(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)").select(F.col("doc_id").alias("a"), "b").distinct()
+    out = stored(pairs.where(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)").select(F.col("doc_id").alias("a"), "b").distinct(), "leaders")
+    release(first)
+    return out
 
 
-def cells(docs: DataFrame, members: DataFrame, moved: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """token, component, packed (chunk, size, position) of each prefix token of each member (doc_id, component, chunk).
+def cells(docs: DataFrame, members: DataFrame, moved: DataFrame, common: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
+    """token, component, chunk, packed (size, position) of each prefix token of each member (doc_id, component, chunk).
 
     ``moved`` (doc_id) has the documents that aren't members or whose component or chunk isn't simply (doc_id, 0): a bitmap
-    tells them, and some others, apart, and only their texts are joined with ``members``.
+    tells them, and some others, apart, and only their texts are joined with ``members``. A cell of a token of more than ``HOT``
+    classes goes to each pair of blocks that its own block is in.
     """
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -173,61 +233,77 @@ def cells(docs: DataFrame, members: DataFrame, moved: DataFrame, common: tuple[n
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 texts, own, chunks = (batch.column(i).slice(at, 256).to_pylist() for i in (0, 1, 2))
-                tokens, comps, packed = [], [], []
+                tokens, comps, parts, packed = [], [], [], []
+                known, counts, width = sent.value
                 for text, component, chunk in zip(texts, own, chunks):
                     found = shingles(text)
-                    n, low = len(found), found.astype(np.uint32)
+                    n = len(found)
                     if not n:
                         continue
-                    tokens_known, counts = sent.value
                     late = np.zeros(n, np.int64)
-                    if len(tokens_known):
-                        where = np.searchsorted(tokens_known, low).clip(0, len(tokens_known) - 1)
-                        late = np.where(tokens_known[where] == low, counts[where], 0).astype(np.int64)
-                    first = found[np.argsort(late, kind="stable")][: prefix_length(n)]
+                    if len(known):
+                        low = _low(found, width)
+                        where = np.searchsorted(known, low).clip(0, len(known) - 1)
+                        late = np.where(known[where] == low, counts[where], 0).astype(np.int64)
+                    order = np.argsort(late, kind="stable")[: prefix_length(n)]
+                    first, often, place = found[order], late[order], (n << 32) + np.arange(len(order), dtype=np.int64)
+                    if len(often) and often[-1] > HOT:
+                        blocks = -(-often // HOT)
+                        block = np.uint64(component).item() * 0x9E3779B97F4A7C15 % 2**64 >> 16
+                        which = np.repeat(np.arange(len(order)), blocks)
+                        other = np.arange(len(which)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                        mine = block % blocks[which]
+                        pair = np.where(blocks[which] > 1, np.minimum(mine, other) * blocks[which] + np.maximum(mine, other) + 1, 0).astype(np.uint64)
+                        first, place = np.where(pair > 0, mix(first[which] + pair, 4), first[which]), place[which]
                     tokens.append(first)
                     comps.append(np.full(len(first), component, np.int64))
-                    packed.append((chunk << 48) + (min(n, (1 << 24) - 1) << 24) + np.arange(len(first), dtype=np.int64).clip(0, (1 << 24) - 1))
+                    parts.append(np.full(len(first), chunk, np.int64))
+                    packed.append(place)
                 if tokens:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(comps)), pa.array(np.concatenate(packed))], ["token", "component", "packed"]
-                    )
+                    columns = [np.concatenate(x) for x in (tokens, comps, parts, packed)]
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), *map(pa.array, columns[1:])], ["token", "component", "chunk", "packed"])
 
     told = id_told(id_and_text(docs).where("doc_id is not null"), moved, "doc_id")
     still = told.where("not _told").select("text", F.col("doc_id").alias("component"), F.lit(0).cast("long").alias("chunk"))
     texts = told.where("_told").join(members, "doc_id").select("text", "component", "chunk").unionByName(still)
-    return texts.mapInArrow(run, "token long, component long, packed long")
+    return texts.mapInArrow(run, "token long, component long, chunk long, packed long")
 
 
 def group_pairs(matrix: DataFrame) -> DataFrame:
     """ca, ka, cb, kb: pairs of groups (component, chunk) of different components that some token's cells allow to link."""
 
-    def emit(found: list[np.ndarray]) -> pa.RecordBatch:
-        rows = np.unique(np.concatenate(found, 0), axis=0) if found else np.zeros((0, 4), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, i].copy()) for i in range(4)], ["ca", "ka", "cb", "kb"])
-
-    def pairs(t: np.ndarray, c: np.ndarray, p: np.ndarray) -> Iterator[np.ndarray]:
-        chunk, n, at = p >> 48, (p >> 24) & 0xFFFFFF, p & 0xFFFFFF
-        live = np.arange(len(t) - 1)
+    def pairs(t: np.ndarray, c: np.ndarray, k: np.ndarray, p: np.ndarray) -> Iterator[np.ndarray]:
+        n, at = p >> 32, p & 0xFFFFFFFF
+        # a run is in the order of sizes; the smaller set of a pair that links has the token early enough for one of its own size
+        live = np.flatnonzero(n[:-1] - at[:-1] >= -(-2 * PERCENT * n[:-1] // (100 + PERCENT)))
         step = 1
-        while True:  # each cell against the one `step` further, as long as the token lasts
+        while True:  # each cell against the one `step` further, as long as the token lasts and the sizes allow
             live = live[live < len(t) - step]
-            live = live[t[live] == t[live + step]]
+            live = live[(t[live] == t[live + step]) & (100 * n[live] >= PERCENT * n[live + step])]
             if not len(live):
                 return
             i, j = live, live + step
-            a, b = n[i], n[j]
-            least = -(-PERCENT * (a + b) // (100 + PERCENT))
-            ok = (c[i] != c[j]) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)) & (np.minimum(a - at[i], b - at[j]) >= least)
+            least = -(-PERCENT * (n[i] + n[j]) // (100 + PERCENT))
+            ok = (c[i] != c[j]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= least)
             i, j = i[ok], j[ok]
             if len(i):
                 swap = c[i] > c[j]
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
-                yield np.stack([c[i], chunk[i], c[j], chunk[j]], 1)
+                yield np.stack([c[i], k[i], c[j], k[j]])
             step += 1
 
+    def once(found: list[np.ndarray]) -> np.ndarray:
+        rows = np.concatenate(found, 1) if found else np.zeros((4, 0), np.int64)
+        key = np.zeros(rows.shape[1], np.uint64)
+        for row in rows.view(np.uint64):
+            key = mix(key + row, 5)
+        return rows[:, np.unique(key, return_index=True)[1]]
+
+    def emit(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.copy()) for x in rows], ["ca", "ka", "cb", "kb"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64)] * 4
         found: list[np.ndarray] = []
         size = 0
         for batch in batches:
@@ -236,87 +312,115 @@ def group_pairs(matrix: DataFrame) -> DataFrame:
             held = [x[cut:] for x in cols]
             for part in pairs(*(x[:cut] for x in cols)):
                 found.append(part)
-                size += len(part)
+                size += part.shape[1]
                 if size > 500_000:
-                    found = [np.unique(np.concatenate(found, 0), axis=0)]
-                    if len(found[0]) > 250_000:
-                        yield emit(found)
+                    found = [once(found)]
+                    if found[0].shape[1] > 250_000:
+                        yield emit(found[0])
                         found = []
-                    size = sum(map(len, found))
+                    size = sum(x.shape[1] for x in found)
         for part in pairs(*held):
             found.append(part)
-        yield emit(found)
+            if len(found) > 1000:
+                found = [once(found)]
+        yield emit(once(found))
 
-    ordered = matrix.repartition("token").sortWithinPartitions("token")
+    ordered = matrix.repartition("token").sortWithinPartitions("token", "packed")
     return ordered.mapInArrow(run, "ca long, ka long, cb long, kb long").distinct()
 
 
-def open_groups(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Edges (a, b) between components, one for each pair of groups in which two members link."""
+def open_groups(docs: DataFrame, members: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Edges (a, b) between components, one for each pair of components of which two members link; a stored table."""
     wanted = pairs.select(F.col("ca").alias("component"), F.col("ka").alias("chunk")).unionByName(pairs.select(F.col("cb").alias("component"), F.col("kb").alias("chunk"))).distinct()
-    own = stored(members.join(wanted, ["component", "chunk"]), "opened")
-    sets = sets_of(docs, own.select("doc_id")).join(own, "doc_id")
-    groups = stored(sets.groupBy("component", "chunk").agg(F.collect_list("tokens").alias("tokens")), "groups")
-    side = lambda s: groups.select(F.col("component").alias("c" + s), F.col("chunk").alias("k" + s), F.col("tokens").alias("t" + s))
-
-    def qualifies(query: list[np.ndarray], group: list[np.ndarray]) -> bool:
-        union = group[0] if len(group) == 1 else np.unique(np.concatenate(group))
-        for q in query:
-            inside = len(np.intersect1d(q, union, assume_unique=True))
-            if 100 * inside >= PERCENT * len(q) and any(linked(q, g) for g in group):
-                return True
-        return False
+    rows = classes.select(F.col("class_id").alias("doc_id"), "n", "sketch")
+    own = stored(members.join(wanted, ["component", "chunk"]).join(rows, "doc_id"), "opened")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            keep = [qualifies(*([np.frombuffer(t.as_buffer(), np.uint64) for t in s[i].values] for s in (x, y))) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            unions = [x[0] if len(x) == 1 else union_row(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(unions, pa.binary())], ["cb", "kb", "union"])
+
+    matrix = stored(own.groupBy("component", "chunk").agg(F.collect_list("sketch").alias("rows")).mapInArrow(unite, "cb long, kb long, union binary"), "matrix")
+
+    def qualify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, x, u = (batch.column(i).to_pylist() for i in (4, 5, 6))
+            keep = [100 * overlap_bound(p, i, q) >= PERCENT * i for i, p, q in zip(n, x, u)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:6], ["ca", "cb", "kb", "a", "n", "x"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(side("a"), ["ca", "ka"]).join(side("b"), ["cb", "kb"]).select("ca", "cb", "ta", "tb")
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, x, m, y = (batch.column(i).to_pylist() for i in range(4, 8))
+            bound = [min(overlap_bound(p, i, q), overlap_bound(q, j, p)) for i, p, j, q in zip(n, x, m, y)]
+            keep = pa.array([b >= needed(i, j) for b, i, j in zip(bound, n, m)], pa.bool_())
+            share = pa.array([b / (i + j) for b, i, j in zip(bound, n, m)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], share], ["ca", "cb", "a", "b", "share"]).filter(keep)
+
+    queries = own.select(F.col("component").alias("ca"), F.col("chunk").alias("ka"), F.col("doc_id").alias("a"), "n", F.col("sketch").alias("x"))
+    asked = pairs.join(queries, ["ca", "ka"]).join(matrix, ["cb", "kb"]).select("ca", "cb", "kb", "a", "n", "x", "union")
+    opened = asked.mapInArrow(qualify, "ca long, cb long, kb long, a long, n long, x binary")
+    inside = own.select(F.col("component").alias("cb"), F.col("chunk").alias("kb"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    left = opened.join(inside, ["cb", "kb"]).select("ca", "cb", "a", "b", "n", "x", "m", "y").mapInArrow(compare, "ca long, cb long, a long, b long, share double")
+    left = stored(left.distinct(), "candidates")
+    release(own, matrix)
+    best = stored(left.groupBy("ca", "cb").agg(F.max(F.struct("share", "a", "b")).alias("best")).select("ca", "cb", "best.a", "best.b"), "best")
+    linked_best = stored(verify(docs, best.select("a", "b")), "linked")
+    done = stored(best.join(linked_best, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "done")
+    rest = stored(left.join(done.select(F.col("a").alias("ca"), F.col("b").alias("cb")), ["ca", "cb"], "left_anti").join(best.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    linked_rest = stored(verify(docs, rest.select("a", "b").distinct()), "linked")
+    edges = stored(done.unionByName(rest.join(linked_rest, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))).distinct(), "found")
+    release(left, best, linked_best, done, rest, linked_rest)
+    return edges
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     signed = stored(signatures(docs), "signatures")
     full = signed.where("n > 0 and doc_id is not null")
-    least = full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("class_id"), F.min("mins").alias("mins"))
+    least = full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("class_id"), *[F.min(c).alias(c) for c in MINS], F.first("sketch").alias("sketch"))
     classes = stored(least, "classes")
-    reps = classes.select(F.col("class_id").alias("doc_id"), "n", "mins")
-    found = verify(docs, stored(leaders(reps), "led"))
-    first = stored(components(found), "first")
-    comps = reps.select("doc_id", "n").distinct().join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    sizes = comps.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_TOKENS)).alias("chunks")).where("chunks > 1")
-    members = stored(
-        comps.join(sizes, "component", "left").select(
-            "doc_id", "component", F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.least("chunks", F.lit(32_000)))).cast("long").alias("chunk")
-        ),
-        "members",
-    )
+    led = leaders(classes)
+    near = stored(bounded(led, classes), "near")
+    found = stored(verify(docs, near), "led")
+    first = components(found)
+    comps = classes.groupBy(F.col("class_id").alias("doc_id")).agg(F.sum("n").alias("n"))
+    comps = stored(comps.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "grouped")
+    sizes = stored(comps.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_TOKENS)).alias("chunks")).where("chunks > 1"), "sizes")
+    chunk = F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).cast("long")
+    members = stored(comps.join(sizes, "component", "left").select("doc_id", "component", chunk.alias("chunk")), "members")
+    release(led, near, found, first, comps, sizes)
     copies = stored(full.select("doc_id").join(members.select("doc_id"), "doc_id", "left_anti").distinct(), "copies")
     common = common_tokens(docs, copies, int(full.agg(F.sum("n")).first()[0] or 0))
     moved = stored(copies.unionByName(members.where("component <> doc_id or chunk <> 0").select("doc_id")).distinct(), "moved")
     pairs = stored(group_pairs(cells(docs, members, moved, common)), "pairs")
-    more = open_groups(docs, members, pairs)
-    final = stored(components(more), "final")
-    whole = members.join(final.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
-    place = whole.select(F.col("doc_id").alias("class_id"), F.coalesce("root", "component").alias("component_id")).distinct()
-    placed = full.select("doc_id", "n", "f1", "f2").join(classes.select("f1", "f2", "n", "class_id"), ["f1", "f2", "n"]).join(place, "class_id")
+    more = open_groups(docs, members, classes, pairs)
+    final = components(more)
+    place = members.join(final.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
+    place = place.select(F.col("doc_id").alias("class_id"), F.coalesce("root", "component").alias("component_id"))
+    placed = stored(classes.select("f1", "f2", "n", "class_id").join(place, "class_id").select("f1", "f2", "n", "component_id"), "placed")
+    release(copies, moved, pairs, more, final, members, classes)
+    with_place = full.select("doc_id", "n", "f1", "f2").join(placed, ["f1", "f2", "n"])
     none = signed.where("n = 0 or doc_id is null")
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(
+    return with_place.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(
         none.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     )
 
 
-def common_tokens(docs: DataFrame, copies: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted tokens of 32 bits, how many classes hold them) of the tokens of several classes, counted over all tokens of all
+def _low(found: np.ndarray, width: int) -> np.ndarray:
+    """The leading ``width`` bits of tokens, in four bytes where these suffice."""
+    return (found >> np.uint64(64 - width)).astype(np.uint32 if width <= 32 else np.uint64)
+
+
+def common_tokens(docs: DataFrame, copies: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sorted tokens, how many classes hold them, their bits) of the tokens of several classes, counted over all tokens of all
     documents but the ``copies`` (doc_id).
 
     Tasks sort their tokens and send them in ranges, as gaps of two bytes where these suffice; a range is counted by one task.
-    ``total`` (all tokens) sets how many ranges there are.
+    ``total`` (all tokens) sets how many ranges there are and how many bits of a token are counted, so that few are mistaken for one
+    another.
     """
-    bits = min(max(8, (total // 2_000_000).bit_length()), 16)
+    bits = max(8, (total // 2_000_000).bit_length())
+    width = min(64, max(32, total.bit_length() + 2))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -324,15 +428,16 @@ def common_tokens(docs: DataFrame, copies: DataFrame, total: int) -> tuple[np.nd
 
         def flush() -> pa.RecordBatch:
             every = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint32)
-            cuts = np.searchsorted(every, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(32 - bits))
-            rows = [(i, _packed(x, i << (32 - bits))) for i, x in enumerate(np.split(every, cuts)) if len(x)]
+            part = (every >> every.dtype.type(width - bits)).astype(np.int64)
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            rows = [(int(part[i]), _packed(x, int(part[i]) << (width - bits))) for i, x in zip(first, np.split(every, first[1:]) if len(first) else [])]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["part", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["part", "tokens"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for text in batch.column(0).slice(at, 256).to_pylist():
-                    held.append(shingles(text).astype(np.uint32))
+                    held.append(_low(shingles(text), width))
                     size += len(held[-1])
                 if size > 4_000_000:
                     yield flush()
@@ -340,14 +445,14 @@ def common_tokens(docs: DataFrame, copies: DataFrame, total: int) -> tuple[np.nd
         yield flush()
 
     def tally(rows: pd.DataFrame) -> pd.DataFrame:
-        low = int(rows["part"].iloc[0]) << (32 - bits)
+        low = int(rows["part"].iloc[0]) << (width - bits)
         tokens, n = np.unique(np.concatenate([_unpacked(x, low) for x in rows["tokens"]]), return_counts=True)
         kept = n > 1
-        return pd.DataFrame({"token": tokens[kept].astype(np.int64), "n": n[kept]})
+        return pd.DataFrame({"token": tokens[kept].view(np.int64), "n": n[kept]})
 
     told = id_told(id_and_text(docs).where("doc_id is not null"), copies, "doc_id")
     texts = told.where("not _told").select("text").unionByName(told.where("_told").join(copies, "doc_id", "left_anti").select("text"))
-    counts = stored(texts.mapInArrow(deal, "part int, tokens binary").groupBy("part").applyInPandas(tally, "token long, n long"), "common")
+    counts = stored(texts.mapInArrow(deal, "part long, tokens binary").groupBy("part").applyInPandas(tally, "token long, n long"), "common")
     level = F.least("n", F.lit(1 << 16))  # the most frequent first, until there are enough
     least, many = 2, 0
     for r in counts.groupBy(level.alias("n")).agg(F.count("*").alias("tokens")).orderBy(F.desc("n")).collect():
@@ -356,23 +461,36 @@ def common_tokens(docs: DataFrame, copies: DataFrame, total: int) -> tuple[np.nd
             least = r["n"] + 1
             break
     got = counts.where(level >= least).toArrow()
-    tokens, n = got.column(0).to_numpy().astype(np.uint32), got.column(1).to_numpy().clip(0, 2**32 - 1).astype(np.uint32)
+    tokens = got.column(0).to_numpy().astype(np.int64).view(np.uint64).astype(np.uint32 if width <= 32 else np.uint64)
+    n = got.column(1).to_numpy().clip(0, 2**32 - 1).astype(np.uint32)
     order = np.argsort(tokens)
-    return tokens[order], n[order]
+    release(counts)
+    return tokens[order], n[order], width
+
+
+#: A fixed value: the widths of packed gaps.
+_WIDTHS = ("<u2", "<u4", "<u8")
 
 
 def _packed(tokens: np.ndarray, low: int) -> bytes:
-    gaps = np.diff(tokens.astype(np.int64), prepend=low)
-    return b"\x01" + gaps.astype("<u2").tobytes() if gaps.max() < 1 << 16 else b"\x00" + tokens.astype("<u4").tobytes()
+    gaps = np.diff(tokens.astype(np.uint64), prepend=np.uint64(low))
+    kind = int(gaps.max() >= 1 << 16) + int(gaps.max() >= 1 << 32)
+    return bytes([kind]) + gaps.astype(_WIDTHS[kind]).tobytes()
 
 
 def _unpacked(data: bytes, low: int) -> np.ndarray:
-    if data[0]:
-        return (np.cumsum(np.frombuffer(data, "<u2", offset=1).astype(np.int64)) + low).astype(np.uint32)
-    return np.frombuffer(data, "<u4", offset=1)
+    return np.cumsum(np.frombuffer(data, _WIDTHS[data[0]], offset=1).astype(np.uint64)) + np.uint64(low)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, the smallest id; rows without an id stay."""
-    dropped = near_duplicates(docs).where("doc_id is not null and doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti")
+    """``docs`` with one row of each component, that of the smallest id. Where ids repeat or are null, rows get numbers of their own
+    first, so that every row is a document; rows without words stay.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    if ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        dropped = near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
+        return docs.join(dropped, "doc_id", "left_anti")
+    row = fresh(docs, "_row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    dropped = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias(row))
+    return numbered.join(dropped, row, "left_anti").drop(row)

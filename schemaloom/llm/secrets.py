@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: The patterns of the base kinds, in the order in which they are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -133,14 +135,6 @@ def with_spans(docs: DataFrame, model: MarkovRatio, threshold: float = THRESHOLD
     return sorted_base.withColumn(name, F.array_sort(F.concat(F.col(base), random))).drop(assign, access, digits, run, base)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def join_spans(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])
