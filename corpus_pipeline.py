@@ -4,21 +4,22 @@ toxicity drops documents that the grammar rejects; near_duplicates keeps one doc
 component; decontamination drops documents that hold a benchmark item; secrets replaces secrets in texts by a mark;
 packing, the last, returns the pieces of what is left with their places in sequences. All but the last return the columns of
 documents.
+
+Toxicity, decontamination and secrets judge every row by its own text, whatever its id; near_duplicates numbers the rows first where
+ids repeat or are null, so every row is a document there too, and rows without words all stay. Null texts are empty and packed
+as such; an empty table gives an empty result; further columns go along to the last stage.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from schemaloom.llm import decontam, jaccard, packing, quality, secrets, toxicity
-from schemaloom.llm.common import stored, table
+from schemaloom.llm import decontam, jaccard, packing, secrets, toxicity
+from schemaloom.llm.common import release, stored, table
 from schemaloom.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    grammar = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    rejected = quality.score(docs, grammar, threshold=0.7).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(rejected, docs["doc_id"] == rejected["_id"], "left_anti").select(*docs.columns)
+    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.7)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,13 +46,17 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL has no tokenizer and no trained grammar; the tests hold the stages against brute force.
+#: SQL has no tokenizer and no trained grammar; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written as Parquet and read again as the next one's documents."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
