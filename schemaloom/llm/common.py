@@ -4,7 +4,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,10 +112,31 @@ def labelled_ids(labels: DataFrame, column: str, bound: int, folds: int = 3, hel
     return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 24)) < int(share * (1 << 24)))
 
 
+def keep_rows(docs: DataFrame, judge: Callable[[list[str]], list[bool]], at_once: int = 512) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps by their texts (null: empty), as they are: no id, join or shuffle is needed."""
+    own = fresh(docs, "_judged")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
+                kept = part.filter(pa.array(judge(part.column(part.num_columns - 1).to_pylist()), pa.bool_()))
+                yield kept.select(range(kept.num_columns - 1))
+
+    return docs.withColumn(own, F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, docs.schema)
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, bound: int) -> DataFrame:
+    """(doc_id, label, text) of the documents of ``labelled_ids``; where documents share an id, the least text stands for it, so that the
+    rows are bounded as the ids are."""
+    ids = labelled_ids(labels, column, bound)
+    return id_and_text(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
+
+
 def logistic(x, y, penalty: float = 1e-2, steps: int = 40):
     """Weights, the last one the intercept, of a penalised logistic fit by Newton's method; numpy arrays."""
     import numpy as np

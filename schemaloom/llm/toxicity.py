@@ -1,25 +1,32 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Tokens get classes: insult (with a weight), threat, target, negation, speech, boundary, other. Three small transducers read the
-classes in step: negation holds for three tokens after a negating word, reported speech from a word of speech to the clause's
-end, target for five tokens around a pronoun of address. Their composition (``compose``) is one table over product
-states that says, at every insult or threat, how it stands: plain or negated, reported or not, aimed or not. A
-clause's score is the sum of its matches' lexical weights times the weight of how they stand, and a document's score a
-logistic function of its clauses' total, best clause and density.
+Tokens get classes: insult (with a weight), threat, agent, target, negation, speech, quote, boundary, other. Six small transducers read
+the classes in step and mark what they see:
+
+* insult: a match begins, or goes on in a run of insults ("stupid idiot" is one match, its further words count half);
+* threat: a threatening verb within four tokens after an agent or auxiliary ("I will hurt");
+* target before: an insult within five tokens after a pronoun of address; target after: such a pronoun within five tokens after an insult
+  or two after a threat (what comes before a threat is who threatens);
+* negation: three tokens after a negating word;
+* reported speech: from a word of speech or of naming to the clause's end, and between quotation marks.
+
+Their composition (``compose``) is one table over product states. A match's score is its lexical weight times the weight of its
+marks; a pronoun after the match raises it later. A clause scores the sum of its matches, ``CLAUSE`` at most for each; a document's score is a
+logistic function of log(1 + its clauses' total), never of isolated words.
 
 The insult lexicon has a short fixed list and what is learnt: words and word beginnings of four to six letters whose document
 frequencies differ between toxic and clean labelled texts by a likelihood-ratio test. At most about ``SAMPLE`` labelled rows
-outside the held-out fold are learnt from; every text is scored whole.
+outside the held-out fold are learnt from (this bounds the learnt terms too), together with ``examples``, clauses made by rule that
+show what standing does; every text is scored whole.
 
 Null texts are empty; a text without matches has the score of no matches. Rows that repeat are scored each. Without labels
-of both classes, the logistic weights are fixed ones. An empty table gives an empty result.
+of both classes, only the examples are learnt from. An empty table gives an empty result.
 """
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from math import log
 
@@ -28,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, labelled_ids, logistic
+from .common import keep_rows, labelled_texts, logistic, release, stored
 
 SAMPLE = 12_000
-#: Learnt terms: the least documents, log odds and likelihood-ratio statistic, and the most that are kept.
-LEAST, ODDS, EVIDENCE, TERMS = 4, 2.0, 30.0, 20_000
+#: Learnt terms: the least documents, log odds and likelihood-ratio statistic.
+LEAST, ODDS, EVIDENCE = 4, 2.0, 15.0
 BEGINNINGS = (4, 5, 6)
+#: The most that a clause counts.
+CLAUSE = 4.0
 
 #: The word lists of the grammar.
 INSULTS = (
@@ -43,114 +52,174 @@ INSULTS = (
 THREATS = "kill destroy hurt beat murder burn shoot tuer détruire frapper töten vernichten schlagen matar destruir golpear".split()
 TARGETS = "you your yours u tu toi vous votre du dich dir euch ihr tú usted ustedes vosotros".split()
 NEGATIONS = "not never no isn't aren't don't ne pas jamais nicht kein keine nie niemals nunca jamás".split()
-SPEECH = "said says say wrote quoted quote claimed called dit écrit cité sagte schrieb zitierte dijo escribió citó".split()
+SPEECH = (
+    "said says say wrote quoted quote claimed called word words term means meaning dit écrit cité mot signifie sagte schrieb zitierte "
+    "wort bedeutet dijo escribió citó palabra significa"
+).split()
+AGENTS = "i we i'll we'll will gonna going shall must je nous vais allons ich wir werde werden yo voy vamos".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, SAID, BOUNDARY = range(7)
-TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;\n]")
+OTHER, INSULT, THREAT, AGENT, TARGET, NEGATION, SAID, QUOTE, BOUNDARY = range(9)
+KINDS = 9
+QUOTES, ENDS = '"\u201c\u201d\u00ab\u00bb', ".!?;\n"
+TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;\n\"\u201c\u201d\u00ab\u00bb]")
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """Deterministic: ``step[state][class]`` is the next state; ``mark[state]`` what it says of the token just read."""
+    """Deterministic: ``step[state][class]`` is the next state, ``mark[state][class]`` what it says of the token read there."""
 
     step: tuple[tuple[int, ...], ...]
-    mark: tuple[int, ...]
+    mark: tuple[tuple[int, ...], ...]
+
+
+def machine(states: int, step: Callable[[int, int], int], mark: Callable[[int, int], bool]) -> Transducer:
+    cells = lambda f: tuple(tuple(int(f(s, c)) for c in range(KINDS)) for s in range(states))
+    return Transducer(cells(step), cells(mark))
 
 
-def countdown(opens: int, span: int, to_end: bool = False) -> Transducer:
-    """Marks the ``span`` tokens after a token of class ``opens`` (or all, ``to_end``) up to the clause's end."""
-    step = []
-    for s in range(span + 1):
-        after = s if to_end else max(s - 1, 0)
-        step.append(tuple(span if c == opens else 0 if c == BOUNDARY else after for c in range(7)))
-    return Transducer(tuple(step), tuple(int(s > 0) for s in range(span + 1)))
+def within(span: int, opens: tuple[int, ...], marked: tuple[int, ...]) -> Transducer:
+    """Marks tokens of the classes ``marked`` among the ``span`` tokens after one of ``opens``, up to the clause's end."""
+    return machine(span + 1, lambda s, c: span if c in opens else 0 if c == BOUNDARY else max(s - 1, 0), lambda s, c: s > 0 and c in marked)
 
 
-def compose(*parts: Transducer) -> tuple[np.ndarray, np.ndarray]:
-    """The product automaton: next states (states x classes), and each state's marks as bits, the first part's lowest."""
-    states, at, rows = [tuple(0 for _ in parts)], {tuple(0 for _ in parts): 0}, []
-    marks = []
+MATCHES = (INSULT, THREAT)
+#: A run of insults: state 1 inside; marks the tokens that go on with it.
+RUN = machine(2, lambda s, c: c == INSULT, lambda s, c: s == 1 and c == INSULT)
+ARMED = within(4, (AGENT,), (THREAT,))
+AIMED = within(5, (TARGET,), (INSULT,))
+AIMED_AFTER = machine(6, lambda s, c: 5 if c == INSULT else 2 if c == THREAT else 0 if c == BOUNDARY else max(s - 1, 0), lambda s, c: s > 0 and c == TARGET)
+DENIED = within(3, (NEGATION,), MATCHES)
+#: State 1 to the clause's end; state 2 to the closing quotation mark.
+REPORTED = machine(3, lambda s, c: (0 if s == 2 else 2) if c == QUOTE else s if s == 2 else 0 if c == BOUNDARY else 1 if c == SAID else s, lambda s, c: s > 0 and c in MATCHES)
+
+
+def compose(*parts: Transducer) -> tuple[list, list]:
+    """The product: next states and marks (bits, the first part's lowest) by state and class, of the states that can be reached."""
+    start = tuple(0 for _ in parts)
+    states, at, steps, marks = [start], {start: 0}, [], []
     for state in states:  # grows while it is read
         row = []
-        for c in range(7):
+        for c in range(KINDS):
             fresh = tuple(p.step[s][c] for p, s in zip(parts, state))
             if fresh not in at:
                 at[fresh] = len(states)
                 states.append(fresh)
             row.append(at[fresh])
-        rows.append(row)
-        marks.append(sum(p.mark[s] << i for i, (p, s) in enumerate(zip(parts, state))))
-    return np.array(rows), np.array(marks)
+        steps.append(row)
+        marks.append([sum(p.mark[s][c] << i for i, (p, s) in enumerate(zip(parts, state))) for c in range(KINDS)])
+    return steps, marks
+
+
+GRAMMAR = (RUN, ARMED, AIMED, AIMED_AFTER, DENIED, REPORTED)
+ON, THREATENS, BEFORE, AFTER, NOT, TOLD = (1 << i for i in range(6))
+STEP, MARKS = compose(*GRAMMAR)
+#: What a match counts: unaimed and aimed; shares of it when it goes on with a run, is denied, is reported, or threatens without an agent.
+UNAIMED, AIMS = 0.55, 1.6
+SHARES = {ON: 0.5, NOT: 0.1, TOLD: 0.15}
+UNARMED = 0.1
 
 
-STEP, MARKS = (x.tolist() for x in compose(countdown(NEGATION, 3), countdown(SAID, 1, to_end=True), countdown(TARGET, 5)))
-#: How much a match counts by its marks: negated and reported ones little, aimed ones more.
-STANDING = [(0.25 if m & 1 else 1.0) * (0.4 if m & 2 else 1.0) * (1.4 if m & 4 else 1.0) for m in range(8)]
+def standing(kind: int, marks: int, aimed: bool) -> float:
+    """The weight of a match by its marks."""
+    out = UNARMED if kind == THREAT and not marks & THREATENS else 1.0
+    for bit, share in SHARES.items():
+        out *= share if marks & bit else 1.0
+    return out * (AIMS if aimed else UNAIMED if kind == INSULT else UNARMED)
+
+
+#: By kind and marks: the weight as it is read, and the weight if a pronoun follows.
+STANDING = {kind: [(standing(kind, m, bool(m & BEFORE)), standing(kind, m, True)) for m in range(1 << len(GRAMMAR))] for kind in MATCHES}
 
 
 @dataclass
 class ToxicGrammar:
-    """words, beginnings: lexical weights; weights: of total, best clause, density and one, for the logistic function."""
+    """words, beginnings: lexical weights, up to 1; slope and offset of the logistic function of log(1 + total)."""
 
     words: dict
     beginnings: dict
-    weights: tuple = (1.2, 0.5, 0.1, -3.0)
+    slope: float = 6.0
+    offset: float = -3.0
     known: dict = field(default_factory=dict, repr=False)
 
     def classify(self, token: str) -> tuple[int, float]:
-        if token in ".!?;\n":
+        if token in ENDS:
             return BOUNDARY, 0.0
-        if token in TARGETS:
-            return TARGET, 0.0
-        if token in NEGATIONS:
-            return NEGATION, 0.0
-        if token in SPEECH:
-            return SAID, 0.0
+        if token in QUOTES:
+            return QUOTE, 0.0
+        for kind, listed in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (SAID, SPEECH), (AGENT, AGENTS)):
+            if token in listed:
+                return kind, 0.0
         weight = max([self.words.get(token, 0.0), *(self.beginnings.get(token[:n], 0.0) for n in BEGINNINGS if len(token) >= n)])
         if weight > 0:
             return INSULT, weight
         return (THREAT, 1.0) if token in THREATS else (OTHER, 0.0)
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        """log(1 + total), the best clause's score, and matches' weight in a hundred tokens."""
-        tokens = TOKEN.findall(text.lower())
+    def clauses(self, text: str) -> list[float]:
+        """The scores of the clauses with a match."""
         known = self.known
         if len(known) > 500_000:
             known.clear()
         hits = []
-        for i, t in enumerate(tokens):
+        for i, t in enumerate(TOKEN.findall(text.lower())):
             c = known.get(t)
             if c is None:
                 c = self.classify(t)
                 known[t] = c = c if c[0] != OTHER else False
             if c:
                 hits.append((i, c))
-        if not any(c[0] in (INSULT, THREAT) for _, c in hits):
-            return 0.0, 0.0, 0.0
-        total, best, clause, state, last = 0.0, 0.0, 0.0, 0, -1
+        if not any(c[0] in MATCHES for _, c in hits):
+            return []
+        out, clause, state, last, gain = [], 0.0, 0, -1, 0.0
         for i, (kind, weight) in hits:
             for _ in range(min(i - last - 1, 6)):  # after six others, every countdown has run out
                 state = STEP[state][OTHER]
-            last = i
-            if kind == BOUNDARY:
-                best, clause = max(best, clause), 0.0
-            elif kind in (INSULT, THREAT):
-                clause += weight * STANDING[MARKS[state]]
-                total += weight * STANDING[MARKS[state]]
+            last, marks = i, MARKS[state][kind]
+            if kind in MATCHES:
+                now, later = STANDING[kind][marks]
+                clause += weight * now
+                gain = weight * (later - now)
+            elif marks & AFTER:  # a pronoun after the latest match
+                clause += gain
+                gain = 0.0
+            elif kind == BOUNDARY and clause:
+                out.append(min(clause, CLAUSE))
+                clause = 0.0
             state = STEP[state][kind]
-        return log(1 + total), max(best, clause), 100 * total / len(tokens)
+        return [*out, min(clause, CLAUSE)] if clause else out
+
+    def feature(self, text: str) -> float:
+        return log(1 + sum(self.clauses(text)))
 
     def scores(self, texts: list[str]) -> list[float]:
-        x = np.array([self.features(t) for t in texts]).reshape(-1, 3)
-        return (1 / (1 + np.exp(-np.clip(x @ np.array(self.weights[:3]) + self.weights[3], -35, 35)))).tolist()
+        x = np.array([self.feature(t) for t in texts], float)
+        return (1 / (1 + np.exp(-np.clip(self.slope * x + self.offset, -35, 35)))).tolist()
+
+    def calibrated(self, x: np.ndarray, y: np.ndarray) -> ToxicGrammar:
+        """With the logistic function of these features and labels and of the examples, which weigh a tenth of them together."""
+        own = examples()
+        times = max(1, len(x) // (10 * len(own)))
+        x = np.concatenate([x, np.repeat([self.feature(t) for t, _ in own], times)])
+        y = np.concatenate([y, np.repeat([float(l) for _, l in own], times)])
+        slope, offset = logistic(x[:, None], y, penalty=0.1)
+        return ToxicGrammar(self.words, self.beginnings, float(slope), float(offset))
 
     def __getstate__(self):
-        return {"words": self.words, "beginnings": self.beginnings, "weights": self.weights, "known": {}}
+        return self.__dict__ | {"known": {}}
+
+
+def examples() -> list[tuple[str, int]]:
+    """(clause, toxic) by rule: an aimed insult or threat is toxic; a denied, reported or unaimed one alone is not."""
+    toxic = ["you are an {}", "{} , that is what you are", "shut up you {}"]
+    clean = ["you are not an {}", "he said you are an {}", "the word {} means a fool", "a {} was there", "the day was long"]
+    out = [(t.format(w), l) for w in INSULTS[:10] for texts, l in ((toxic, 1), (clean, 0)) for t in texts]
+    for w in THREATS[:7]:
+        out += [(f"i will {w} you", 1), (f"they {w} time", 0), (f"she wrote i will {w} you", 0), (f"i will not {w} you", 0)]
+    return out
 
 
 def terms(text: str) -> set[str]:
     """The distinct words of a text, and their beginnings with a dash."""
-    words = {w for w in TOKEN.findall(text.lower()) if w not in ".!?;\n"}
+    words = {w for w in TOKEN.findall(text.lower()) if w not in ENDS + QUOTES}
     return words | {w[:n] + "-" for w in words for n in BEGINNINGS if len(w) >= n}
 
 
@@ -165,16 +234,15 @@ def weigh(counts: DataFrame, toxic: int, clean: int) -> tuple[dict, dict]:
     evidence = 2 * (part(a, share * toxic) + part(b, share * clean) + part(toxic - a, toxic - share * toxic) + part(clean - b, clean - share * clean))
     kept = (
         counts.where(a >= LEAST).select("term", odds.alias("odds"), evidence.alias("evidence"))
-        .where((F.col("odds") >= ODDS) & (F.col("evidence") >= EVIDENCE)).orderBy(F.desc("evidence"), "term").limit(TERMS)
+        .where((F.col("odds") >= ODDS) & (F.col("evidence") >= EVIDENCE))
     )
-    found = {r["term"]: min(r["odds"], 6.0) for r in kept.collect()}
+    found = {r["term"]: min(r["odds"], 6.0) / 6 for r in kept.collect()}
     return {t: w for t, w in found.items() if not t.endswith("-")}, {t[:-1]: w for t, w in found.items() if t.endswith("-")}
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int = SAMPLE) -> ToxicGrammar:
     """The lexicon from document counts, then the logistic weights from the features of the same labelled texts."""
-    ids = labelled_ids(labels, column, sample)
-    chosen = id_and_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")
+    chosen = stored(labelled_texts(docs, labels, column, sample), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -195,17 +263,21 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int
     counts = chosen.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     sizes = {r["label"]: r["n"] for r in chosen.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
     words, beginnings = weigh(counts, sizes.get(1, 0), sizes.get(0, 0))
-    grammar = ToxicGrammar({**dict.fromkeys(INSULTS, 3.0), **words}, beginnings)
-    if not sizes.get(1) or not sizes.get(0):
-        return grammar
+    grammar = ToxicGrammar({**words, **dict.fromkeys(INSULTS, 1.0)}, beginnings)
     sent = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([sent.value.features(t) for t in batch.column(2).to_pylist()]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x[:, j]) for j in range(3))], ["doc_id", "label", "a", "b", "c"])
+            x = np.array([sent.value.feature(t) for t in batch.column(2).to_pylist()], float)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x)], ["doc_id", "label", "x"])
+
+    rows = chosen.mapInArrow(measure, "doc_id long, label int, x double").toPandas()
+    rows = rows.sort_values(["x", "label"])
+    release(chosen)
+    return grammar.calibrated(rows["x"].to_numpy(float), (rows["label"] > 0).to_numpy(float))
 
-    rows = chosen.mapInArrow(measure, "doc_id long, label int, a double, b double, c double").toPandas()
-    rows = rows.sort_values("doc_id", key=lambda s: s.map(lambda i: zlib.crc32(str(i).encode())))
-    grammar.weights = tuple(logistic(rows[["a", "b", "c"]].to_numpy(float), (rows["label"] > 0).to_numpy(float), penalty=0.1).tolist())
-    return grammar
+
+def keep_clean(docs: DataFrame, grammar: ToxicGrammar, threshold: float) -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``threshold``."""
+    sent = docs.sparkSession.sparkContext.broadcast(grammar)
+    return keep_rows(docs, lambda texts: [s < threshold for s in sent.value.scores(texts)])
