@@ -2,13 +2,16 @@
 
 Base spans, leftmost and non-overlapping for each kind, failing matches dropped afterwards:
 assign (a key word, ``:`` or ``=``, a value of 8 or more), access (``AKIA`` keys of 16 or more), hex (32 or more digits).
-The models add ``random`` spans: runs of 20 or more characters of ``[A-Za-z0-9+/_=-]`` that hold a digit and a letter,
-touch no base span, and are likelier by ``THRESHOLD`` nats a character under the model of random strings than under the
-model of identifiers. Both are first-order chains over a 65-character alphabet with add-one smoothing, trained from
+The models add ``random`` spans. Base spans are blanked out of the text; in each run of 20 or more characters of ``[A-Za-z0-9+/_=-]`` that
+is left, stretches are sought whose characters are likelier under the model of random strings than under the model of identifiers: the
+log-likelihood ratio less ``THRESHOLD`` nats is summed along the run, a stretch begins where the sum was last 0, ends at the sum's peak,
+and is closed when the sum falls to 0 or by ``DROP`` nats below the peak. It is a span if it has ``LENGTH`` characters, a digit, a letter
+and a peak of ``EVIDENCE`` nats; so a secret is found wherever it is joined to ordinary words. The span reaches on both sides to the next of ``= / _ -`` or
+the run's end; spans that meet are one. A run without such a stretch is a span as a whole if its sum is above 0. Both are first-order chains over a 65-character alphabet with add-one smoothing, trained from
 labelled samples by ``train``; ``labelled_samples`` makes the default ones.
 
 Every expression runs in the JVM. Offsets count code points, ends are exclusive. Null and empty texts have no spans;
-rows that repeat are scanned each; only doc_id and text are read. There is no limit on a text's length.
+rows that repeat are scanned each; an empty table gives an empty result; only doc_id and text are read. There is no limit on a text's length.
 """
 from __future__ import annotations
 
@@ -27,7 +30,7 @@ HEX = r"[0-9a-f]{32,}"  # a run is matched whole or not at all, so the length ca
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_"
-THRESHOLD = 0.35
+THRESHOLD, DROP, LENGTH, EVIDENCE = 0.35, 8.0, 20, 8.0
 
 #: Parts of ordinary identifiers, for the default samples.
 PARTS = (
@@ -48,17 +51,40 @@ class MarkovRatio:
 
     ratios: tuple[float, ...]
 
-    def score(self, token: Column) -> Column:
-        """The mean log-likelihood ratio a transition of ``token``."""
+    def stretches(self, run: Column, threshold: float = THRESHOLD) -> Column:
+        """array<struct<start, end>> of the stretches of ``run`` that look random, from 0, ends exclusive."""
         width = len(ALPHABET) + 1
-        table = F.lit(",".join(f"{x:.6f}" for x in self.ratios))
-        table = F.split(table, ",").cast("array<double>")
-        chars = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))))
-        steps = F.transform(
-            F.sequence(F.lit(1), F.length(token) - 1),
-            lambda i: F.element_at(table, F.element_at(chars, i) * width + F.element_at(chars, i + 1) + 1),
+        table = F.split(F.lit(",".join(f"{x - threshold:.6f}" for x in self.ratios)), ",").cast("array<double>")
+        codes = F.transform(F.filter(F.split(run, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+        none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+        found = lambda acc: F.when(
+            (acc["end"] - acc["start"] >= LENGTH) & (acc["peak"] >= EVIDENCE),
+            F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end")))),
+        ).otherwise(acc["out"])
+
+        def step(acc: Column, code: Column) -> Column:
+            at = acc["at"]  # the place of this character
+            total = acc["total"] + F.when(at == 0, 0.0).otherwise(F.element_at(table, acc["before"] * width + code + 1))
+            up, close = total > acc["peak"], (total <= 0) | (total < acc["peak"] - DROP)
+            pick = lambda reset, raised, kept: F.when(close, reset).when(up, raised).otherwise(kept)
+            return F.struct(
+                code.alias("before"),
+                F.when(close, 0.0).otherwise(total).alias("total"),
+                pick(F.lit(0.0), total, acc["peak"]).alias("peak"),
+                F.when(close, at).otherwise(acc["start"]).alias("start"),
+                pick(at, at + 1, acc["end"]).alias("end"),
+                F.when(close, found(acc)).otherwise(acc["out"]).alias("out"),
+                (at + 1).alias("at"),
+                (acc["sum"] + total - acc["total"]).alias("sum"),
+            )
+
+        zero = F.struct(
+            F.lit(0).alias("before"), F.lit(0.0).alias("total"), F.lit(0.0).alias("peak"), F.lit(0).alias("start"), F.lit(0).alias("end"), none.alias("out"), F.lit(0).alias("at"),
+            F.lit(0.0).alias("sum"),
         )
-        return F.aggregate(steps, F.lit(0.0).cast("double"), lambda a, x: a + x) / (F.length(token) - 1)
+        ends = lambda acc: F.struct(found(acc).alias("out"), F.struct(F.lit(0).alias("start"), acc["at"].alias("end")).alias("whole"), (acc["sum"] > 0).alias("above"))
+        done = F.transform(F.array(F.aggregate(codes, zero, step, ends)), lambda x: F.when((F.size(x["out"]) == 0) & x["above"], F.array(x["whole"])).otherwise(x["out"]))
+        return F.element_at(done, 1)
 
 
 def labelled_samples(spark: SparkSession, size: int = 6000) -> DataFrame:
@@ -122,17 +148,55 @@ def with_spans(docs: DataFrame, model: MarkovRatio, threshold: float = THRESHOLD
     """``docs`` with the column ``name``: array<struct<start, kind, end, found>>, by start, then kind as in ``KINDS``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     value = lambda x: F.regexp_extract(x["found"], ASSIGN, 2)
-    assign, access, digits, run, base = (fresh(docs, n) for n in ("_assign", "_access", "_hex", "_run", "_base"))
-    found = docs.withColumns({
-        assign: F.filter(_places(text, ASSIGN, 0), lambda x: F.length(value(x)) >= 8),
-        access: F.filter(_places(text, ACCESS, 1), lambda x: F.length(x["found"]) >= 16),
-        digits: _places(text, HEX, 2),
-        run: F.filter(_places(text, RUN, 3), lambda x: x["found"].rlike("[0-9]") & x["found"].rlike("[A-Za-z]")),
-    })
-    apart = lambda x: ~F.exists(F.col(base), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    random = F.filter(F.col(run), lambda x: apart(x) & (model.score(x["found"]) > threshold))
-    sorted_base = found.withColumn(base, F.array_sort(F.concat(assign, access, digits)))
-    return sorted_base.withColumn(name, F.array_sort(F.concat(F.col(base), random))).drop(assign, access, digits, run, base)
+    base, run = fresh(docs, "_base"), fresh(docs, "_run")
+    found = docs.withColumn(base, F.array_sort(F.concat(
+        F.filter(_places(text, ASSIGN, 0), lambda x: F.length(value(x)) >= 8),
+        F.filter(_places(text, ACCESS, 1), lambda x: F.length(x["found"]) >= 16),
+        _places(text, HEX, 2),
+    )))
+    mixed = lambda x: x["found"].rlike("[0-9]") & x["found"].rlike("[A-Za-z]")
+    runs = found.withColumn(run, F.filter(_places(blanked(text, F.col(base)), RUN, 3), mixed))
+
+    def parts(x: Column) -> Column:
+        span = lambda s: F.struct(
+            (x["start"] + s["start"]).alias("start"), F.lit(3).alias("kind"), (x["start"] + s["end"]).alias("end"),
+            F.substring(x["found"], s["start"] + 1, s["end"] - s["start"]).alias("found"),
+        )
+        return F.transform(widened(x["found"], model.stretches(x["found"], threshold)), span)
+
+    random = F.filter(F.flatten(F.transform(F.col(run), parts)), mixed)
+    return runs.withColumn(name, F.array_sort(F.concat(F.col(base), random))).drop(run, base)
+
+
+def widened(run: Column, spans: Column) -> Column:
+    """The spans out to the letters, digits and plus signs around them, those that meet joined."""
+    around = lambda rest: F.length(F.regexp_extract(rest, "^[A-Za-z0-9+]*", 0))
+    wide = F.transform(spans, lambda s: F.struct(
+        (s["start"] - around(F.reverse(F.substring(run, F.lit(1), s["start"])))).alias("start"),
+        (s["end"] + around(F.substring(run, s["end"] + 1, F.length(run)))).alias("end"),
+    ))
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+
+    def join(out: Column, x: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when(x["start"] <= last["end"], F.concat(F.slice(out, 1, F.size(out) - 1), F.array(grown))).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(wide, none, join)
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with blanks in place of the spans, so that all offsets stay."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = F.greatest(acc["at"], x["start"])
+        end = F.greatest(at, x["end"])
+        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, at - acc["at"]), F.repeat(F.lit(" "), end - at))
+        return F.struct(end.alias("at"), out.alias("out"))
+
+    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
 def join_spans(spans: Column) -> Column:
