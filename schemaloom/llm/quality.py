@@ -1,9 +1,10 @@
 """Quality classifier: naive Bayes support vectors over hashed n-gram indicators.
 
-Indicators of byte trigrams, of words and of word pairs, hashed to ``2**BITS`` places, and of class n-grams (bytes of a class, a
-word after itself) above some shares, are scaled by the log ratio of their smoothed shares in the two classes; a linear hinge-loss model is fitted to them by dual
+A text has indicators of its byte trigrams, words and word pairs, of n-grams of byte classes (letters, capitals, digits, blanks and kinds of
+signs; a run of one class counts once), and of n-grams over whether a word repeats the one before. All are hashed to ``2**BITS`` places
+and scaled by the log ratio of their smoothed shares in the two classes; a linear hinge-loss model is fitted to them by dual
 coordinate descent, and a logistic fit on a fifth of the rows that the descent hasn't seen turns margins into probabilities.
-At most about ``SAMPLE`` labelled rows outside the held-out fold are learnt from; every text is scored whole.
+At most about ``SAMPLE`` labelled rows outside the held-out fold are learnt from, one of each doc_id; every text is scored whole.
 
 Null texts are empty; an empty text has the margin of no indicators. Rows that repeat are scored each. With labels of one
 class or none, every score is that class's share (0.5 without labels). An empty table gives an empty result.
@@ -19,39 +20,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_py, id_and_text, labelled_ids, logistic
+from .common import fold_py, id_and_text, labelled_texts, logistic
 
 BITS = 18
 SAMPLE = 4000
 _MIX = np.uint32(2654435761)
-#: Shares of a text's bytes or adjacent words above which an indicator of a class n-gram is set, and the byte classes.
-SHARES = (0.01, 0.02, 0.04, 0.08, 0.16, 0.32)
-CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?", b"#$%&*+/<=>@^_~|\\", b" ", bytes(range(128, 256)))
-_CLASS = np.zeros((256, len(CLASSES)), np.int64)
-for _i, _c in enumerate(CLASSES):
-    _CLASS[list(_c), _i] = 1
-SHAPES = len(SHARES) * (len(CLASSES) + 1)
+#: The byte classes; all other bytes are of class 0. Lengths of the n-grams of classes and of repeats.
+CLASSES = (b"abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256)), b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\v\f", b"\n", b".,", b"!?", b"#$%&*+/<=>@^_~|\\")
+CLASS_GRAMS, REPEAT_GRAMS = (3, 5, 7), (1, 2, 3)
+_CLASS = np.zeros(256, np.uint32)
+for _i, _c in enumerate(CLASSES, 1):
+    _CLASS[list(_c)] = _i
 
 
-def indicators(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct places of a text's n-grams, and those of its class n-grams (after the others)."""
+def _grams(codes: np.ndarray, size: int, radix: int, kind: int) -> np.ndarray:
+    """A number for each n-gram of ``codes``; those of another ``kind`` differ."""
+    out = np.full(max(len(codes) - size + 1, 0), kind, np.uint32)
+    for k in range(size):
+        out = out * np.uint32(radix) + codes[k : len(out) + k]
+    return out
+
+
+def indicators(text: str) -> np.ndarray:
+    """The distinct places of a text's n-grams."""
     raw = text.encode("utf-8", "replace")
     data = np.frombuffer(raw, np.uint8)
-    shares = np.zeros(len(CLASSES) + 1)
-    found = []
-    if len(data):
-        shares[:-1] = np.bincount(data, minlength=256) @ _CLASS / len(data)
-    if len(data) >= 3:
-        wide = data.astype(np.uint32)
-        found.append((wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]) + np.uint32(1))
-    words = np.fromiter(map(zlib.crc32, raw.lower().split()), np.uint32)
-    if len(words):
-        found += [words * np.uint32(3) + np.uint32(7), words[:-1] * np.uint32(31) + words[1:]]
-        shares[-1] = (words[:-1] == words[1:]).sum() / len(words)
-    shape = np.flatnonzero((shares[:, None] > np.array(SHARES)).ravel()) + (1 << BITS)
-    if not found:
-        return np.zeros(0, np.int64), shape
-    return np.unique((np.concatenate(found) * _MIX) >> np.uint32(32 - BITS)).astype(np.int64), shape
+    classes = _CLASS[data]
+    classes = classes[np.flatnonzero(np.diff(classes.astype(np.int64), prepend=-1))]
+    split = raw.lower().split()
+    words = np.fromiter(map(zlib.crc32, split), np.uint32, len(split))
+    again = (words[1:] == words[:-1]).astype(np.uint32)
+    found = [_grams(data.astype(np.uint32), 3, 256, 1), words * np.uint32(3) + np.uint32(7), words[:-1] * np.uint32(31) + words[1:]]
+    found += [_grams(classes, k, 11, 100 + k) for k in CLASS_GRAMS] + [_grams(again, k, 2, 70_000 + k) * _MIX for k in REPEAT_GRAMS]
+    return np.unique((np.concatenate(found) * _MIX) >> np.uint32(32 - BITS)).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -61,26 +62,24 @@ class NbSvm:
     slope: float
     offset: float
 
-    def margin(self, row: tuple[np.ndarray, np.ndarray]) -> float:
-        grams, shape = row
-        return float(self.weights[grams].sum() / max(len(grams), 1) ** 0.5 + self.weights[shape].sum()) + self.bias
+    def margin(self, places: np.ndarray) -> float:
+        return float(self.weights[places].sum() / max(len(places), 1) ** 0.5) + self.bias
 
     def scores(self, texts: list[str]) -> list[float]:
         margins = np.array([self.margin(indicators(t)) for t in texts])
         return (1 / (1 + np.exp(-np.clip(self.slope * margins + self.offset, -35, 35)))).tolist()
 
 
-def dual_descent(rows: list, scale: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 20, seed: int = 0) -> tuple[np.ndarray, float]:
+def dual_descent(places: list, scale: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 20, seed: int = 0) -> tuple[np.ndarray, float]:
     """Hinge loss, L2 penalty: coordinate descent on the dual, a coordinate a row, rows in random order. A row is its
-    places; n-grams are scaled to the length of their number's root."""
-    places = [np.concatenate(r) for r in rows]
-    values = [scale[p] * np.concatenate([np.full(len(r[0]), max(len(r[0]), 1) ** -0.5), np.ones(len(r[1]))]) for p, r in zip(places, rows)]
-    w, b, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
+    places, scaled to the length of their number's root."""
+    values = [scale[p] * max(len(p), 1) ** -0.5 for p in places]
+    w, b, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(places))
     norms = np.array([(v**2).sum() + 1.0 for v in values])
     random = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
-        for i in random.permutation(len(rows)):
+        for i in random.permutation(len(places)):
             p, v = places[i], values[i]
             gradient = y[i] * (w[p] @ v + b) - 1
             fresh = min(max(alpha[i] - gradient / norms[i], 0.0), cost[i])
@@ -97,7 +96,7 @@ def dual_descent(rows: list, scale: np.ndarray, y: np.ndarray, cost: np.ndarray,
 
 def fit(rows: list, labels: np.ndarray, cost: float = 1.0) -> NbSvm:
     """From the indicators of labelled texts; every fifth row is kept for the probabilities."""
-    width = (1 << BITS) + SHAPES
+    width = 1 << BITS
     if len(set(labels.tolist())) < 2:
         share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.5
         return NbSvm(np.zeros(width), 0.0, 0.0, float(np.log(share / (1 - share))))
@@ -107,8 +106,7 @@ def fit(rows: list, labels: np.ndarray, cost: float = 1.0) -> NbSvm:
         own, kept = np.arange(len(rows)), np.ones(len(rows), bool)
     counts = {c: np.ones(width) for c in (0, 1)}
     for i in own:
-        for places in rows[i]:
-            counts[int(labels[i])][places] += 1
+        counts[int(labels[i])][rows[i]] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     y = np.where(labels[own] == 1, 1.0, -1.0)
     weights, bias = dual_descent([rows[i] for i in own], ratio, y, np.full(len(y), cost))
@@ -119,18 +117,14 @@ def fit(rows: list, labels: np.ndarray, cost: float = 1.0) -> NbSvm:
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int = SAMPLE) -> NbSvm:
-    chosen = id_and_text(docs).join(F.broadcast(labelled_ids(labels, column, sample)), "doc_id")
-
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[x.astype("<u4").tobytes() for x in indicators(t)] for t in batch.column("text").to_pylist()]
-            columns = [pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *columns], ["doc_id", "label", "grams", "shape"])
-
-    rows = chosen.select("doc_id", "label", "text").mapInArrow(featured, "doc_id long, label int, grams binary, shape binary").collect()
-    rows.sort(key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))  # the same order in every run
-    places = [tuple(np.frombuffer(r[c], "<u4").astype(np.int64) for c in ("grams", "shape")) for r in rows]
-    return fit(places, np.array([r["label"] for r in rows], int))
+            found = [indicators(t).astype("<u4").tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "label", "grams"])
+
+    rows = labelled_texts(docs, labels, column, sample).mapInArrow(featured, "doc_id long, label int, grams binary").collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))  # the same order in every run
+    return fit([np.frombuffer(r["grams"], "<u4").astype(np.int64) for r in rows], np.array([r["label"] for r in rows], int))
 
 
 def score(docs: DataFrame, model, threshold: float = 0.5, folds: int = 3, held_out: int = 1) -> DataFrame:
