@@ -3,8 +3,8 @@
 Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there up to ``?``, ``#`` or the
 end. A rule fits its host and all subdomains if the path starts with the rule's; the longest fitting rule wins. URLs that
 no rule fits are judged by trees over length, depth, digit ratio, character entropy, parameter counts, hyphens and
-suffix statistics, trained from labelled URLs (``train``); ``labelled_urls`` makes the default ones. Trees run as nested
-CASE expressions in the JVM.
+suffix and word statistics (log odds of block, learnt with the trees), trained from labelled URLs (``train``); ``labelled_urls`` makes the
+default ones, six families of ordinary and six of abusive shapes. Trees run as nested CASE expressions in the JVM.
 
 A null url, or one without ``://``, has an empty host and an empty path and goes to the trees with what lexical features it has.
 Repeated rows are judged each; an empty table gives an empty result; only page_id and url are read.
@@ -22,9 +22,9 @@ from .common import lower_ascii
 
 #: The most labelled rows that a fit looks at.
 SAMPLE = 20_000
-#: Suffixes with statistics of their own, the most frequent ones; others have none (0).
-SUFFIXES = 200
-FEATURES = ("length", "host_length", "labels", "depth", "digits", "entropy", "parameters", "fragment", "hyphens", "suffix", "domain")
+#: Words of so many characters at least have statistics; suffixes, domains and words of so many labelled URLs at least.
+WORD, OFTEN = 3, 5
+FEATURES = ("length", "host_length", "labels", "depth", "digits", "host_digits", "entropy", "parameters", "fragment", "hyphens", "escapes", "suffix", "domain", "words")
 
 
 @dataclass(frozen=True)
@@ -76,10 +76,13 @@ def with_lexical(df: DataFrame) -> DataFrame:
         "labels": count(host, r"\."),
         "depth": count(F.col("path"), "/"),
         "digits": count(url, "[0-9]") / F.greatest(F.length(url), F.lit(1)),
+        "host_digits": count(host, "[0-9]"),
         "entropy": entropy,
         "parameters": F.when(query == "", 0.0).otherwise(count(query, "&") + 1.0),
         "fragment": F.when(F.instr(url, "#") > 0, 1.0).otherwise(0.0),
         "hyphens": count(host, "-"),
+        "escapes": count(url, "[%@]|xn--"),
+        "_words": F.array_distinct(F.regexp_extract_all(lower_ascii(F.concat(host, F.lit("/"), F.col("path"))), F.lit(f"[a-z]{{{WORD},}}"), F.lit(0))),
         "_suffix": F.regexp_extract(host, r"([^.]*)\z", 1),
         "_domain": F.regexp_extract(host, r"([^.]*\.[^.]*)\z", 1),
     })
@@ -87,16 +90,19 @@ def with_lexical(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class UrlModel:
-    """suffixes, domains: log odds of block; trees: nested (feature, cut, left, right) with leaves of floats."""
+    """suffixes, domains, words: log odds of block; trees: nested (feature, cut, left, right) with leaves of floats."""
 
     suffixes: dict
     domains: dict
+    words: dict
     trees: tuple
     start: float
 
     def score(self, df: DataFrame) -> DataFrame:
         """``df`` with ``block_score``, the probability of block; ``with_lexical`` comes first."""
-        df = df.withColumns({"suffix": _look_up(self.suffixes, F.col("_suffix")), "domain": _look_up(self.domains, F.col("_domain"))})
+        df = df.withColumns({
+            "suffix": _look_up(self.suffixes, F.col("_suffix")), "domain": _look_up(self.domains, F.col("_domain")), "words": _sum_of(self.words, F.col("_words"))
+        })
         total = F.lit(self.start)
         for tree in self.trees:
             total = total + _column(tree)
@@ -110,6 +116,13 @@ def _look_up(values: dict, key: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(0.0))
 
 
+def _sum_of(values: dict, keys: Column) -> Column:
+    if not values:
+        return F.lit(0.0)
+    table = F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, float(v))])
+    return F.aggregate(keys, F.lit(0.0), lambda a, k: a + F.coalesce(F.try_element_at(table, k), F.lit(0.0)))
+
+
 def _column(tree) -> Column:
     if not isinstance(tree, tuple):
         return F.lit(float(tree))
@@ -117,50 +130,84 @@ def _column(tree) -> Column:
     return F.when(F.col(feature) <= F.lit(float(cut)), _column(left)).otherwise(_column(right))
 
 
-def labelled_urls(spark: SparkSession, size: int = 4000) -> DataFrame:
-    """(url, label) made by rule, the same in every run; label 1 is block. Blocked ones have hyphenated hosts, odd suffixes,
-    long digit runs, deep paths or many parameters; allowed ones are short word paths under common suffixes.
+#: Words of the families of ``labelled_urls``.
+PLAIN = (
+    "news blog shop wiki forum docs help about story photo music garden travel health science sport food city market review bank school library "
+    "museum weather radio history cooking hotel train bike books film studio local county press tools project guide manual report index login"
+).split()
+BAIT = (
+    "cheap free best win winner casino pills viagra loan bonus deal hot credit cash prize click adult replica porn sex escort bet poker slots "
+    "payload malware crack keygen torrent phish verify suspended giveaway lottery miracle dating xxx jackpot"
+).split()
+COMMON_SUFFIXES = "com org net edu example.com example.org example.net co.uk de fr es io gov".split()
+ODD_SUFFIXES = "xyz top click loan win bid info ru tk example.com example.net com net".split()
+
+
+def labelled_urls(spark: SparkSession, size: int = 6000) -> DataFrame:
+    """(url, label) made by rule, the same in every run, ``size`` of each label; 1 is block. Ordinary families: word pages with a query or
+    fragment, manuals, hyphenated hosts, shop pages with parameters, home and login pages, dated articles. Abusive ones: hyphenated bait
+    hosts, downloads from bare addresses, long login hosts under odd suffixes, bait run together with digits, bait paths under ordinary
+    hosts, encoded hosts with many parameters.
     """
-    words = F.split(F.lit("news blog shop wiki forum docs help about story photo music garden travel health science sport food city market review"), " ")
-    baits = F.split(F.lit("cheap free best win casino pills loan bonus deal hot credit cash prize click adult replica"), " ")
-    good, odd = F.split(F.lit("com org net edu example.com example.org example.net"), " "), F.split(F.lit("xyz top click loan win bid example.com example.net"), " ")
     hashed = lambda k: F.xxhash64(F.col("id"), F.lit(k))
-    pick = lambda parts, n, k: F.element_at(parts, (F.pmod(hashed(k), F.lit(n)) + 1).cast("int"))
-    digits = lambda k: F.pmod(hashed(k), F.lit(100_000)).cast("string")
+    pick = lambda words, k: F.element_at(F.split(F.lit(" ".join(words)), " "), (F.pmod(hashed(k), F.lit(len(words))) + 1).cast("int"))
+    digits = lambda k, below=100_000: F.pmod(hashed(k), F.lit(below)).cast("string")
+    hexes = lambda k, n: F.substring(F.sha2(F.concat_ws("-", "id", F.lit(k)), 256), 1, n)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    w, c = (lambda k: pick(PLAIN, k)), pick(COMMON_SUFFIXES, 90)
+    b, odd = (lambda k: pick(BAIT, k)), pick(ODD_SUFFIXES, 91)
+    front = pick(["https://", "https://www.", "https://blog.", "http://", "http://m.", "http://www."], 92)
+    tail = pick(["", ".html", "/", "?page=2&ref=x", "?utm_source=feed", "#top"], 93)
+    plain = [
+        text(front, w(1), w(2), ".", c, "/", w(3), "/", digits(4), tail),
+        text("https://docs.", w(1), ".", c, "/", w(2), "/v", digits(3, 9), "/", w(4), "-", w(5), ".html"),
+        text("https://", w(1), "-", w(2), ".", c, "/", w(3), tail),
+        text("https://shop.", w(1), ".", c, "/product/", digits(2), "?color=", w(3), "&size=", digits(4, 50)),
+        text(front, w(1), w(2), ".", c, pick(["", "/", "/login", "/about", "/contact"], 5)),
+        text("https://www.", w(1), ".", c, "/20", (F.pmod(hashed(2), F.lit(15)) + 10).cast("string"), "/", digits(3, 12), "/", w(4), "-", w(5), "-", w(6), "-", w(7)),
+    ]
+    abuse = [
+        text(front, b(1), "-", b(2), pick(["", "-x", "-online", "-24"], 3), ".", odd, "/", w(4), "/", digits(5), tail),
+        text("http://", digits(1, 223), ".", digits(2, 255), ".", digits(3, 255), ".", digits(4, 255), "/", w(5), "/", b(6), pick([".exe", ".apk", ".zip", ".php"], 7)),
+        text("http://", w(1), ".secure-", w(2), ".account-", hexes(3, 6), ".", odd, "/", hexes(4, 24), "/login?session=", hexes(5, 32)),
+        text("http://", b(1), b(2), digits(3, 9999), ".", odd, "/", pick(["", "a/b/c/d/", "go/"], 4), digits(5)),
+        text(front, w(1), ".", c, "/", b(2), "-", b(3), pick(["", "/", ".php", "?id=1"], 4)),
+        text("http://xn--", hexes(1, 9), ".", odd, "/", b(2), "?id=", digits(3), "&s=", hexes(4, 8), "&aff=", digits(5), "&r=%2F%2F", b(6)),
+    ]
+    made = lambda families: F.element_at(F.array(*families), (F.pmod(F.col("id"), F.lit(6)) + 1).cast("int"))
     ids = spark.range(size)
-    plain = F.concat(
-        F.lit("https://"), F.when(F.col("id") % 3 == 0, F.lit("www.")).when(F.col("id") % 3 == 1, F.lit("blog.")).otherwise(F.lit("")),
-        pick(words, 20, 1), pick(words, 20, 2), F.lit("."), pick(good, 7, 3), F.lit("/"), pick(words, 20, 4), F.lit("/"), digits(5),
-        F.when(hashed(6) % 4 == 0, F.lit("?page=2&ref=x")).when(hashed(6) % 4 == 1, F.lit("?utm_source=feed")).when(hashed(6) % 4 == 2, F.lit("#top")).otherwise(F.lit(".html")),
-    )
-    bait = F.concat(
-        F.lit("http://"), F.when(F.col("id") % 2 == 0, F.lit("blog.")).otherwise(F.lit("")), pick(baits, 16, 1), F.lit("-"), pick(baits, 16, 2),
-        F.when(F.col("id") % 3 == 0, F.concat(F.lit("-"), digits(7))).otherwise(F.lit("")), F.lit("."), pick(odd, 8, 3), F.lit("/"), pick(words, 20, 4),
-        F.when(hashed(8) % 3 == 0, F.concat(F.lit("/a/b/c/"), digits(9), digits(10))).otherwise(F.concat(F.lit("/"), digits(9))),
-        F.when(hashed(11) % 2 == 0, F.concat(F.lit("?id="), digits(12), F.lit("&s="), digits(13), F.lit("&aff="), digits(14))).otherwise(F.lit("")),
-    )
-    return ids.select(plain.alias("url"), F.lit(0).alias("label")).unionByName(ids.select(bait.alias("url"), F.lit(1).alias("label")))
-
-
-def train(labelled: DataFrame, sample: int = SAMPLE, trees: int = 30, depth: int = 3, rate: float = 0.3, seed: int = 0) -> UrlModel:
-    """Suffix statistics and trees from (url, label); at most ``sample`` rows, chosen by hash, reach the driver."""
-    share = min(1.0, sample / max(labelled.count(), 1))
-    chosen = labelled.where("url is not null and label is not null").where(F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1 << 20)) <= int(share * (1 << 20)))
-    plain = [f for f in FEATURES if f not in ("suffix", "domain")]
-    rows = with_lexical(chosen).select("label", "_suffix", "_domain", *plain).limit(sample).toPandas()
-    if rows["label"].nunique() < 2:
-        return UrlModel({}, {}, (), float(20 * rows["label"].mean() - 10) if len(rows) else -10.0)
-    y = rows["label"].to_numpy(float)
+    return ids.select(made(plain).alias("url"), F.lit(0).alias("label")).unionByName(ids.select(made(abuse).alias("url"), F.lit(1).alias("label")))
 
-    def odds(name: str) -> dict:
-        seen = rows.groupby(name)["label"].agg(["sum", "count"]).sort_values("count", ascending=False).head(SUFFIXES)
-        base = math.log(y.sum() / (len(y) - y.sum()))
-        return {k: math.log((r["sum"] + 1) / (r["count"] - r["sum"] + 1)) - base for k, r in seen.iterrows()}
 
-    suffixes, domains = odds("_suffix"), odds("_domain")
+def train(labelled: DataFrame, sample: int = SAMPLE, trees: int = 40, depth: int = 4, rate: float = 0.3, seed: int = 0) -> UrlModel:
+    """Statistics and trees from (url, label); at most ``sample`` rows, chosen by hash, reach the driver. The statistics are counted on one
+    half of them and the trees grown on the other, so that they learn how far to trust them."""
+    draw = F.xxhash64("url", F.lit(seed))
+    share = min(1.0, sample / max(labelled.count(), 1))
+    chosen = labelled.where("url is not null and label is not null").where(F.pmod(draw, F.lit(1 << 20)) <= int(share * (1 << 20)))
+    plain = [f for f in FEATURES if f not in ("suffix", "domain", "words")]
+    rows = with_lexical(chosen).select("label", "_suffix", "_domain", "_words", *plain, "url").orderBy(draw, "url", "label").limit(sample).toPandas()
+    if rows["label"].nunique() < 2:
+        return UrlModel({}, {}, {}, (), float(20 * rows["label"].mean() - 10) if len(rows) else -10.0)
+    half = np.arange(len(rows)) % 2 == 0
+    if rows["label"][half].nunique() < 2 or rows["label"][~half].nunique() < 2:
+        half[:] = True
+    base = math.log(rows["label"][half].sum() / (half.sum() - rows["label"][half].sum()))
+
+    def odds(keys) -> dict:
+        counts: dict = {}
+        for key, label in zip(keys, rows["label"].loc[keys.index]):
+            n, m = counts.get(key, (0, 0))
+            counts[key] = (n + 1, m + label)
+        return {k: math.log((m + 1) / (n - m + 1)) - base for k, (n, m) in counts.items() if n >= OFTEN}
+
+    own = rows[half]
+    suffixes, domains, words = (odds(own[c].explode().dropna()) for c in ("_suffix", "_domain", "_words"))
     rows["suffix"], rows["domain"] = rows["_suffix"].map(suffixes).fillna(0.0), rows["_domain"].map(domains).fillna(0.0)
-    start, grown = boost(rows[list(FEATURES)].to_numpy(float), y, FEATURES, trees, depth, rate)
-    return UrlModel(suffixes, domains, tuple(grown), start)
+    rows["words"] = [sum(words.get(w, 0.0) for w in ws) for ws in rows["_words"]]
+    fit = rows if half.all() else rows[~half]
+    start, grown = boost(fit[list(FEATURES)].to_numpy(float), fit["label"].to_numpy(float), FEATURES, trees, depth, rate)
+    return UrlModel(suffixes, domains, words, tuple(grown), start)
 
 
 def boost(x: np.ndarray, y: np.ndarray, names: tuple, trees: int, depth: int, rate: float, bins: int = 32, penalty: float = 1.0) -> tuple[float, list]:
