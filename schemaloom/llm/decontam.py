@@ -3,7 +3,7 @@
 Texts and items are read as words (lower-cased, ASCII punctuation dropped). An item of n words is found in a document if some
 run of its words is within ``EDITS`` n word edits (rounded down) of the item.
 
-1. Windows. Of 2k + 2 words of an item (its longest, then rarest), k edits leave k + 2, and these stay in step within k words:
+1. Windows. Of 2k + 2 words of an item (those that few items have, the longest of these first), k edits leave k + 2, and these stay in step within k words:
    windows of the item's length are put where so many of its chosen words are, and no other place can hold the item.
 2. Embedding. A random walk after Chakraborty, Goldenberg and Koucky: at step t the word at the pointer is written down, and
    bit t of a random function of the word says if the pointer moves. Small edit distances become small Hamming distances.
@@ -12,7 +12,8 @@ run of its words is within ``EDITS`` n word edits (rounded down) of the item.
    where these repetitions meet fewer (long items), all windows are compared, without buckets.
 4. Windows and items that meet in a bucket are compared exactly, by a bit-parallel edit distance over the window's surroundings.
 
-Items without words are in no document; an item of fewer than ``SHORT`` words only counts where it is a document's whole text.
+Items without words are in no document; an item of fewer than ``SHORT`` words only counts where it is a document's whole text, longer
+ones are searched everywhere. There is no bound on an item's or a text's length.
 Items go to all tasks in blocks of ``BLOCK`` at most, so any number of them may be given. Null texts are empty; rows
 that repeat are searched each; equal items are all reported; an empty table on either side gives an empty result.
 """
@@ -28,12 +29,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, keep_rows
 
-EDITS, SHORT, SAMPLED, RECALL, BLOCK, MOST = 0.2, 8, 3, 0.97, 20_000, 48
+EDITS, SHORT, SAMPLED, RECALL, BLOCK, MOST = 0.2, 4, 3, 0.97, 20_000, 48
 FOUND = "doc_id long, item_id long, edits int, start_word long, end_word long, item_words int"
 _DROP = string.punctuation.encode()
 
@@ -122,7 +124,7 @@ class Items:
             if 0 < len(ws) < SHORT:
                 self.whole[tuple(ws)].append(k)
             elif ws:
-                chosen = sorted(range(len(ws)), key=lambda i: (-len(ws[i]), counts[ws[i]], i))[: 2 * self.allowed[k] + 2]
+                chosen = sorted(range(len(ws)), key=lambda i: (max(counts[ws[i]], 4).bit_length(), -len(ws[i]), counts[ws[i]], i))[: 2 * self.allowed[k] + 2]
                 self.need[k] = len(chosen) - self.allowed[k]
                 for i in chosen:
                     anchors[ws[i]].append((k, i))
@@ -235,36 +237,40 @@ class Items:
         place = np.repeat(self.first[word] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         at, item = np.repeat(hit, many), self.item_of[place]
         row = np.searchsorted(np.cumsum(sizes), at, side="right")
-        lead = 1 << 20  # more than any item is long
-        start = at - (np.cumsum(sizes) - sizes)[row] - self.place_of[place] + lead
-        keys = np.sort(((row * len(self.ids) + item) << 33) + start)
-        item = (keys >> 33) % max(len(self.ids), 1)
+        start = at - (np.cumsum(sizes) - sizes)[row] - self.place_of[place]
+        order = np.lexsort((start, row * len(self.ids) + item))
+        start, item, row = start[order], item[order], row[order]
         allowed = np.array(self.allowed, np.int64)
-        last = np.arange(len(keys)) + self.need[item] - 1
-        ok = (last < len(keys)) & (keys[last.clip(0, max(len(keys) - 1, 0))] - keys <= allowed[item]) if len(keys) else np.zeros(0, bool)
+        last = np.arange(len(start)) + self.need[item] - 1
+        inside = last < len(start)
+        last = last.clip(0, max(len(start) - 1, 0))
+        ok = inside & (item[last] == item) & (row[last] == row) & (start[last] - start <= allowed[item])
         out: dict[int, set] = defaultdict(set)
         direct: dict[int, set] = defaultdict(set)
-        for i in np.flatnonzero(ok):
-            k = int(item[i])
+        for i in np.flatnonzero(ok).tolist():
+            k, r = int(item[i]), int(row[i])
             if self.direct[k]:  # the words in step stand at most allowed[k] further on, which compare() looks over
-                direct[int((keys[i] >> 33) // len(self.ids))].add((k, max(int(keys[i] & ((1 << 33) - 1)) - lead, 0)))
-                continue
-            out[int((keys[i] >> 33) // len(self.ids))].update((int(x & ((1 << 33) - 1)) - lead, len(self.words[k])) for x in keys[i : int(last[i]) + 1])
+                direct[r].add((k, max(int(start[i]), 0)))
+            else:
+                out[r].update((x, len(self.words[k])) for x in start[i : int(last[i]) + 1].tolist())
         return {r: sorted(w) for r, w in out.items()}, direct
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDITS) -> DataFrame:
-    """doc_id, item_id, edits, start_word, end_word and item_words of every item in every document, at its best place."""
+def blocks_of(benchmark: DataFrame, share: float) -> Iterator[Broadcast]:
+    """The items, sent to all tasks in blocks of ``BLOCK`` at most."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     blocks = max(1, -(-2 * items.count() // BLOCK))
     dealt = items.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    spark, parts = docs.sparkSession, []
     for b in range(blocks):
         rows = sorted((r["item_id"] is None, r["item_id"], r["text"]) for r in dealt.where(F.col("_block") == b).collect())
         if rows:
-            sent = spark.sparkContext.broadcast(Items([r[1:] for r in rows], share))
-            parts.append(id_and_text(docs).mapInArrow(lambda batches, s=sent: _find(batches, s.value), FOUND))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], FOUND)
+            yield benchmark.sparkSession.sparkContext.broadcast(Items([r[1:] for r in rows], share))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDITS) -> DataFrame:
+    """doc_id, item_id, edits, start_word, end_word and item_words of every item in every document, at its best place."""
+    parts = [id_and_text(docs).mapInArrow(lambda batches, s=sent: _find(batches, s.value), FOUND) for sent in blocks_of(benchmark, share)]
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], FOUND)
 
 
 def _find(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
@@ -278,7 +284,13 @@ def _find(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.Record
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold an item; rows without an id stay."""
-    hits = contaminated(docs, benchmark).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = EDITS) -> DataFrame:
+    """``docs`` without the rows whose text holds an item; every row is judged by its own text, whatever its id."""
+    for sent in blocks_of(benchmark, share):
+        docs = keep_rows(docs, lambda texts, s=sent: _holds(s.value, texts))
+    return docs
+
+
+def _holds(items: Items, texts: list[str]) -> list[bool]:
+    held = {r for r, *_ in items.find(texts)}
+    return [i not in held for i in range(len(texts))]
