@@ -11,7 +11,8 @@ one candidate: the k smallest ids of each stand for it. The results of all tasks
 window by query. Recall is measured in the tests.
 
 Vectors that are null, zero, hold a null or non-finite component, or are not of the table's usual length take no part. Ties go to
-the smaller id; repeated vectors are candidates each; with fewer candidates than k, all are returned; an empty table
+the smaller id; repeated vectors are candidates each, and rows that share a vec_id are queries and candidates each (only a query's own row is
+left out of its candidates); with fewer candidates than k, all are returned; an empty table
 gives an empty result.
 """
 from __future__ import annotations
@@ -112,9 +113,9 @@ def fit(x: np.ndarray, width: int = 2, threshold: float = THRESHOLD, iterations:
 
 
 def usable(embeddings: DataFrame, id_column: str, vector_column: str) -> tuple[DataFrame, int]:
-    """(vec_id, vector) of the vectors that take part, and their length."""
+    """(row, vec_id, vector) of the vectors that take part, and their length."""
     v = F.col("vector")
-    rows = embeddings.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector")).where(
+    rows = embeddings.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector")).where(
         "vec_id is not null and vector is not null and size(vector) > 0"
     )
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
@@ -129,10 +130,11 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def build(rows: DataFrame, dim: int, sample: int = SAMPLE, seed: int = 0) -> tuple[DataFrame, Quantiser]:
-    """The index (vec_id, code of two subspaces a byte, vector) of every row, and the quantiser."""
+    """The index (row, vec_id, code of two subspaces a byte, vector) of every row (row, vec_id, vector), and the quantiser."""
     n = rows.count()
     share = min(1.0, 1.2 * sample / max(n, 1))
-    chosen = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(sample)
+    draw = F.xxhash64("vec_id", F.lit(seed))
+    chosen = rows.where(F.pmod(draw, F.lit(1 << 20)) < int(share * (1 << 20))).orderBy(draw, "vec_id").limit(sample)
     x = np.asarray([r["vector"] for r in chosen.select("vector").toLocalIterator()] or np.ones((1, dim)), float)
     quantiser = fit(x, seed=seed)
     sent = rows.sparkSession.sparkContext.broadcast(quantiser)
@@ -141,36 +143,36 @@ def build(rows: DataFrame, dim: int, sample: int = SAMPLE, seed: int = 0) -> tup
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                codes = sent.value.encode(_matrix(part.column(1), dim)).astype(np.uint8)
+                codes = sent.value.encode(_matrix(part.column(2), dim)).astype(np.uint8)
                 if codes.shape[1] % 2:
                     codes = np.pad(codes, ((0, 0), (0, 1)))
                 packed = codes[:, ::2] | codes[:, 1::2] << 4
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in packed], pa.binary()), part.column(1)], ["vec_id", "code", "vector"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in packed], pa.binary()), part.column(2)], ["row", "vec_id", "code", "vector"])
 
-    return stored(rows.mapInArrow(encode, "vec_id long, code binary, vector array<double>"), "ann-index"), quantiser
+    return stored(rows.mapInArrow(encode, "row long, vec_id long, code binary, vector array<double>"), "ann-index"), quantiser
 
 
 def search(index: DataFrame, quantiser: Quantiser, queries: DataFrame, k: int = 20, shortlist: int = SHORTLIST) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k best of every query (vec_id, vector), all rows but its own id."""
+    """query_id, rank (from 1), vec_id, score: the k best of every query (row, vec_id, vector), all rows but its own."""
     spark = index.sparkSession
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
     found: DataFrame | None = None
     for b in range(blocks):
-        rows = dealt.where(F.col("_block") == b).select("vec_id", "vector").collect()
+        rows = dealt.where(F.col("_block") == b).select("row", "vec_id", "vector").orderBy("row").collect()
         if not rows:
             continue
-        ids, vectors = np.asarray([r["vec_id"] for r in rows], np.int64), np.asarray([r["vector"] for r in rows], float)
-        sent = spark.sparkContext.broadcast((ids, vectors, quantiser))
-        part = index.mapInArrow(lambda batches, s=sent: _scan(batches, *s.value, k, shortlist), "query_id long, vec_id long, score double")
+        own, ids = (np.asarray([r[c] for r in rows], np.int64) for c in ("row", "vec_id"))
+        sent = spark.sparkContext.broadcast((own, ids, np.asarray([r["vector"] for r in rows], float), quantiser))
+        part = index.mapInArrow(lambda batches, s=sent: _scan(batches, *s.value, k, shortlist), "query long, query_id long, vec_id long, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = spark.createDataFrame([], "query long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, vectors: np.ndarray, quantiser: Quantiser, k: int, shortlist: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], own_rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, quantiser: Quantiser, k: int, shortlist: int) -> Iterator[pa.RecordBatch]:
     tables = quantiser.tables(vectors)
     if tables.shape[1] % 2:
         tables = np.pad(tables, ((0, 0), (0, 1), (0, 0)))
@@ -181,12 +183,12 @@ def _scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, vectors: np.ndarra
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
-            vec_ids = part.column(0).to_numpy()
-            codes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(vec_ids), -1)
-            data = _matrix(part.column(2), quantiser.dim) + 0.0  # -0.0 is 0.0
+            rows, vec_ids = part.column(0).to_numpy(), part.column(1).to_numpy()
+            codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(vec_ids), -1)
+            data = _matrix(part.column(3), quantiser.dim) + 0.0  # -0.0 is 0.0
             # equal vectors: one class, its members in the order of their ids
             order = np.argsort(vec_ids, kind="stable")
-            vec_ids, codes, data = vec_ids[order], codes[order], data[order]
+            rows, vec_ids, codes, data = rows[order], vec_ids[order], codes[order], data[order]
             _, head, kind = np.unique(data.view(np.dtype((np.void, data.itemsize * data.shape[1]))).ravel(), return_index=True, return_inverse=True)
             members, size = np.argsort(kind, kind="stable"), np.bincount(kind)
             first, codes, data = np.cumsum(size) - size, codes[head], data[head]
@@ -202,8 +204,9 @@ def _scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, vectors: np.ndarra
                 # k + 1 members of a class are enough, since one may be the query itself
                 many = np.minimum(size[chosen], k + 1)
                 within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                row, exact, found = np.repeat(row, many), np.repeat(exact, many), vec_ids[members[np.repeat(first[chosen], many) + within]]
-                other = found != ids[own][row]
+                member = members[np.repeat(first[chosen], many) + within]
+                row, exact, found = np.repeat(row, many), np.repeat(exact, many), vec_ids[member]
+                other = rows[member] != own_rows[own][row]
                 row = np.concatenate([np.repeat(np.arange(len(scores)), k), row[other]])
                 all_ids, all_scores = np.concatenate([best_ids[own].ravel(), found[other]]), np.concatenate([best[own].ravel(), exact[other]])
                 order = np.lexsort((all_ids, -all_scores, row))
@@ -212,7 +215,7 @@ def _scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, vectors: np.ndarra
                 best_ids[own], best[own] = all_ids[top], all_scores[top]
     real = best > -np.inf
     at, _ = np.nonzero(real)
-    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(best_ids[real]), pa.array(best[real])], ["query_id", "vec_id", "score"])
+    yield pa.RecordBatch.from_arrays([pa.array(own_rows[at]), pa.array(ids[at]), pa.array(best_ids[real]), pa.array(best[real])], ["query", "query_id", "vec_id", "score"])
 
 
 def search_table(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
@@ -221,4 +224,4 @@ def search_table(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFra
     if not dim:
         return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index, quantiser = build(rows, dim)
-    return search(index, quantiser, index.where(F.col("vec_id") % every == 0).select("vec_id", "vector"), k)
+    return search(index, quantiser, index.where(F.col("vec_id") % every == 0).select("row", "vec_id", "vector"), k)
