@@ -1,6 +1,6 @@
 """Sharding by a Feistel permutation of global row numbers.
 
-Rows are numbered 0..N-1 by (xxhash64 of doc_id, doc_id, size, crc32): any order that is the same in every run would do,
+Rows are numbered 0..N-1 by (xxhash64 of doc_id, size and crc32, then these): any order that is the same in every run would do,
 and this one cuts into even ranges without a look at the data. A Feistel network over ``a x b >= N`` cells permutes the
 numbers; results of N or more walk the cycle until they fall below N. Position ``p`` goes to shard ``p mod shards``, slot
 ``p div shards``: counts differ by one at most, slots have no gaps, and ``place`` gives the place of any row number
@@ -46,7 +46,8 @@ def _div(x: Column, by: int) -> Column:
 
 
 def permute(x: Column, n: int, seed: int = 0) -> Column:
-    """The permutation of 0..n-1: fewer than sqrt(n) cells lie outside, so a walk this long ends, else the row fails loudly."""
+    """The permutation of 0..n-1. Fewer than a = sqrt(n) cells lie outside, so a walk ends after a steps; beyond a = 64 it stops after 65,
+    which a walk outlasts with a chance below 65 ** -65, and then the row fails loudly."""
     steps = min(grid(n)[0], 64) + 1
     end = F.lit(n).cast("long")
     walk = F.aggregate(
@@ -65,22 +66,29 @@ def place(row_number: Column, n: int, shards: int, seed: int = 0) -> tuple[Colum
     return F.pmod(p, F.lit(shards).cast("long")).cast("int"), _div(p, shards)
 
 
-def number_rows(df: DataFrame, order: list[str], rows_per_range: int = 1_000_000, least_ranges: int = 256) -> tuple[DataFrame, int]:
-    """``df`` with ``row_number`` (long, from 0) and its count: rows stand in the order of the first column's xxhash64,
-    then of the columns of ``order``.
+def number_rows(df: DataFrame, rows_per_range: int = 1_000_000, least_ranges: int = 256, block: int = 1 << 16) -> tuple[DataFrame, int]:
+    """``df`` with ``row_number`` (long, from 0) and its count: rows stand in the order of the xxhash64 of all columns, then of the columns.
 
-    The leading bits of the hash cut the rows into even ranges, a power of two of them. A row's number is its range's
-    offset plus its rank inside; only the counts of the ranges (a row for each) are gathered and broadcast.
+    Rows that are equal in all columns are counted before anything is shuffled and written out again at the end, in blocks of
+    ``block``, so no number of copies meets in one task. The leading bits of the hash cut what differs into even ranges, a power of two of
+    them. A row's number is its range's offset plus its place inside; only the counts of the ranges (a row for each) are
+    gathered and broadcast.
     """
     n = df.count()
     bits = max(least_ranges, -(-n // rows_per_range) - 1).bit_length()
-    ranged = df.withColumn("_hash", F.xxhash64(F.col(order[0]))).withColumn("_range", F.shiftrightunsigned("_hash", 64 - bits))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    offsets = counts.selectExpr("_range", "sum(_n) over (order by _range rows between unbounded preceding and current row) - _n as _offset")
-    keys = ", ".join(f"{c} asc nulls first" for c in ["_hash", *order])
-    inside = F.expr(f"row_number() over (partition by _range order by {keys})")
-    numbered = ranged.withColumn("_inside", inside).join(F.broadcast(offsets), "_range")
-    return numbered.withColumn("row_number", F.col("_offset") + F.col("_inside") - 1).drop("_hash", "_range", "_inside", "_offset"), n
+    kinds = df.groupBy(*df.columns).agg(F.count("*").alias("_n")).withColumn("_hash", F.xxhash64(*df.columns))
+    ranged = kinds.withColumn("_range", F.shiftrightunsigned("_hash", 64 - bits))
+    offsets = ranged.groupBy("_range").agg(F.sum("_n").alias("_n"))
+    offsets = offsets.selectExpr("_range", "sum(_n) over (order by _range rows between unbounded preceding and current row) - _n as _offset")
+    keys = ", ".join(f"{c} asc nulls first" for c in ["_hash", *df.columns])
+    inside = F.expr(f"sum(_n) over (partition by _range order by {keys} rows between unbounded preceding and current row) - _n")
+    first = ranged.withColumn("_inside", inside).join(F.broadcast(offsets), "_range").withColumn("_first", F.col("_offset") + F.col("_inside"))
+    first = first.select(*df.columns, "_first", "_n")
+    few = first.where(F.col("_n") <= block)
+    many = first.where(F.col("_n") > block).withColumn("_at", F.explode(F.expr(f"sequence(0L, _n - 1, {block}L)")))
+    many = many.select(*df.columns, (F.col("_first") + F.col("_at")).alias("_first"), F.least(F.col("_n") - F.col("_at"), F.lit(block)).alias("_n"))
+    every = few.unionByName(many.repartition(F.col("_first")))
+    return every.withColumn("_k", F.explode(F.expr("sequence(0L, _n - 1)"))).withColumn("row_number", F.col("_first") + F.col("_k")).drop("_first", "_n", "_k"), n
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 0) -> DataFrame:
@@ -91,7 +99,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 0) -> DataFra
         (F.octet_length(data) + 8).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
     )
-    numbered, n = number_rows(narrow, ["doc_id", "size", "text_crc32"])
+    numbered, n = number_rows(narrow)
     p = numbered.withColumn("_p", permute(F.col("row_number"), n, seed))
     shard = F.pmod(F.col("_p"), F.lit(shards).cast("long"))
     return p.select(
