@@ -20,6 +20,7 @@ Null texts are empty (one end token). Rows that repeat are scored each. Without
 """
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -349,7 +350,7 @@ def grow(counts: DataFrame, deep: DataFrame, nodes: DataFrame | None = None, hel
     return SuffixTree(tuple(codes), np.array(row_of, np.int32), rows, emit, least, told)
 
 
-_states: dict[int, tuple] = {}
+_states: dict[str, tuple] = {}
 
 
 def score(docs: DataFrame, counts: DataFrame, tree: SuffixTree, nodes: DataFrame, folds: int = 5, held_out: int = 1, words: int = WORDS) -> DataFrame:
@@ -363,7 +364,7 @@ def score(docs: DataFrame, counts: DataFrame, tree: SuffixTree, nodes: DataFrame
     value = lambda c: log10((c + 0.5) / below)
     frequent = {bytes(r["word"]): value(r["c"]) for r in vocabulary.where(F.col("c") >= max(2, n // words)).toLocalIterator()}
     sent = spark.sparkContext.broadcast((frequent, tree, value(ends), int(ends > 0)))
-    key = id(sent)
+    key = uuid.uuid4().hex  # a worker may outlive a tree
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, own_tree, end, end_known = sent.value
