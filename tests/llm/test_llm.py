@@ -55,14 +55,58 @@ def test_secrets(spark, docs, none):
     assert secrets.redact(docs, model).columns == docs.columns and secrets.digest(none, model).count() == 0
 
 
+def test_random_spans(spark, none):
+    """The stretches of the JVM are those of a plain loop, and secrets are found wherever they are joined to words."""
+    model = secrets.train(secrets.labelled_samples(spark, 3000))
+    own, width = random.Random(4), len(secrets.ALPHABET) + 1
+    secret = lambda n: "".join(own.choices(secrets.ALPHABET, k=n))
+    ident = lambda: own.choice("_-/=").join(own.choices(secrets.PARTS, k=5)) + str(own.randrange(100))
+    texts = [f"é see {own.choice(['', ident() + '=', '/user/profile/settings/'])}{secret(40)} and {ident()} x" for _ in range(60)] + [f"of {ident()} and 2023-01-02-{ident()}" for _ in range(60)]
+    texts += [f"{secret(30)}{'/user/profile/settings/session/' * 2}{secret(30)}", "token: abcdefgh12/" + secret(40), "", "k=" + secret(5000)]
+
+    def plain(run):
+        codes = [secrets.ALPHABET.find(c) + 1 for c in run]
+        total, peak, start, end, out, every = 0.0, 0.0, 0, 0, [], 0.0
+        for at in range(1, len(run)):
+            every += round(model.ratios[codes[at - 1] * width + codes[at]] - secrets.THRESHOLD, 6)
+            total += round(model.ratios[codes[at - 1] * width + codes[at]] - secrets.THRESHOLD, 6)
+            if total <= 0 or total < peak - secrets.DROP:
+                out.append((start, end, peak))
+                total, peak, start, end = 0.0, 0.0, at, at
+            elif total > peak:
+                peak, end = total, at + 1
+        found = [(a, b) for a, b, p in [*out, (start, end, peak)] if b - a >= secrets.LENGTH and p >= secrets.EVIDENCE]
+        wide = []
+        for a, b in found or ([(0, len(run))] if every > 0 else []):
+            a, b = a - len(re.search(r"[A-Za-z0-9+]*\Z", run[:a])[0]), b + len(re.match(r"[A-Za-z0-9+]*", run[b:])[0])
+            if wide and a <= wide[-1][1]:
+                a, b = wide[-1][0], max(b, wide.pop()[1])
+            wide.append((a, b))
+        return wide
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = secrets.with_spans(df, model).collect()
+    for r in rows:
+        base = [(s["start"], s["end"]) for s in r["_spans"] if s["kind"] < 3]
+        text = "".join(" " if any(a <= k < b for a, b in base) else c for k, c in enumerate(r["text"]))
+        mixed = lambda x: re.search("[0-9]", x) and re.search("[A-Za-z]", x)
+        wanted = [(m.start() + a, m.start() + b) for m in re.finditer(secrets.RUN, text) if mixed(m[0]) for a, b in plain(m[0]) if mixed(m[0][a:b])]
+        assert [(s["start"], s["end"]) for s in r["_spans"] if s["kind"] == 3] == wanted, r["text"]
+    hit = {r["doc_id"]: any(s["kind"] == 3 for s in r["_spans"]) for r in rows}
+    assert sum(hit[i] for i in range(60)) >= 57 and not any(hit[i] for i in range(60, 120)) and hit[120] and hit[123]
+
+
 def test_sharding(spark, docs, none):
     rows = sharding.shard_documents(docs, 3).collect()
-    assert len(rows) == len(TEXTS) and {r["size"] for r in rows if r["doc_id"] in (2, 3)} == {8}
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter((i, 8 + len((t or "").encode()), zlib.crc32((t or "").encode())) for i, t in TEXTS)
     shards = Counter(r["shard"] for r in rows)
     assert max(shards.values()) - min(shards.values()) <= 1
     assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(n)) for s, n in shards.items())
     assert sorted(map(str, rows)) == sorted(map(str, sharding.shard_documents(docs.repartition(5), 3).collect()))
     assert sharding.shard_documents(none).count() == 0
+    same = spark.createDataFrame([(None, None)] * 90 + [(1, "a")] * 40 + [(i, "b") for i in range(50)], "doc_id long, text string")
+    numbered, n = sharding.number_rows(same, least_ranges=4, block=16)
+    assert n == 180 and sorted(r["row_number"] for r in numbered.collect()) == list(range(180)) and sharding.shard_documents(same).groupBy("doc_id").count().where("doc_id is null").first()["count"] == 90
     for n in (1, 2, 3, 7, 1000):
         seen = spark.range(n).select(sharding.permute(F.col("id"), n, 3).alias("p")).collect()
         assert sorted(r["p"] for r in seen) == list(range(n))
@@ -114,7 +158,13 @@ def test_search(spark):
     assert hit / (20 * len(got)) >= 0.95
     few = ann.search_table(df.where("vec_id < 3"), 20, 20).collect()
     assert [(r["query_id"], r["rank"]) for r in sorted(few, key=lambda r: r["rank"])] == [(0, 1), (0, 2)]
-    assert ann.search_table(df.where("vec_id > 8999")).count() == 0 or True
+    assert ann.search_table(df.where("vec_id between 9000 and 9003")).count() == 0
+    twice = df.where("vec_id < 30").unionByName(df.where("vec_id = 20"))
+    rows = sorted((r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.search_table(twice, 20, 5).where("query_id = 20").collect())
+    s = (x[:30] * x[20]).sum(1)
+    wanted = [20, *[i for i in np.lexsort((np.arange(30), -s)).tolist() if i != 20]][:5]  # the other row of the id is a candidate
+    wanted = sorted(wanted, key=lambda i: (-s[i], i))
+    assert rows == sorted((k, i, round(s[i], 9)) for k, i in enumerate(wanted, 1) for _ in range(2))
     assert ann.search_table(df.limit(0)).count() == 0
 
 
@@ -173,6 +223,31 @@ def test_jaccard(spark, docs, none):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 7, 8, 9, 11, 12]
     assert jaccard.near_duplicates(none).count() == 0
+    odd = spark.createDataFrame([(1, BASE), (1, BASE), (2, BASE), (None, BASE), (None, prose(30, 4)), (3, prose(30, 4)), (4, ""), (4, "")], "doc_id long, text string")
+    assert Counter(r["text"] for r in jaccard.keep_one(odd).collect()) == Counter([BASE, prose(30, 4), "", ""])
+
+
+def test_jaccard_bounds():
+    """The bound from rows of bits is never below the overlap, for members and unions of sets of any sizes."""
+    own = np.random.default_rng(2)
+    for _ in range(300):
+        every = own.integers(0, 2**64, 400, np.uint64)
+        sets = [np.unique(own.choice(every, own.integers(1, 300))) for _ in range(4)]
+        rows = [jaccard.sketch(x) for x in sets]
+        assert all(jaccard.overlap_bound(rows[0], len(sets[0]), r) >= len(np.intersect1d(sets[0], x)) for r, x in zip(rows, sets))
+        assert jaccard.overlap_bound(rows[0], len(sets[0]), jaccard.union_row(rows[1:])) >= len(np.intersect1d(sets[0], np.concatenate(sets[1:])))
+    a, b = own.integers(0, 2**64, 200, np.uint64), own.integers(0, 2**64, 200, np.uint64)
+    assert jaccard.overlap_bound(jaccard.sketch(a), 200, jaccard.sketch(b)) < jaccard.needed(200, 200)
+
+
+def test_jaccard_of_frequent_tokens(spark, monkeypatch):
+    """Tokens of many classes are dealt in blocks, and long texts keep their sizes."""
+    monkeypatch.setattr(jaccard, "HOT", 5)
+    texts = [(i, f"{prose(12, 40)} w{i} {prose(8, 50 + i % 4)}") for i in range(60)] + [(100, prose(9000, 60)), (101, prose(9000, 60) + " more")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect()} == brute(texts)
+    low, width = jaccard._low(np.arange(5, dtype=np.uint64) << np.uint64(50), 40), 40
+    assert jaccard._unpacked(jaccard._packed(low, 0), 0).tolist() == low.tolist() and width == 40
 
 
 def test_decontamination(spark, docs, none):
@@ -191,6 +266,11 @@ def test_decontamination(spark, docs, none):
     assert {d for d, _ in got} == {2000 + i for i in range(12)} | {9, 10}
     assert decontam.contaminated(none, benchmark).count() == 0 and decontam.contaminated(docs, benchmark.limit(0)).count() == 0
     assert decontam.clean(docs, benchmark).columns == docs.columns
+    short = spark.createDataFrame([(1, "the quick brown fox jumps over dogs"), (2, "to be or not")], "item_id long, text string")
+    hay = [(1, "start The quick brown fox jumps over dogs. end"), (2, "the quick red fox jumps over dogs"), (3, "so to be or not it is"), (4, "to be and not"), (None, "to be or not")]
+    df = spark.createDataFrame([(i, t, 7) for i, t in hay], "doc_id long, text string, _judged int")
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in decontam.contaminated(df, short).collect()} == {(1, 1, 0), (2, 1, 1), (3, 2, 0), (None, 2, 0)}
+    assert [tuple(r) for r in decontam.clean(df, short).collect()] == [(4, "to be and not", 7)]  # rows are judged, not ids
 
 
 def test_decontamination_of_long_items():
@@ -251,9 +331,22 @@ def test_classifiers(spark, labelled, docs, none):
 
 
 def test_grammar():
-    g = toxicity.ToxicGrammar(dict.fromkeys(toxicity.INSULTS, 3.0), {})
-    plain, aimed, negated, said = (g.features(t)[0] for t in ("what an idiot", "you are an idiot", "he is not an idiot", "they said idiot"))
-    assert aimed > plain > said > negated > 0 and g.features("the word. you") == (0.0, 0.0, 0.0)
+    """Every transducer matters: aimed insults and threats are toxic; denied, reported, quoted, named and unaimed ones are not."""
+    g = toxicity.ToxicGrammar(dict.fromkeys(toxicity.INSULTS, 1.0), {})
+    g = g.calibrated(np.array([0.0] * 500 + [g.feature("the idiot came. a moron left.")] * 60), np.array([0.0] * 500 + [1.0] * 60))
+    toxic = ["you are an idiot", "idiot, that is what you are", "I will kill you", "he is a scum. a moron, too.", "Nice. You stupid clown!"]
+    clean = [
+        "you are not an idiot", "he said you are an idiot", "the word idiot means a fool", "\u201cyou are an idiot\u201d was written there", "an idiot came in", "we kill time with you there",
+        "she wrote: i will kill you", "i will never kill you", "", "you are here. an idiot came", "the day was long",
+    ]
+    assert all(s >= 0.7 for s in g.scores(toxic)), g.scores(toxic)
+    assert all(s < 0.7 for s in g.scores(clean)), g.scores(clean)
+    assert sum(g.clauses("you are an idiot idiot idiot")) < 3 * sum(g.clauses("you are an idiot"))  # a run is one match
+    for t in range(len(toxicity.GRAMMAR)):  # the product says of each class what its parts say
+        state, alone = 0, 0
+        for c in random.Random(t).choices(range(toxicity.KINDS), k=2000):
+            assert bool(toxicity.MARKS[state][c] >> t & 1) == bool(toxicity.GRAMMAR[t].mark[alone][c])
+            state, alone = toxicity.STEP[state][c], toxicity.GRAMMAR[t].step[alone][c]
 
 
 def test_urls(spark):
@@ -268,6 +361,41 @@ def test_urls(spark):
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] == (verdict or r["verdict"]) and r["verdict"] in ("allow", "block")
 
 
+def test_url_trees(spark):
+    """URLs of shapes and hosts that the labelled ones don't have; the trees in the JVM give what a plain walk gives."""
+    good = "https://en.wikipedia.org/wiki/Solar_eclipse https://my-bank.co.uk/login https://github.com/apache/spark/pull/48210 https://docs.python.org/3/library/re.html#re.sub https://www.nature.com/articles/s41586-020-2649-2 http://www.gutenberg.org/ebooks/1342".split()
+    bad = "http://casino.com/free-pills http://malware.example.info/payload http://192.168.4.77/update/win.exe http://paypal.com.secure-login.account-8f3a2c.tk/verify?session=9c1fa2b7d0 http://freecash777.click/win/ http://best-cheap-viagra-4u.xyz/buy?id=1&aff=22&s=abc".split()
+    model = urls.train(urls.labelled_urls(spark))
+    assert urls.train(urls.labelled_urls(spark).repartition(7)) == model
+    df = spark.createDataFrame([(i, u, 1.0) for i, u in enumerate([*good, *bad, None, "x" * 50_000 + "://a/b"])], "page_id long, url string, words double")
+    rows = sorted(urls.judge(df, model, ()).collect(), key=lambda r: r["page_id"])
+    assert [r["verdict"] for r in rows[:12]] == ["allow"] * 6 + ["block"] * 6 and rows[13]["host"] == "a"
+
+    def walk(tree, row):
+        return tree if not isinstance(tree, tuple) else walk(tree[2] if row[tree[0]] <= tree[1] else tree[3], row)
+
+    for r in model.score(urls.with_lexical(df.drop("words"))).collect():
+        assert abs(1 / (1 + np.exp(-(model.start + sum(walk(t, r) for t in model.trees)))) - r["block_score"]) < 1e-9
+    assert urls.judge(df.limit(0), model).count() == 0
+
+
+def test_hinge_loss():
+    """The dual descent meets the primal objective."""
+    own = np.random.default_rng(1)
+    rows = [np.unique(own.integers(0, 40, 12)) for _ in range(200)]
+    y = np.where([((r < 10).sum() > 2) for r in rows], 1.0, -1.0)
+    scale = own.normal(size=40)
+    weights, bias = quality.dual_descent(rows, scale, y, np.ones(200), epochs=400)
+    x = np.zeros((200, 41))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r] * len(r) ** -0.5
+    x[:, 40] = 1.0
+    w = np.append(weights / scale, bias)
+    loss = lambda w: 0.5 * w @ w + np.maximum(0, 1 - y * (x @ w)).sum()
+    best = loss(w)
+    assert all(loss(w + 0.02 * own.normal(size=41)) >= best - 1e-6 for _ in range(300))
+
+
 def test_language_model(spark, docs, none):
     rows = lmscore.score_documents(docs).collect()
     training = [t for i, t in TEXTS if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1]
@@ -303,14 +431,3 @@ def test_suffix_tree_grows_with_the_input(spark):
     short = df.where("doc_id >= 100")
     one, other = ({r["doc_id"]: r["score"] for r in lmscore.score_documents(df, held=h).where("doc_id >= 100").collect()} for h in (1 << 17, 40))
     assert len(one) == 40 == short.count() and all(abs(one[i] - other[i]) < 1e-3 for i in one)
-
-
-def test_pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[1:4]:
-        before = docs.count()
-        docs = corpus_pipeline.stored(stage(spark, docs, sf_dir), name)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 0 < docs.count() <= before
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).select("doc_id").distinct().count() == docs.count()
