@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -141,6 +142,51 @@ def check_response(response: dict, package: dict) -> list[tuple[str, str]]:
     return out
 
 
+@dataclass(frozen=True)
+class Draft:
+    """What a batch came to: a response that passed every check, or why there is none."""
+
+    response: dict | None
+    attempts: int
+    repairs: int
+    issues: tuple[tuple[str, str], ...] = ()
+
+
+def _well_formed(payload: Any) -> str | None:
+    """What keeps a payload from being a response at all; None if nothing does."""
+    if not isinstance(payload, dict):
+        return "a response is an object"
+    if unknown := sorted(set(payload) - {"protocol_version", "batch", "context_sha256", "proposals"}):
+        return f"unknown field {unknown[0]}"
+    rows = payload.get("proposals")
+    if not isinstance(rows, list) or not all(isinstance(p, dict) and isinstance(p.get("target_path"), str) for p in rows):
+        return "proposals are objects with a target_path"
+    return next((f"{p['target_path']}: an expression or an abstention" for p in rows if bool(p.get("abstain")) == ("expression" in p)), None)
+
+
+def draft(package: dict, call: Callable[[dict, str | None, Any], Any]) -> Draft:
+    """A batch's response. ``call(package, problem, previous)`` asks the model; where the first answer isn't well formed, it is asked once
+    more with the problem and that answer, and never again. An answer that names a target outside the package isn't repaired.
+    """
+    bad = ((issues.PROVIDER_RESPONSE_INVALID, ""),)
+    attempts, repairs, problem, answer = 0, 0, None, None
+    while attempts < 2:
+        attempts += 1
+        try:
+            answer = call(package, problem, answer)
+        except Exception:  # a transport may fail in any way; the batch is then without a response
+            return Draft(None, attempts, repairs, bad)
+        problem = _well_formed(answer)
+        if problem is None:
+            found = check_response(answer, package)
+            return Draft(None if found else answer, attempts, repairs, tuple(found))
+        named = {p.get("target_path") for p in answer.get("proposals") or () if isinstance(p, dict)} if isinstance(answer, dict) and isinstance(answer.get("proposals"), list) else set()
+        if not isinstance(answer, (dict, list)) or named - {t["path"] for t in package["targets"]} - {None}:
+            break
+        repairs = min(repairs + 1, 1)
+    return Draft(None, attempts, repairs, bad)
+
+
 @dataclass(frozen=True)
 class Proposal:
     target_path: str

@@ -24,6 +24,8 @@ from . import static
 WEIGHTS = {"exact_name": 0.40, "name_similarity": 0.20, "description_similarity": 0.15, "type_compatibility": 0.15, "enum_overlap": 0.05, "structural_context": 0.05, "sample_profile": 0.0}
 HIGH, MEDIUM, LOW, AMBIGUOUS, AUTO = 0.90, 0.70, 0.40, 0.08, 0.12
 TOP_K = 10
+#: The most fields of a target: their frame is sent to all tasks, so its size is looked at first.
+FIELDS_MOST = 20_000
 FIELD = (
     "path string, required boolean, types array<string>, enum array<string>, name array<string>, title array<string>, name_text string, title_text string, "
     "description string, parents array<string>, roles array<string>, classes array<string>"
@@ -72,9 +74,8 @@ def compatibility() -> Column:
 def _jaccard(a: str, b: str) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
-
 def role_similarity() -> Column:
-    """A score that overrides description and context where the target's words name a role, else null."""
+    """A score that overrides description and context where the target's words name a role, else null. The words are fixed values."""
     s = lambda *w: F.arrays_overlap("s_roles", F.array(*map(F.lit, w)))
     t = lambda w: F.array_contains("t_roles", w)
     yes = lambda c: F.when(c, 1.0).otherwise(0.0)
@@ -92,10 +93,12 @@ def score_pairs(sources: DataFrame, targets: DataFrame, weights: dict[str, float
     weights = weights or WEIGHTS
     check_weights(weights)
     same = lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & (F.col(a) == F.col(b))
+    if targets.count() > FIELDS_MOST:
+        raise issues.fail(issues.INVALID_INPUT, f"a catalogue has {FIELDS_MOST} fields at most")
     pairs = sources.crossJoin(F.broadcast(targets)).withColumn("type_compatibility", compatibility()).where("type_compatibility is not null")
     name = same("s_name", "t_name") | same("s_name", "t_title") | same("s_title", "t_name")
     titled = lambda c, a, b: F.when(F.col(c) != "", lcs_ratio(a, b)).otherwise(0.0)
-    likeness = F.greatest(lcs_ratio("s_name_text", "t_name_text"), titled("t_title_text", "s_name_text", "t_title_text"), titled("s_title_text", "s_title_text", "t_name_text"))
+    likeness = F.when(name, 1.0).otherwise(F.greatest(lcs_ratio("s_name_text", "t_name_text"), titled("t_title_text", "s_name_text", "t_title_text"), titled("s_title_text", "s_title_text", "t_name_text")))
     said = F.when((F.col("s_description") != "") & (F.col("t_description") != ""), lcs_ratio("s_description", "t_description")).otherwise(0.0)
     context = (
         F.when((F.size("s_parents") == 0) & (F.size("t_parents") == 0), 1.0)
@@ -106,7 +109,7 @@ def score_pairs(sources: DataFrame, targets: DataFrame, weights: dict[str, float
     scored = (
         pairs.withColumn("_role", role_similarity())
         .withColumn("exact_name", F.when(name, 1.0).otherwise(0.0))
-        .withColumn("name_similarity", F.when(name, 1.0).otherwise(likeness))
+        .withColumn("name_similarity", likeness)
         .withColumn("description_similarity", F.coalesce("_role", said))
         .withColumn("enum_overlap", F.when((F.size("s_enum") > 0) & (F.size("t_enum") > 0), _jaccard("s_enum", "t_enum")).otherwise(0.0))
         .withColumn("structural_context", F.coalesce("_role", context))
@@ -208,6 +211,13 @@ class Report:
         return spark.createDataFrame(rows, "target_path string, disposition string, band string, confidence double, source_path string, has_rule boolean")
 
 
+def check_coverage(report: Report, target: Schema) -> list[tuple[str, str]]:
+    """(code, target) of every outcome that isn't one of the target's units, or stands twice, and of every unit without one."""
+    wanted, told = {f.pointer for f in units(target)}, [s.target_path for s in report.suggestions]
+    out = {(issues.SUGGESTION_TARGET_MISSING, t) for t in wanted ^ set(told)}
+    return sorted(out | {(issues.SUGGESTION_TARGET_DUPLICATE, t) for t in told if told.count(t) > 1})
+
+
 def suggest(spark: SparkSession, source: Schema, target: Schema, hints: dict | None = None, profiles: dict[str, list[str]] | None = None, weights: dict | None = None) -> Report:
     """One outcome for every mapping unit of the target."""
     wanted = units(target)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import issues
+from ..plans import invariants
+from ..plans.compiler import Scope, Typed
 from ..plans.mapping import Mapping, verify_samples
 from ..sources.documents import canonical, load_document
 from ..sources.json_schema import Schema, load_schema, units
@@ -143,6 +145,38 @@ def sample_frames(spark: SparkSession, pack: Pack) -> tuple[DataFrame, DataFrame
     return samples, text.where("e is not null").select("id", F.from_json("e", target).alias("expected"))
 
 
+def compiles(mapping: Mapping | None, samples: DataFrame, pack: Pack) -> bool:
+    """Whether the mapping's plan over the samples can be built, its physical plan included."""
+    if mapping is None:
+        return False
+    try:
+        mapping.transform(samples, "report", "input", pack.source, pack.target)._jdf.queryExecution().executedPlan()
+    except Exception:  # whatever the plan fails by, it is the measure's answer
+        return False
+    return True
+
+
+def _said_by(name: str):
+    return lambda x: (x["code"] == issues.INVARIANT_FAILED) & (x["pointer"] == name)
+
+
+def held_invariants(mapping: Mapping, samples: DataFrame, wanted: DataFrame, observed: DataFrame) -> tuple[int, int]:
+    """(held, counted): each invariant of each sample that is to succeed, or to fail by an invariant, counts where its guard is true or
+    can't be worked out; a sample that failed as it had to holds all of its own, one that failed otherwise none."""
+    document = Typed(F.col("input"), None, samples.schema["input"].dataType)
+    done = samples.join(wanted, "id").join(observed.select("id", "err", "issues", "output"), "id")
+    scope = Scope(document, Typed(F.col("output"), None, observed.schema["output"].dataType))
+    counts = done.where(F.col("expected_error").isNull() | (F.col("expected_error") == issues.INVARIANT_FAILED))
+    held = counted = F.lit(0)
+    for check in mapping.checks:
+        own = invariants.applies(check, scope)
+        failed = F.array_size(F.filter("issues", _said_by(check.id))) > 0
+        ok = F.when(F.col("expected_error").isNull(), F.col("output").isNotNull() & ~failed).otherwise(F.col("err").eqNullSafe(F.lit(issues.INVARIANT_FAILED)))
+        counted, held = counted + own.cast("int"), held + (own & ok).cast("int")
+    row = counts.agg(F.coalesce(F.sum(held), F.lit(0)).alias("held"), F.coalesce(F.sum(counted), F.lit(0)).alias("counted")).first()
+    return row["held"], row["counted"]
+
+
 def benchmark(spark: SparkSession, pack: Pack) -> dict[str, Any]:
     """All metrics of a pack, its gates, and the counts of outcomes."""
     baseline = matching.suggest(spark, pack.source, pack.target)
@@ -151,26 +185,26 @@ def benchmark(spark: SparkSession, pack: Pack) -> dict[str, Any]:
     mapping = made.mapping and Mapping(made.mapping.id, made.mapping.rules, pack.truth.checks, made.mapping.source_schema, made.mapping.target_schema, made.mapping.source_version, made.mapping.target_version)
     mapped = spark.createDataFrame([(r.target, _text(r.expression)) for r in (mapping.rules if mapping else ())], "target string, text string")
     evidence = match_evidence(outcome_frame(spark, pack, baseline, assisted), mapped)
-    extra = [("review_application_correctness", sum(_decided(a, pack) for a in made.applied), len(made.applied), True, False), ("compile_success_rate", 2 * int(mapping is not None), 2, False, False)]
+    extra = [("review_application_correctness", sum(_decided(a, pack) for a in made.applied), len(made.applied), True, False), ("compile_success_rate", int(compiles(mapping, sample_frames(spark, pack)[0], pack)), 1, False, False)]
     extra += [(name, int(ok), 1, False, False) for name, ok in zip(("invalid_source_path_rejection", "duplicate_target_rejection"), _probes(mapping, pack))]
     observed = spark.createDataFrame([], "id string, err string, issues array<struct<code:string,pointer:string,detail:string>>")
+    wanted = spark.createDataFrame([(s["id"], s.get("expected_error")) for s in pack.samples], "id string, expected_error string")
+    held = counted = 0
     if mapping:
         samples, expected = sample_frames(spark, pack)
-        observed = verify_samples(mapping, samples, pack.source, pack.target, expected).drop("output")
-    wanted = spark.createDataFrame([(s["id"], s.get("expected_error")) for s in pack.samples], "id string, expected_error string")
+        observed = verify_samples(mapping, samples, pack.source, pack.target, expected)
+        held, counted = held_invariants(mapping, samples, wanted, observed)
+        observed = observed.drop("output")
     rows = wanted.join(observed, "id", "left")
     ran = F.col("expected_error").isNull()
     has = lambda code: F.exists("issues", lambda x: x["code"] == code)
-    checks = len(pack.truth.checks)
     sums = rows.agg(
         F.count_if(ran & ~has(issues.TARGET_SCHEMA_VALIDATION)).alias("valid"), F.count_if(ran).alias("ran"),
-        F.sum(F.when(ran & F.col("err").isNull(), checks).when(ran, checks - F.size(F.filter("issues", lambda x: x["code"] == issues.INVARIANT_FAILED)))).alias("held"),
         F.count_if(F.col("err").eqNullSafe(F.col("expected_error"))).alias("equal"), F.count("*").alias("all"),
     ).first()
-    held = rows.where(~ran & (F.col("expected_error") == issues.INVARIANT_FAILED) & has(issues.INVARIANT_FAILED)).count()  # failed as it had to
     extra += [
         ("target_schema_pass_rate", sums["valid"], sums["ran"], True, False), ("cross_runtime_equivalence", sums["equal"], sums["all"], False, False),
-        ("invariant_pass_rate", (sums["held"] or 0) + held, checks * sums["ran"] + held, not checks, False),
+        ("invariant_pass_rate", held, counted, not pack.truth.checks, False),
     ]
     schema = "metric string, numerator long, denominator long, expects_zero boolean, absence boolean"
     metrics = rates(evidence.unionByName(spark.createDataFrame(extra, schema)))
@@ -182,6 +216,46 @@ def benchmark(spark: SparkSession, pack: Pack) -> dict[str, Any]:
     }
 
 
+def model_rates(proposals: DataFrame, truth: DataFrame, batches: DataFrame) -> DataFrame:
+    """metric, numerator, denominator and value of the nine rates of a model's run.
+
+    ``proposals``: target, proposed (else abstained), path (of a plain read), text (the expression's canonical text), valid (passes static
+    verification). ``truth``: target, path, text, ambiguous, no_match of every target asked for. ``batches``: valid, targets of each.
+    """
+    c, n = F.col, lambda x: F.count_if(F.coalesce(x, F.lit(False))).cast("long")
+    told = truth.select("target", c("path").alias("true_path"), c("text").alias("true_text"), "ambiguous", "no_match")
+    rows = proposals.join(told, "target", "left")
+    right = c("proposed") & (c("path") == c("true_path")) & ~c("ambiguous")
+    exact = c("proposed") & c("valid") & (c("text") == c("true_text"))
+    by_target = rows.groupBy("target").agg(F.bool_or(F.coalesce(exact, F.lit(False))).alias("exact"), F.bool_or(~c("proposed")).alias("abstained"))
+    asked = told.join(by_target, "target", "left")
+    a = rows.agg(
+        n(c("proposed") & c("valid")).alias("valid"), n(c("proposed")).alias("proposed"), n(right).alias("right"), n(c("proposed") & c("path").isNotNull()).alias("direct"),
+        n(c("proposed") & c("true_path").isNull() & (c("text") == c("true_text"))).alias("exact"), F.countDistinct("target").alias("covered"),
+    ).first()
+    t = asked.agg(
+        n(c("true_path").isNotNull() & ~c("ambiguous")).alias("direct"), n(c("true_text").isNotNull() & c("true_path").isNull()).alias("changed"),
+        n(c("ambiguous")).alias("ambiguous"), n(c("ambiguous") & c("abstained")).alias("ambiguous_kept"), n(c("no_match")).alias("none"), n(c("no_match") & c("abstained")).alias("none_kept"),
+        n(c("true_text").isNotNull() & ~F.coalesce("exact", F.lit(False)) | c("no_match") & ~F.coalesce("abstained", F.lit(False))).alias("open"),
+    ).first()
+    b = batches.agg(n(c("valid")).alias("valid"), F.count("*").alias("all"), F.coalesce(F.sum("targets"), F.lit(0)).cast("long").alias("targets")).first()
+    table = [
+        ("model_response_validity_rate", b["valid"], b["all"], False), ("model_target_proposal_coverage", a["covered"], b["targets"], False),
+        ("model_proposal_static_validity_rate", a["valid"], a["proposed"], False), ("model_direct_match_precision", a["right"], a["direct"], False),
+        ("model_direct_match_recall", a["right"], t["direct"], False), ("model_transformation_exact_match_rate", a["exact"], t["changed"], False),
+        ("model_expected_ambiguity_abstention", t["ambiguous_kept"], t["ambiguous"], True), ("model_expected_no_match_abstention", t["none_kept"], t["none"], True),
+        ("model_full_mapping_completion_rate", int(t["open"] == 0), 1, False),
+    ]
+    spark = proposals.sparkSession
+    return rates(spark.createDataFrame([(*x, False) for x in table], "metric string, numerator long, denominator long, expects_zero boolean, absence boolean"))
+
+
+def model_usage(batches: DataFrame) -> DataFrame:
+    """model_input_tokens, model_output_tokens (null if any batch's aren't known) and model_latency_ms of (input_tokens, output_tokens, latency_ms)."""
+    known = lambda x: F.when(F.count(x) == F.count("*"), F.coalesce(F.sum(x), F.lit(0)))
+    return batches.agg(known("input_tokens").alias("model_input_tokens"), known("output_tokens").alias("model_output_tokens"), F.coalesce(F.sum("latency_ms"), F.lit(0)).alias("model_latency_ms"))
+
+
 def _decided(applied: tuple, pack: Pack) -> bool:
     """Whether an applied decision agrees with the truth: rejected targets have none, accepted ones the true source."""
     target, action, accepted, source = applied

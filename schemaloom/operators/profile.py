@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.compiler import Typed, resolve
+from ..plans.mapping import written_null
 from ..sources.json_schema import Schema
 from ..sources.pointers import pointer, tokens
 
@@ -39,17 +40,20 @@ def _observed(c: Column, t: T.DataType) -> Column:
     return F.lit(names.get(type(t), "null"))
 
 
-def profile(df: DataFrame, fields: list[str] | Schema | None = None, approximate: bool = False) -> DataFrame:
+def profile(df: DataFrame, fields: list[str] | Schema | None = None, approximate: bool = False, raw: str | None = None) -> DataFrame:
     """pointer, sample_count, missing_count, null_count, observed_types, distinct_count, min_length, max_length, pattern_classes.
 
     ``df``'s columns are the document. Fields inside arrays never resolve, so they count as missing; so does a field that the
-    type lacks. Distinct counts are exact unless ``approximate``.
+    type lacks. ``raw``: a VARIANT column (no field itself) with the documents as they were written, by which a null that wasn't
+    written is missing. Distinct counts are exact, but for values that agree in 128 bits of hashes, unless ``approximate``.
     """
-    root = Typed(F.struct(*[F.col(f"`{c}`") for c in df.columns]), None, df.schema)
-    paths = [f.pointer for f in fields.fields if f.pointer] if isinstance(fields, Schema) else fields or [pointer([c]) for c in df.columns]
+    names = [c for c in df.columns if c != raw]
+    root = Typed(F.struct(*[F.col(f"`{c}`") for c in names]), None, df.select(*[f"`{c}`" for c in names]).schema)
+    present = None if raw is None else written_null(raw)
+    paths = [f.pointer for f in fields.fields if f.pointer] if isinstance(fields, Schema) else fields or [pointer([c]) for c in names]
     rows = []
     for path in sorted(paths, key=tokens):
-        at = resolve(root, path)
+        at = resolve(root, path, present)
         c, t = at.value, at.type
         missing = F.lit(False) if at.err is None else at.err.isNotNull()
         scalar = not isinstance(t, (T.ArrayType, T.StructType, T.NullType))
@@ -61,7 +65,7 @@ def profile(df: DataFrame, fields: list[str] | Schema | None = None, approximate
         ))
     flat = df.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     string = F.when(F.col("is_text"), F.col("text"))
-    distinct = F.approx_count_distinct("text") if approximate else F.countDistinct("text")
+    distinct = F.approx_count_distinct("text") if approximate else F.countDistinct(F.when(F.col("text").isNotNull(), F.struct(F.xxhash64("text"), F.xxhash64(F.concat(F.lit("+"), "text")))))
     out = flat.groupBy("pointer").agg(
         F.count("*").alias("sample_count"), F.count_if("missing").alias("missing_count"), F.count_if("empty").alias("null_count"),
         F.array_sort(F.collect_set("kind")).alias("observed_types"), distinct.alias("distinct_count"),

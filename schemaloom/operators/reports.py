@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from ..issues import INVALID_INPUT, fail
 from ..sources.documents import canonical
 from .matching import Report
+from .review import Outcome
 
 
 def table(rows: list[dict], columns: list[str], form: str = "markdown") -> str:
@@ -31,6 +32,26 @@ def suggestions(report: Report, form: str = "markdown") -> str:
     return body if form == "json" else f"{body}\n{canonical(counts)}\n"
 
 
+def findings(found: list[tuple[str, str, str, str]], form: str = "text") -> str:
+    """What static verification found, its verdict first."""
+    rows = [dict(zip(("severity", "code", "target", "message"), x)) for x in found]
+    valid = not any(x[0] == "error" for x in found)
+    if form == "json":
+        return canonical({"valid": valid, "issues": rows})
+    return f"{'valid' if valid else 'invalid'}: {len(rows)} findings\n\n" + table(rows, ["severity", "code", "target", "message"], form)
+
+
+def decisions(outcome: Outcome, form: str = "markdown") -> str:
+    """What a review came to: decisions that were applied, what forbids the mapping, the mapping's hash."""
+    applied = [dict(zip(("target_path", "action", "accepted", "source_path"), x)) for x in outcome.applied]
+    problems = [{"code": code, "target_path": path} for code, path in outcome.issues]
+    mapping = outcome.mapping and outcome.mapping.sha256()
+    if form == "json":
+        return canonical({"applied": applied, "issues": problems, "mapping_sha256": mapping})
+    parts = [table(applied, ["target_path", "action", "accepted", "source_path"], form), table(problems, ["code", "target_path"], form)]
+    return "\n".join([*parts, f"mapping: {mapping or 'none'}\n"])
+
+
 def verification(samples: DataFrame, form: str = "text") -> str:
     """What ``verify_samples`` found, failing samples only, without any value of theirs."""
     rows = samples.where("err is not null").selectExpr("id", "err", "transform(issues, i -> concat_ws(' ', i.code, i.pointer, i.detail)) as found").orderBy("id").collect()

@@ -10,7 +10,7 @@ from .. import issues
 from ..plans.expressions import parse
 from ..plans.mapping import Mapping, Rule
 from ..sources.json_schema import Schema
-from . import static
+from . import matching, static
 from .matching import Report
 
 #: What a decision may do, and what is taken without one.
@@ -28,6 +28,16 @@ class Outcome:
     issues: tuple[tuple[str, str], ...]
 
 
+def check_document(review: dict, bound: bool = True) -> None:
+    """Refuses a review with fields that are missing, unknown or of another version, or a source where the action takes none."""
+    fields = {"review_version", "suggestion_report_sha256", "mapping_id", "decisions"}
+    if set(review) - fields or review.get("review_version", "0.1") != "0.1" or bound and not review.get("suggestion_report_sha256"):
+        raise issues.fail(issues.INVALID_INPUT, "not a review document of version 0.1")
+    for d in review.get("decisions", ()):
+        if set(d) - {"target_path", "action", "source_path", "reason"} or "target_path" not in d or (d.get("action") == "select_candidate") != bool(d.get("source_path")):
+            raise issues.fail(issues.INVALID_INPUT, "only select_candidate has a source, and needs one", str(d.get("target_path", "")))
+
+
 def decision_frame(spark: SparkSession, review: dict) -> DataFrame:
     return spark.createDataFrame([(d["target_path"], d["action"], d.get("source_path")) for d in review.get("decisions", [])], DECISION)
 
@@ -66,9 +76,15 @@ def assemble(spark: SparkSession, report: Report, review: dict | None, source: S
     """The mapping of a report under a policy and a review; ``bound``: the review must carry the report's hash."""
     if policy not in POLICIES:
         raise issues.fail(issues.INVALID_INPUT, f"no policy {policy!r}")
-    review = review or {"decisions": []}
-    if bound and review.get("suggestion_report_sha256", report.sha256()) != report.sha256():
+    if uncovered := matching.check_coverage(report, target):
+        return Outcome(None, (), tuple(uncovered))
+    if review is None and policy == "review-document-only":
+        return Outcome(None, (), ((issues.INVALID_REVIEW_DECISION, ""),))
+    if review is not None and bound and review.get("suggestion_report_sha256") != report.sha256():
         return Outcome(None, (), ((issues.STALE_SUGGESTION_REPORT, ""),))
+    if review is not None:
+        check_document(review, bound)
+    review = review or {"decisions": []}
     frame, decisions = report.frame(spark), decision_frame(spark, review)
     found = [(r["code"], r["target_path"]) for r in check_decisions(frame, decisions, complete).collect()]
     if found:

@@ -6,6 +6,7 @@ the one that ``coalesce`` returns, and the unused default of ``lookup`` don't co
 """
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -53,13 +54,17 @@ class Scope:
     binder: "Binder | None" = None
 
 
+#: Lookups of more entries are joined, not written into the plan (but inside maps); joined ones of more aren't broadcast by hand.
+LITERAL_MOST, TABLE_MOST = 1_000, 1_000_000
+
+
 class Binder:
     """Names for intermediate results: columns of their own, a projection for each level of nesting. Without them an operand that
     is checked, used and masked would be written out many times, and the whole would grow with a power of the depth.
     """
 
     def __init__(self, prefix: str):
-        self.prefix, self.levels, self.open = prefix, {}, []
+        self.prefix, self.levels, self.open, self.joins = prefix, {}, [], {}
 
     def bind(self, c: Column, level: int) -> Column:
         name = f"{self.prefix}{sum(map(len, self.levels.values()))}"
@@ -70,13 +75,27 @@ class Binder:
         if self.open:
             self.open[-1] = max(self.open[-1], level)
 
+    def look_up(self, key: Column, entries: dict, kind: T.DataType) -> tuple[Column, Column]:
+        """(hit, value) of a key in a table too large for a literal: joined, once its key is there. The table is part of the mapping
+        document and is sent to all tasks only up to ``TABLE_MOST`` entries; the optimiser chooses beyond that."""
+        level, name = self.open[-1] + 1 if self.open else 1, f"{self.prefix}t{sum(map(len, self.joins.values()))}"
+        self.joins.setdefault(level, []).append((name, key, entries, kind))
+        self.note(level)
+        return F.col(name + "k").isNotNull(), F.col(name + "v")
+
     def apply(self, df: DataFrame) -> DataFrame:
-        for level in sorted(self.levels):
-            df = df.withColumns(self.levels[level])
+        for level in sorted({*self.levels, *self.joins}):
+            for name, key, entries, kind in self.joins.get(level, ()):
+                rows = df.sparkSession.createDataFrame([(k, json.dumps({"v": v})) for k, v in entries.items()], "k string, j string")
+                parsed = F.from_json("j", T.StructType([T.StructField("v", kind)]))["v"] if not isinstance(kind, T.NullType) else F.lit(None)
+                table = rows.select(F.col("k").alias(name + "k"), parsed.alias(name + "v"))
+                df = df.join(F.broadcast(table) if len(entries) <= TABLE_MOST else table, key == F.col(name + "k"), "left")
+            df = df.withColumns(self.levels.get(level, {}))
         return df
 
     def names(self) -> list[str]:
-        return [n for own in self.levels.values() for n in own]
+        tables = [name + c for own in self.joins.values() for name, *_ in own for c in "kv"]
+        return tables + [n for own in self.levels.values() for n in own]
 
 
 def first(*errs: Column | None) -> Column | None:
@@ -303,6 +322,10 @@ def _lookup(e: Expr, s: Scope) -> Typed:
     otherwise = values.as_type(default.value, default.type, kind)
     if not entries or not isinstance(key.type, T.StringType):
         return Typed(otherwise, first(key.err, default.err), kind, default.computed)
+    if len(entries) > LITERAL_MOST and s.binder is not None and not s.current:
+        hit, found = s.binder.look_up(key.value, e["values"], kind)
+        err = default.err if default.err is None else F.when(~hit, default.err)
+        return Typed(F.when(hit, found).otherwise(otherwise), first(key.err, err), kind, True)
     hit = key.value.isin(list(entries))
     pairs = [x for k, p in entries.items() for x in (F.lit(k), values.as_type(p.value, p.type, kind))]
     found = F.try_element_at(F.create_map(*pairs), key.value)

@@ -44,6 +44,12 @@ class Invariant:
         return Invariant(raw["id"], op, {n: X.parse(body[n]) for n in ASSERTIONS[op]}, body.get(PLAIN.get(op, "")), None if when is None else X.parse(when))
 
 
+    def document(self) -> dict:
+        plain = {PLAIN[self.op]: self.plain} if self.op in PLAIN else {}
+        body = {"op": self.op} | {n: e.document() for n, e in self.operands.items()} | plain
+        return {"id": self.id, "assertion": body} | ({} if self.when is None else {"when": self.when.document()})
+
+
 def _java(pattern: str) -> str:
     """A full match in Java's dialect; what Java lacks or reads otherwise is refused."""
     try:
@@ -72,6 +78,15 @@ def holds(i: Invariant, scope: Scope) -> tuple[Column, Column]:
     return failed, bad
 
 
+def applies(i: Invariant, scope: Scope) -> Column:
+    """Whether the assertion counts for a row: without a guard, where the guard is true, and where it can't be worked out."""
+    if i.when is None:
+        return F.lit(True)
+    guard = compile_expression(i.when, scope)
+    on = F.coalesce(guard.value, F.lit(False)) if isinstance(guard.type, T.BooleanType) else F.lit(False)
+    return on if guard.err is None else guard.err.isNotNull() | on
+
+
 def _test(i: Invariant, parts: list[Typed]) -> tuple[Column, Column]:
     """(true where it holds, true where it can't be said)."""
     p, no = parts[0], F.lit(False)

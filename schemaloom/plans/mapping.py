@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import issues
-from ..sources.documents import canonical, load_document, sha256
+from ..sources.documents import canonical, load_document, sha256, write_all, yaml_text
 from ..sources.json_schema import Schema
 from ..sources.pointers import assemble, tokens
 from . import compiler, expressions, invariants
@@ -60,8 +60,14 @@ class Mapping:
             "mapping_version": "0.1", "id": self.id, "source_schema": self.source_schema, "source_schema_version": self.source_version,
             "target_schema": self.target_schema, "target_schema_version": self.target_version,
             "rules": [{"target": r.target, "expression": r.expression.document(), "confidence": r.confidence} for r in self.rules],
+            "invariants": [c.document() for c in self.checks],
         }
 
+    def write(self, path: str, force: bool = False) -> None:
+        """The whole document, as YAML or as canonical JSON by the path's ending; ``load`` reads it back as it was."""
+        text = yaml_text(self.document()) if path.endswith((".yaml", ".yml")) else canonical(self.document()) + "\n"
+        write_all({path: text}, force)
+
     def sha256(self) -> str:
         return sha256(self.document())
 
@@ -81,16 +87,18 @@ class Mapping:
         return made.value, made.code, made.type
 
     def transform(
-        self, df: DataFrame, mode: str = "report", input_column: str | None = None, source: Schema | None = None, target: Schema | None = None
+        self, df: DataFrame, mode: str = "report", input_column: str | None = None, source: Schema | None = None, target: Schema | None = None,
+        raw: str | None = None,
     ) -> DataFrame:
         """``df`` with output, err (a stable code or null) and issues (array of code, pointer, detail).
 
         Stages run in order, a failing one ends the row: source validation, the rules, target validation with
-        invariants. Without schemas, their validations are left out.
+        invariants. Without schemas, their validations are left out. ``raw``: a VARIANT column with the documents as they were
+        written, which tells a missing field from a written null; without it, a null of a typed column is a written null.
         """
         document = _input(df, input_column)
         before, after = compiler.Binder("_b"), compiler.Binder("_a")
-        made = self.compiled(Scope(document, binder=before))
+        made = self.compiled(Scope(document, binder=before, present=None if raw is None else written_null(raw)))
         none = F.expr(f"cast(array() as array<{ISSUE}>)")
         seen = _named(violations(document.value, document.type, source.resolved), issues.SOURCE_SCHEMA_VALIDATION) if source else none
         out = before.apply(df).withColumns({"_source": seen, "_ran": made.code})
@@ -120,7 +128,8 @@ class Mapping:
             return out.where(F.col("err").isNull() if mode == "ok" else F.col("err").isNotNull())
         if mode != "strict":
             raise issues.fail(issues.INVALID_INPUT, f"no mode {mode!r}")
-        return out.withColumn("output", F.when(F.col("err").isNull(), F.col("output")).otherwise(F.raise_error(F.col("err")).cast(made.type)))
+        # a filter that no action can do without; a column that raises is pruned where it isn't read
+        return out.where(F.when(F.col("err").isNull(), True).otherwise(F.raise_error(F.col("err")).cast("boolean")))
 
     def sql(self, df: DataFrame, input_column: str | None = None) -> str:
         """The plan's expressions as Spark prints them, the portable form of the compiled mapping."""
@@ -135,6 +144,17 @@ def _input(df: DataFrame, column: str | None) -> Typed:
     return Typed(F.struct(*columns.values()), None, df.schema, columns=columns)
 
 
+def written_null(raw: str):
+    """Says of a pointer's tokens whether the VARIANT column ``raw`` has a null written there."""
+
+    def said(parts: tuple[str, ...]) -> Column:
+        steps = "".join(f"[{p}]" if p.isascii() and p.isdigit() else "['" + p.replace("\\", "\\\\").replace("'", "\\'") + "']" for p in parts)
+        found = F.try_variant_get(F.col(raw), "$" + steps, "variant")
+        return F.coalesce(F.is_variant_null(found), F.lit(False))
+
+    return said
+
+
 def _tree(node: Any) -> tuple[Column, T.DataType]:
     if isinstance(node, Typed):
         return node.value, node.type
@@ -147,12 +167,13 @@ def _named(found: Column, code: str) -> Column:
 
 
 def verify_samples(
-    mapping: Mapping, samples: DataFrame, source: Schema, target: Schema, expected: DataFrame | None = None, id_column: str = "id", input_column: str = "input"
+    mapping: Mapping, samples: DataFrame, source: Schema, target: Schema, expected: DataFrame | None = None, id_column: str = "id", input_column: str = "input",
+    raw: str | None = None,
 ) -> DataFrame:
     """id, err and issues of each sample (id, input); where ``expected`` (id, expected) has a document, the output must equal it."""
     from ..functions import values
 
-    done = mapping.transform(samples, "report", input_column, source, target)
+    done = mapping.transform(samples, "report", input_column, source, target, raw)
     if expected is not None:
         t_out, t_expected = done.schema["output"].dataType, expected.schema["expected"].dataType
         t_out, t_want = values.normal_type(t_out), values.normal_type(t_expected)
@@ -166,4 +187,4 @@ def verify_samples(
     return done.select(id_column, F.get(F.col("issues"), F.lit(0))["code"].alias("err"), "issues", "output")
 
 
-__all__ = ["Mapping", "Rule", "canonical", "verify_samples"]
+__all__ = ["Mapping", "Rule", "verify_samples"]

@@ -29,6 +29,14 @@ def _fits(t: T.DataType, kinds: set) -> Column | bool:
     }.get(type(t), True)
 
 
+def _not_multiple(c: Column, step: float) -> Column:
+    """By whole numbers the remainder counts; by fractions, whether the quotient is whole, since 1.0 / 0.1 is 10 and 1.0 % 0.1 isn't 0."""
+    if isinstance(step, int) or float(step).is_integer():
+        return c % F.lit(int(step)) != 0
+    quotient = c.cast("double") / F.lit(float(step))
+    return F.floor(quotient).cast("double") != quotient
+
+
 def _one(test: Column, path: Column, category: str) -> Column:
     row = F.array(F.struct(path.alias("pointer"), F.lit(category).alias("category")))
     return F.when(F.coalesce(test, F.lit(False)), row).otherwise(F.expr(f"cast(array() as {ISSUE})"))
@@ -68,7 +76,7 @@ def _violations(c: Column, t: T.DataType, node: dict, path: Column, missing_is_s
         if "maxLength" in node:
             add(F.length(c) > node["maxLength"], "string-length")
     if isinstance(t, (T.LongType, T.DoubleType)):
-        for key, test in (("minimum", lambda m: c < m), ("maximum", lambda m: c > m), ("exclusiveMinimum", lambda m: c <= m), ("exclusiveMaximum", lambda m: c >= m), ("multipleOf", lambda m: F.pmod(c, F.lit(m)) != 0)):
+        for key, test in (("minimum", lambda m: c < m), ("maximum", lambda m: c > m), ("exclusiveMinimum", lambda m: c <= m), ("exclusiveMaximum", lambda m: c >= m), ("multipleOf", lambda m: _not_multiple(c, node["multipleOf"]))):
             if key in node:
                 add(test(F.lit(node[key])), "numeric-range")
     if isinstance(t, T.ArrayType):

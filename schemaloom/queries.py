@@ -261,10 +261,6 @@ def _scored(spark: SparkSession) -> DataFrame:
     return matching.score_pairs(matching.field_frame(spark, [f for f in SOURCE.fields if f.pointer], "s_"), matching.field_frame(spark, matching.units(TARGET), "t_"))
 
 
-add("match_candidates", lambda s, d: _scored(s))
-add("match_topk", lambda s, d: matching.top_candidates(_scored(s), 2).select("target_path", "source_path", "raw_score", "rank"))
-
-
 def ranked(df: DataFrame) -> DataFrame:
     """Suppliers of parts as candidates with made-up scores, so that SQL can hold the ranking and the decision to account."""
     return df.selectExpr("cast(l_partkey as string) as target_path", "cast(l_suppkey as string) as source_path", "(l_partkey * 7 + l_suppkey * 13) % 101 / 100.0D as raw_score").distinct()
@@ -280,15 +276,16 @@ select target_path, source_path, case when raw_score >= 0.9 then 'high' when raw
 
 
 def _reviewed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    s = read(spark, sf_dir, "customer").selectExpr("cast(c_custkey as string) as target_path", "if(c_custkey % 3 = 0, 'suggested', 'review_required') as disposition", "if(c_custkey % 2 = 0, 'high', 'low') as band", "c_custkey % 5 <> 0 as has_rule")
-    d = read(spark, sf_dir, "orders").selectExpr("cast(o_custkey as string) as target_path", "'accept_selected' as action", "cast(null as string) as source_path").distinct()
+    s = read(spark, sf_dir, "customer").where("c_custkey % 7 > 0").selectExpr("cast(c_custkey as string) as target_path", "if(c_custkey % 3 = 0, 'suggested', 'review_required') as disposition", "if(c_custkey % 2 = 0, 'high', 'low') as band", "c_custkey % 5 <> 0 as has_rule")
+    d = read(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").selectExpr("cast(o_custkey as string) as target_path", "'accept_selected' as action", "cast(null as string) as source_path").distinct()
     return s, d
 
 
+_DECIDED = "(select distinct o_custkey from orders where o_orderkey % 20 = 0)"
 add("review_apply", lambda s, d: review.apply_decisions(*_reviewed(s, d), "high-and-manual").select("target_path", "accepted"),
-    "select c_custkey::varchar as target_path, case when o_custkey is null then c_custkey % 5 <> 0 and c_custkey % 3 = 0 and c_custkey % 2 = 0 else c_custkey % 5 <> 0 end as accepted from customer left join (select distinct o_custkey from orders) on o_custkey = c_custkey")
-add("review_unresolved", lambda s, d: review.unresolved(*_reviewed(s, d)).select("target_path"), "select c_custkey::varchar as target_path from customer where c_custkey not in (select o_custkey from orders)")
-add("review_unknown", lambda s, d: review.check_decisions(*_reviewed(s, d)), "select distinct 'REVIEW_TARGET_NOT_FOUND' as code, o_custkey::varchar as target_path from orders where o_custkey not in (select c_custkey from customer)")
+    f"select c_custkey::varchar as target_path, case when o_custkey is null then c_custkey % 5 <> 0 and c_custkey % 3 = 0 and c_custkey % 2 = 0 else c_custkey % 5 <> 0 end as accepted from customer left join {_DECIDED} on o_custkey = c_custkey where c_custkey % 7 > 0")
+add("review_unresolved", lambda s, d: review.unresolved(*_reviewed(s, d)).select("target_path"), f"select c_custkey::varchar as target_path from customer where c_custkey % 7 > 0 and c_custkey not in {_DECIDED}")
+add("review_unknown", lambda s, d: review.check_decisions(*_reviewed(s, d)), f"select 'REVIEW_TARGET_NOT_FOUND' as code, o_custkey::varchar as target_path from {_DECIDED} where o_custkey % 7 = 0")
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

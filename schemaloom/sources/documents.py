@@ -76,6 +76,13 @@ def sha256(value: Any) -> str:
     return hashlib.sha256(canonical(value).encode()).hexdigest()
 
 
+def yaml_text(value: Any) -> str:
+    """A document as YAML, fields in their order."""
+    if yaml is None:
+        raise issues.fail(issues.INVALID_INPUT, "YAML can't be written here")
+    return yaml.safe_dump(_finite(value), sort_keys=False, allow_unicode=True)
+
+
 def write_all(files: dict[str, str], force: bool = False) -> None:
     """All files or none: each is written beside its place first; what exists is only replaced by ``force``."""
     if not force and (there := [p for p in files if os.path.exists(p)]):

@@ -114,16 +114,7 @@ class _Reader:
                 raise issues.fail(issues.CYCLIC_REF, "the reference leads back to itself", path)
             return self.resolve(self.target(node["$ref"]), path, (*trail, node["$ref"]))
         if "allOf" in node:
-            merged: dict = {}
-            for part in (self.resolve(p, path, trail) for p in node["allOf"]):
-                for k, v in part.items():
-                    if k == "properties":
-                        merged[k] = {**merged.get(k, {}), **v}
-                    elif k == "required":
-                        merged[k] = sorted({*merged.get(k, []), *v})
-                    elif merged.setdefault(k, v) != v:
-                        raise issues.fail(issues.UNSUPPORTED_SCHEMA_FEATURE, f"allOf has conflicting {k}", path)
-            return merged
+            return self.resolve(self.merged(node["allOf"], path, trail), path, trail)
         for choice in ("oneOf", "anyOf"):
             if choice in node:
                 parts = [self.resolve(p, path, trail) for p in node[choice]]
@@ -140,6 +131,25 @@ class _Reader:
             out["items"] = self.resolve(node["items"], f"{path}/items", trail)
         return out
 
+    def merged(self, parts: list, path: str, trail: tuple) -> dict:
+        """The parts of an allOf as one schema, before anything in them is worked out: a part may lack a type that another one gives."""
+        out: dict = {}
+        for part in parts:
+            while isinstance(part, dict) and "$ref" in part:
+                if part["$ref"] in trail:
+                    raise issues.fail(issues.CYCLIC_REF, "the reference leads back to itself", path)
+                trail, part = (*trail, part["$ref"]), self.target(part["$ref"])
+            if isinstance(part, dict) and "allOf" in part:
+                part = {k: v for k, v in part.items() if k != "allOf"} | self.merged(part["allOf"], path, trail)
+            for k, v in part.items() if isinstance(part, dict) else ():
+                if k == "properties":
+                    out[k] = {**out.get(k, {}), **v}
+                elif k == "required":
+                    out[k] = sorted({*out.get(k, []), *v})
+                elif k not in ("$schema", "$id", "title", "description") and out.setdefault(k, v) != v:
+                    raise issues.fail(issues.UNSUPPORTED_SCHEMA_FEATURE, f"allOf has conflicting {k}", path)
+        return out
+
     @staticmethod
     def kinds(node: dict) -> list[str]:
         if "type" in node:

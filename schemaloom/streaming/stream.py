@@ -18,7 +18,8 @@ def mapped_stream(stream: DataFrame, mapping: Mapping, input_column: str | None
 
 def error_rates(mapped: DataFrame, time_column: str, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """start, err, n: rows of each window by error code (null: none)."""
-    counted = mapped.withWatermark(time_column, late).groupBy(F.window(time_column, window), "err").agg(F.count("*").alias("n"))
+    timed = mapped.withColumn(time_column, F.col(time_column).cast("timestamp"))  # a watermark needs an instant
+    counted = timed.withWatermark(time_column, late).groupBy(F.window(time_column, window), "err").agg(F.count("*").alias("n"))
     return counted.select(F.col("window.start").alias("start"), "err", "n")
 
 

@@ -163,4 +163,7 @@ def test_modes(spark):
     assert m.transform(df, "ok").count() == 1 and m.transform(df, "quarantine").count() == 1
     with pytest.raises(Exception, match="TYPE_MISMATCH"):
         m.transform(df, "strict").collect()
+    with pytest.raises(Exception, match="TYPE_MISMATCH"):
+        m.transform(df, "strict").count()  # though no column is read
+    assert m.transform(df.where("t = '1'"), "strict").count() == 1
     assert json.loads(json.dumps(m.document()))["rules"][0]["target"] == "/a/b" and len(m.sha256()) == 64
