@@ -249,7 +249,7 @@ def cells(docs: DataFrame, members: DataFrame, moved: DataFrame, common: tuple[n
                     first, often, place = found[order], late[order], (n << 32) + np.arange(len(order), dtype=np.int64)
                     if len(often) and often[-1] > HOT:
                         blocks = -(-often // HOT)
-                        block = np.uint64(component).item() * 0x9E3779B97F4A7C15 % 2**64 >> 16
+                        block = component * 0x9E3779B97F4A7C15 % 2**64 >> 16
                         which = np.repeat(np.arange(len(order)), blocks)
                         other = np.arange(len(which)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
                         mine = block % blocks[which]
@@ -358,11 +358,12 @@ def open_groups(docs: DataFrame, members: DataFrame, classes: DataFrame, pairs:
 
     queries = own.select(F.col("component").alias("ca"), F.col("chunk").alias("ka"), F.col("doc_id").alias("a"), "n", F.col("sketch").alias("x"))
     asked = pairs.join(queries, ["ca", "ka"]).join(matrix, ["cb", "kb"]).select("ca", "cb", "kb", "a", "n", "x", "union")
-    opened = asked.mapInArrow(qualify, "ca long, cb long, kb long, a long, n long, x binary")
+    # written out, so that a task never has two Python workers
+    opened = stored(asked.mapInArrow(qualify, "ca long, cb long, kb long, a long, n long, x binary"), "qualified")
     inside = own.select(F.col("component").alias("cb"), F.col("chunk").alias("kb"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
     left = opened.join(inside, ["cb", "kb"]).select("ca", "cb", "a", "b", "n", "x", "m", "y").mapInArrow(compare, "ca long, cb long, a long, b long, share double")
     left = stored(left.distinct(), "candidates")
-    release(own, matrix)
+    release(own, matrix, opened)
     best = stored(left.groupBy("ca", "cb").agg(F.max(F.struct("share", "a", "b")).alias("best")).select("ca", "cb", "best.a", "best.b"), "best")
     linked_best = stored(verify(docs, best.select("a", "b")), "linked")
     done = stored(best.join(linked_best, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "done")
@@ -428,10 +429,10 @@ def common_tokens(docs: DataFrame, copies: DataFrame, total: int) -> tuple[np.nd
 
         def flush() -> pa.RecordBatch:
             every = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint32)
-            part = (every >> every.dtype.type(width - bits)).astype(np.int64)
-            first = np.flatnonzero(np.diff(part, prepend=-1))
-            rows = [(int(part[i]), _packed(x, int(part[i]) << (width - bits))) for i, x in zip(first, np.split(every, first[1:]) if len(first) else [])]
             held.clear()
+            part = every >> every.dtype.type(width - bits)
+            cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
+            rows = [(int(x[0]) >> (width - bits), _packed(x, int(x[0]) >> (width - bits) << (width - bits))) for x in (np.split(every, cuts) if len(every) else [])]
             return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["part", "tokens"])
 
         for batch in batches:
@@ -439,7 +440,7 @@ def common_tokens(docs: DataFrame, copies: DataFrame, total: int) -> tuple[np.nd
                 for text in batch.column(0).slice(at, 256).to_pylist():
                     held.append(_low(shingles(text), width))
                     size += len(held[-1])
-                if size > 4_000_000:
+                if size > 3_000_000:
                     yield flush()
                     size = 0
         yield flush()
