@@ -33,7 +33,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, keep_rows
+from .common import id_and_text, keep_rows, stored
 
 EDITS, SHORT, SAMPLED, RECALL, BLOCK, MOST = 0.2, 4, 3, 0.97, 20_000, 48
 FOUND = "doc_id long, item_id long, edits int, start_word long, end_word long, item_words int"
@@ -286,8 +286,11 @@ def _find(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.Record
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = EDITS) -> DataFrame:
     """``docs`` without the rows whose text holds an item; every row is judged by its own text, whatever its id."""
-    for sent in blocks_of(benchmark, share):
+    blocks = list(blocks_of(benchmark, share))
+    for n, sent in enumerate(blocks):
         docs = keep_rows(docs, lambda texts, s=sent: _holds(s.value, texts))
+        if n < len(blocks) - 1:
+            docs = stored(docs, "cleaned")  # so that a task never has a Python worker for each block
     return docs
 
 

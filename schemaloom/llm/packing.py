@@ -34,9 +34,9 @@ CAPACITY = 4096
 END_ID = 1
 ITEMS = 20_000
 #: Entries of a worker's cache of encoded words; beyond it, it starts anew. No effect on results.
-CACHE = 1_000_000
+CACHE = 600_000
 #: Bytes of text that are encoded at once, about.
-SLICE = 1 << 23
+SLICE = 1 << 22
 
 #: A normaliser and a first splitting rule that never join what stands on two sides of a blank or a line feed.
 NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]

@@ -41,6 +41,8 @@ SAMPLE = 12_000
 #: Learnt terms: the least documents, log odds and likelihood-ratio statistic.
 LEAST, ODDS, EVIDENCE = 4, 2.0, 15.0
 BEGINNINGS = (4, 5, 6)
+#: Tokens whose class a worker remembers; beyond it, it starts anew. No effect on results.
+KNOWN = 150_000
 #: The most that a clause counts.
 CLAUSE = 4.0
 
@@ -157,7 +159,7 @@ class ToxicGrammar:
     def clauses(self, text: str) -> list[float]:
         """The scores of the clauses with a match."""
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > KNOWN:
             known.clear()
         hits = []
         for i, t in enumerate(TOKEN.findall(text.lower())):
