@@ -127,7 +127,7 @@ def count(docs: DataFrame) -> DataFrame:
                 size += 1
                 if size % 32 == 0:
                     codes[:] = [merged()]
-                if len(words) > 400_000:
+                if len(words) > 300_000 or len(codes) == 1 and len(codes[0][0]) > 1_000_000:
                     yield from flush()
         yield from flush()
 
@@ -226,11 +226,17 @@ class SuffixTree:
 
 
 def _tested(seen: np.ndarray, above: np.ndarray, divergence: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of contexts with next-symbol counts ``seen`` and suffix distributions ``above``: which are kept, and their distributions."""
-    s = seen.sum(1, keepdims=True)
-    kept = (seen * np.log(np.where(seen > 0, seen / s / above, 1.0))).sum(1) >= divergence
-    mass = 2.0 * (seen > 0).sum(1, keepdims=True)
-    return kept, np.where(kept[:, None], (seen + mass * above) / (s + mass), above)
+    """Of contexts with next-symbol counts ``seen`` and suffix distributions ``above``: which are kept, and their distributions. A
+    thousand at once, so that what is held beside the result stays small."""
+    kept, rows = np.zeros(len(seen), bool), np.array(above, np.float64)
+    for at in range(0, len(seen), 1024):
+        x, q = seen[at : at + 1024], above[at : at + 1024]
+        s = x.sum(1, keepdims=True)
+        own = (x * np.log(np.where(x > 0, x / s / q, 1.0))).sum(1) >= divergence
+        mass = 2.0 * (x > 0).sum(1, keepdims=True)
+        kept[at : at + 1024] = own
+        rows[at : at + 1024][own] = ((x + mass * q) / (s + mass))[own]
+    return kept, rows
 
 
 def _contexts(g: np.ndarray, n: np.ndarray, support: int) -> tuple[np.ndarray, np.ndarray]:
