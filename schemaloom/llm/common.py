@@ -1,7 +1,6 @@
 """What the operators share: reading tables, the shared folder, folds and fixed-size id filters."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: A fixed value: the words of a text lie between these bytes (0x20 and 0x09 to 0x0D).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,19 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a local session (a test) gets one of
-    its own; a cluster does not, since each executor would write to its own disk.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="schemaloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df``, written as Parquet to the shared folder and read back: lineage ends here and is never recomputed."""
     spark = df.sparkSession

@@ -243,7 +243,7 @@ def test_jaccard_bounds():
 def test_jaccard_of_frequent_tokens(spark, monkeypatch):
     """Tokens of many classes are dealt in blocks, and long texts keep their sizes."""
     monkeypatch.setattr(jaccard, "HOT", 5)
-    texts = [(i, f"{prose(12, 40)} w{i} {prose(8, 50 + i % 4)}") for i in range(60)] + [(100, prose(9000, 60)), (101, prose(9000, 60) + " more")]
+    texts = [(i - 30, f"{prose(12, 40)} w{i} {prose(8, 50 + i % 4)}") for i in range(60)] + [(100, prose(9000, 60)), (101, prose(9000, 60) + " more")]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect()} == brute(texts)
     low, width = jaccard._low(np.arange(5, dtype=np.uint64) << np.uint64(50), 40), 40
