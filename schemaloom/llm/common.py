@@ -101,17 +101,20 @@ def labelled_ids(labels: DataFrame, column: str, bound: int, folds: int = 3, hel
 
 
 def keep_rows(docs: DataFrame, judge: Callable[[list[str]], list[bool]], at_once: int = 512) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps by their texts (null: empty), as they are: no id, join or shuffle is needed."""
-    own = fresh(docs, "_judged")
+    """The rows of ``docs`` that ``judge`` keeps by their texts (null: empty), as they are: no id, join or shuffle is needed. Only where
+    ``text`` isn't a string column, a copy of it goes along."""
+    own = "text" if docs.schema["text"].dataType.typeName() == "string" else fresh(docs, "_judged")
+    sent = docs if own == "text" else docs.withColumn(own, F.col("text").cast("string"))
+    at_column, columns = sent.columns.index(own), range(len(docs.columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, at_once):
                 part = batch.slice(at, at_once)
-                kept = part.filter(pa.array(judge(part.column(part.num_columns - 1).to_pylist()), pa.bool_()))
-                yield kept.select(range(kept.num_columns - 1))
+                kept = judge([t or "" for t in part.column(at_column).to_pylist()])
+                yield part.select(columns).filter(pa.array(kept, pa.bool_()))
 
-    return docs.withColumn(own, F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, docs.schema)
+    return sent.mapInArrow(run, docs.schema)
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
