@@ -13,7 +13,8 @@ it is a table, made in groups of contexts with the same last ``TRUNK`` symbols.
 
 What is sent to workers is bounded: the ``HELD`` most frequent kept contexts, words with at least 1/``WORDS`` of all tokens.
 Other words of a document meet their counts in a join, other contexts what they add to the score of their longest kept suffix
-(a filter of 2^``FILTER`` bits tells nearly all that aren't in the table). Both ways give the same scores.
+(of each DEPTH symbols a byte says exactly which of their suffixes are in the table, and whether deeper contexts may be; of those a filter
+of 2^``FILTER`` bits tells nearly all that aren't). Both ways give the same scores.
 
 Null texts are empty (one end token). Rows that repeat are scored each. Without training documents N = V = 0: every token then has
 0.5 / 0.5 in the base score, and the tree has its root only. An empty table gives an empty result.
@@ -40,6 +41,7 @@ DIVERGENCE = 12.0
 SUPPORT, TRUNK = 20, 2
 HELD, WORDS, FILTER = 1 << 17, 1 << 20, 27
 BOUNDARY, END = 0, 1
+PACK = 6 * (DEEP + 1)
 
 
 def _classes() -> np.ndarray:
@@ -135,7 +137,8 @@ def count(docs: DataFrame) -> DataFrame:
 
 
 def deep_grams(vocabulary: DataFrame) -> DataFrame:
-    """depth, code, n: contexts of more than DEPTH symbols inside words, their first boundary included, from (word, c)."""
+    """code, n: grams of more than DEPTH + 1 symbols inside words, their first boundary included, from (word, c); the context's depth stands
+    above the symbols, ``PACK`` bits up."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,16 +156,17 @@ def deep_grams(vocabulary: DataFrame) -> DataFrame:
                     if depth > DEPTH and own.any():
                         keys, where = np.unique(code[own], return_inverse=True)
                         sums = np.bincount(where, weight[own], len(keys)).astype(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), depth, np.int32)), pa.array(keys), pa.array(sums)], ["depth", "code", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array(keys + (depth << PACK)), pa.array(sums)], ["code", "n"])
 
-    return vocabulary.select("word", "c").mapInArrow(tally, "depth int, code long, n long").groupBy("depth", "code").agg(F.sum("n").alias("n"))
+    return vocabulary.select("word", "c").mapInArrow(tally, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
 class SuffixTree:
     """nodes: for each depth the codes of the contexts held and their suffixes, numbered on from 1 (0 is the root); row_of: the row of logp that
     a node scores with, its own if it was kept, else that of its longest kept suffix; logp: (rows, RADIX) log10; emit: log10
-    share in its class of each byte; least: kept contexts seen less often are in the table only, and have their bits in told.
+    share in its class of each byte; least: kept contexts seen less often are in the table only, and have their bits in told: of each DEPTH
+    symbols, which suffixes (bits 0 to DEPTH - 1) and whether deeper contexts (bit DEPTH) are there, and the filter of the deeper ones.
     """
 
     nodes: tuple
@@ -170,7 +174,7 @@ class SuffixTree:
     logp: np.ndarray
     emit: np.ndarray
     least: int = 0
-    told: np.ndarray | None = None
+    told: tuple[np.ndarray, np.ndarray] | None = None
 
     def walk_tables(self) -> tuple[np.ndarray, np.ndarray]:
         """The deepest node of at most DEPTH for every full context; the child of each node by the symbol that stands before."""
@@ -210,16 +214,22 @@ class SuffixTree:
         """Of each text, what is to be looked up in the table: depth, context and next symbol, 3 + 42 + 6 bits."""
         codes = grams(found, starts)
         at = np.flatnonzero(codes >= 0)
-        context, places, keys = codes[at] // RADIX, [], []
-        for depth in range(1, DEEP + 1):
-            if depth > DEPTH:
-                inside = (at >= depth) & (found[at - depth + 1] != BOUNDARY)  # contexts of this depth are inside words
-                at, context = at[inside], context[inside] + found[at[inside] - depth].astype(np.int64) * RADIX ** (depth - 1)
-            c = context % RADIX**depth
-            a, b = _slots(depth, c)
-            maybe = np.flatnonzero(self.told[a >> 3] >> (a & 7) & self.told[b >> 3] >> (b & 7) & 1)
-            places.append(at[maybe])
-            keys.append((c[maybe] | depth << 6 * DEEP) * RADIX + found[at[maybe]])
+        context, places, keys, (mask, deeper) = codes[at] // RADIX, [], [], self.told
+        there = mask[context]
+
+        def ask(depth: int, own: np.ndarray) -> None:
+            places.append(at[own])
+            keys.append((context[own] % RADIX**depth | depth << 6 * DEEP) * RADIX + found[at[own]])
+
+        for depth in range(1, DEPTH + 1):
+            ask(depth, np.flatnonzero(there >> np.uint8(depth - 1) & 1))
+        own = np.flatnonzero(there >> np.uint8(DEPTH))
+        at, context = at[own], context[own]
+        for depth in range(DEPTH + 1, DEEP + 1):
+            inside = (at >= depth) & (found[at - depth + 1] != BOUNDARY)  # contexts of this depth are inside words
+            at, context = at[inside], context[inside] + found[at[inside] - depth].astype(np.int64) * RADIX ** (depth - 1)
+            a, b = _slots(depth, context)
+            ask(depth, np.flatnonzero(deeper[a >> 3] >> (a & 7) & deeper[b >> 3] >> (b & 7) & 1))
         place, key = np.concatenate(places), np.concatenate(keys)
         order = np.argsort(place, kind="stable")
         return np.split(key[order], np.searchsorted(place[order], starts[1:])) if len(starts) else []
@@ -283,7 +293,8 @@ def nodes_of(counts: DataFrame, deep: DataFrame, support: int = SUPPORT, diverge
     sent = spark.sparkContext.broadcast(above)
 
     def branch(table: pa.Table) -> pa.Table:
-        depths, codes, n = (table.column(x).to_numpy().astype(np.int64) for x in ("depth", "code", "n"))
+        codes, n = (table.column(x).to_numpy().astype(np.int64) for x in ("code", "n"))
+        depths, codes = codes >> PACK, codes & ((1 << PACK) - 1)
         first = int(codes[0] // RADIX % RADIX**TRUNK)
         known, rows, out = np.array([first]), sent.value[first][None], []
         for depth in range(TRUNK + 1, DEEP + 1):
@@ -298,8 +309,8 @@ def nodes_of(counts: DataFrame, deep: DataFrame, support: int = SUPPORT, diverge
             out.append(_node_batch(depth, c[kept], seen[kept], rows[kept], over[kept]))
         return pa.Table.from_batches(out or [trunk[0].slice(0, 0)])
 
-    grams_ = counts.where("code is not null and code >= 0").select(F.lit(DEPTH).alias("depth"), "code", "n").unionByName(deep)
-    last = F.pmod(F.call_function("div", F.col("code"), F.lit(RADIX)), F.lit(RADIX**TRUNK))
+    grams_ = counts.where("code is not null and code >= 0").select((F.col("code") + F.lit(DEPTH << PACK)).alias("code"), "n").unionByName(deep)
+    last = F.shiftright("code", 6).bitwiseAND(F.lit(RADIX**TRUNK - 1))
     branches = grams_.withColumn("last", last).groupBy("last").applyInArrow(branch, NODE)
     return stored(branches.unionByName(spark.createDataFrame(pa.Table.from_batches(trunk), NODE)), "lm-tree")
 
@@ -312,18 +323,31 @@ def _slots(depth: np.ndarray | int, c: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (key >> np.uint64(64 - FILTER)).astype(np.int64), (key & np.uint64((1 << FILTER) - 1)).astype(np.int64)
 
 
-def _told(rest: DataFrame) -> np.ndarray:
-    """The filter over the contexts of ``rest``, eight bits a byte."""
+def _told(rest: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of the contexts of ``rest``: the byte of each DEPTH symbols, and the filter over deeper ones, eight bits a byte."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            depth, c = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()
+            low, bit = c % RADIX**DEPTH, np.int64(1) << np.minimum(depth - 1, DEPTH)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(depth, DEPTH)), pa.array(low >> 3), pa.array(bit << 8 * (low & 7))], ["d", "w", "b"])
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = np.concatenate(_slots(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
             yield pa.RecordBatch.from_arrays([pa.array(both >> 3), pa.array(1 << (both & 7))], ["w", "b"])
 
-    got = rest.select("depth", "c").mapInArrow(slots, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (FILTER - 3), np.uint8)
-    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    return out
+    got = rest.select("depth", "c").mapInArrow(places, "d long, w long, b long").groupBy("d", "w").agg(F.bit_or("b").alias("b")).toArrow()
+    depth, at, bits = (got.column(i).to_numpy().astype(np.int64) for i in range(3))
+    mask = np.zeros(RADIX**DEPTH, np.uint8)
+    for d in range(1, DEPTH + 1):
+        own = np.zeros(max(RADIX**d // 8, 1), np.int64)
+        own[at[depth == d]] = bits[depth == d]
+        mask.reshape(-1, RADIX**d)[:] |= own.view(np.uint8)[: RADIX**d]  # every DEPTH symbols with this suffix
+    got = rest.where(F.col("depth") > DEPTH).select("depth", "c").mapInArrow(slots, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    deeper = np.zeros(1 << (FILTER - 3), np.uint8)
+    deeper[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return mask, deeper
 
 
 def grow(counts: DataFrame, deep: DataFrame, nodes: DataFrame | None = None, held: int = HELD) -> SuffixTree:
