@@ -186,9 +186,17 @@ REFUSED: dict[str, Callable[[], Any]] = {
     "dialect": lambda: read_schema({"$schema": "http://json-schema.org/draft-07/schema#"}), "old api": lambda: read_openapi({"openapi": "3.0.0"}, "component:X"),
     "repeated key": lambda: parse_text('{"a":1,"a":2}'), "yaml tag": lambda: parse_text("a: !!python/object:x {}", True), "not a number": lambda: canonical({"a": float("nan")}),
     "version": lambda: Mapping.parse({"mapping_version": "9"}), "operator": lambda: parse({"op": "eval"}), "depth": lambda: parse(_deep(66)), "fine": lambda: read_schema(_T),
+    "hints of a version": lambda: matching.check_hints({"hints_version": "2"}), "hints of a kind": lambda: matching.check_hints({"guesses": []}), "hint without source": lambda: matching.check_hints({"direct": [{"target": "/a"}]}),
+    "hints": lambda: matching.check_hints({"hints_version": "0.1", "id": "h"} | HINTS), "report": lambda: matching.Report.parse([{"target_path": "/a"}]), "review with a source": lambda: review.check_document({"suggestion_report_sha256": "x", "decisions": [{"target_path": "/a", "action": "defer", "source_path": "/b"}]}),
+    "review unbound": lambda: review.check_document({"decisions": []}), "samples twice": lambda: _pack_of([{"id": "a", "expected": 1}] * 2), "sample with both": lambda: _pack_of([{"id": "a", "expected": 1, "expected_error": "E"}]), "truth of no unit": lambda: _pack_of([{"id": "a", "expected": 1}], ["/gone"]), "pack": lambda: pack().reconcile(),
 }
 
 
+def _pack_of(samples: list[dict], no_match: list[str] | None = None) -> None:
+    own = pack()
+    metrics.Pack(own.id, own.source, own.target, own.truth, own.hints, own.review, tuple(samples), own.manifest | ({"expected_no_match_targets": no_match} if no_match else {})).reconcile()
+
+
 def _deep(n: int) -> dict:
     return lit(True) if not n else {"op": "not", "value": _deep(n - 1)}
 
@@ -197,6 +205,8 @@ golden("documents_refused", "document string, code string", lambda spark: [(n, r
     ("remote", "REMOTE_REF_DISABLED"), ("cycle", "CYCLIC_REF"), ("nullable", "UNSUPPORTED_SCHEMA_FEATURE"), ("union of objects", "UNSUPPORTED_SCHEMA_FEATURE"), ("conflict", "UNSUPPORTED_SCHEMA_FEATURE"),
     ("dialect", "UNSUPPORTED_SCHEMA_FEATURE"), ("old api", "UNSUPPORTED_SCHEMA_FEATURE"), ("repeated key", "INVALID_INPUT"), ("yaml tag", "INVALID_INPUT"), ("not a number", "INVALID_INPUT"),
     ("version", "UNSUPPORTED_MAPPING_VERSION"), ("operator", "INVALID_EXPRESSION"), ("depth", "EVALUATION_LIMIT_EXCEEDED"), ("fine", None),
+    ("hints of a version", "INVALID_INPUT"), ("hints of a kind", "INVALID_INPUT"), ("hint without source", "INVALID_INPUT"), ("hints", None), ("report", "INVALID_INPUT"), ("review with a source", "INVALID_INPUT"),
+    ("review unbound", "INVALID_INPUT"), ("samples twice", "INVALID_INPUT"), ("sample with both", "INVALID_INPUT"), ("truth of no unit", "INVALID_INPUT"), ("pack", None),
 ])
 
 
@@ -225,7 +235,7 @@ golden("documents_mapping", "what string, same boolean", lambda spark: _round_tr
 # --- validation and profiles
 
 MORE = read_schema({"type": "object", "properties": {
-    "orderKey": {"type": "integer", "multipleOf": 2, "const": 4}, "due": {"type": "number", "multipleOf": 0.1}, "day": {"type": "string", "format": "date", "minLength": 4}, "status": {"anyOf": [{"type": "string", "maxLength": 9}, {"type": "null"}]},
+    "orderKey": {"type": "integer", "multipleOf": 2, "const": 4}, "due": {"type": "number", "multipleOf": 0.1}, "day": {"type": "string", "format": "date", "minLength": 4}, "status": {"anyOf": [{"type": "string", "maxLength": 9}, {"type": "null"}]}, "size": {"oneOf": [{"type": "integer", "minimum": 3}, {"type": "integer", "maximum": 5}]},
     "flags": {"type": "array", "minItems": 2, "maxItems": 4, "uniqueItems": True, "items": {"type": "string", "enum": ["O", "F"]}},
 }}, "more")
 
@@ -233,7 +243,7 @@ MORE = read_schema({"type": "object", "properties": {
 def validate_more(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linestatus")).alias("flags"))
     df = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    df = df.select(F.col("o_orderkey").alias("orderKey"), F.expr("cast(o_custkey as double) / 10").alias("due"), F.lit("no date").alias("day"), F.expr("if(o_orderstatus = 'P', null, o_orderpriority)").alias("status"), "flags")
+    df = df.select(F.col("o_orderkey").alias("orderKey"), F.expr("cast(o_custkey as double) / 10").alias("due"), F.lit("no date").alias("day"), F.expr("if(o_orderstatus = 'P', null, o_orderpriority)").alias("status"), F.size("flags").alias("size"), "flags")
     out = mapping({"/k": get("orderKey")}).transform(df, source=MORE).select(F.explode("issues").alias("i"))
     return out.groupBy(F.regexp_replace("i.pointer", "[0-9]+", "N").alias("pointer"), F.col("i.detail").alias("category")).agg(F.count("*").alias("n"))
 
@@ -242,7 +252,7 @@ add("validate_more", validate_more, """with o as (select o_orderkey as k, o_cust
   from orders join lineitem on l_orderkey = o_orderkey group by all), v as (
   select '/orderKey' as pointer, 'numeric-range' as category from o where k % 2 <> 0 union all select '/orderKey', 'schema' from o where k <> 4
   union all select '/due', 'numeric-range' from o where floor(due / 0.1::double) <> due / 0.1::double
-  union all select '/status', 'string-length' from o where length(status) > 9
+  union all select '/status', 'schema' from o where length(status) > 9 union all select '/size', 'schema' from o where len(flags) between 3 and 5
   union all select '/flags', 'array-size' from o where len(flags) < 2 union all select '/flags', 'array-size' from o where len(flags) > 4 union all select '/flags', 'array-size' from o where len(list_distinct(flags)) < len(flags)
   union all select '/flags/N', 'enum' from (select unnest(flags) as f from o) where f not in ('O', 'F')
 ) select pointer, category, count(*) as n from v group by 1, 2""")

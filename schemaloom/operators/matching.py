@@ -153,8 +153,27 @@ def direct_rule(source: Schema, source_path: str, target_path: str) -> Rule:
     return Rule(target_path, parse(get if field is None or field.required else {"op": "coalesce", "operands": [get]}), 0.0)
 
 
+#: The kinds of hints, and what each needs besides its target.
+HINTS = {
+    "direct": {"source"}, "lookups": {"source", "values"}, "unit_conversions": {"value_source", "unit_source", "factors"}, "dates": {"source", "pattern"}, "constants": {"value"}, "expressions": {"expression"},
+}
+
+
+def check_hints(hints: dict[str, Any]) -> None:
+    """Refuses a hints document of another version, or with kinds or fields that are missing or unknown."""
+    bad = lambda what, path="": issues.fail(issues.INVALID_INPUT, f"hints: {what}", path)
+    if not isinstance(hints, dict) or set(hints) - {"hints_version", "id", *HINTS} or hints.get("hints_version", "0.1") != "0.1":
+        raise bad("not a document of version 0.1")
+    for kind, needed in HINTS.items():
+        for h in hints.get(kind) or ():
+            more = {"reason"} | ({"default"} if kind == "lookups" else set())
+            if not isinstance(h, dict) or not needed | {"target"} <= set(h) or set(h) - needed - more - {"target"}:
+                raise bad(f"{kind} have target, {', '.join(sorted(needed))}", str(h.get("target", "")) if isinstance(h, dict) else "")
+
+
 def hint_rules(hints: dict[str, Any]) -> list[Rule]:
     """Hints as rules, in the order of their kinds: the first valid one of a target wins."""
+    check_hints(hints)
     get = lambda p: {"op": "get", "path": p}
     whole = lambda x: int(x) if float(x).is_integer() else float(x)
     makers = {
@@ -186,6 +205,16 @@ class Suggestion:
 class Report:
     suggestions: tuple[Suggestion, ...]
 
+    @staticmethod
+    def parse(rows: Any) -> "Report":
+        """A report from its document; what isn't one is refused."""
+        fields = {"target_path", "disposition", "band", "confidence", "source_path", "expression", "candidates"}
+        whats, bands = ("ambiguous", "manual", "no_match", "review_required", "suggested"), ("high", "low", "medium", "none")
+        if not isinstance(rows, list) or any(not isinstance(r, dict) or set(r) != fields or r["disposition"] not in whats or r["band"] not in bands for r in rows):
+            raise issues.fail(issues.INVALID_INPUT, "not a report of suggestions")
+        rule = lambda r: r["expression"] and Rule(r["target_path"], parse(r["expression"]), 0.0)
+        return Report(tuple(Suggestion(r["target_path"], r["disposition"], r["band"], r["confidence"], r["source_path"], rule(r), tuple(r["candidates"])) for r in rows))
+
     def find(self, target: str) -> Suggestion | None:
         return next((s for s in self.suggestions if s.target_path == target), None)
 

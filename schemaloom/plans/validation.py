@@ -17,7 +17,7 @@ from ..functions import values
 #: Keywords that are compiled or say nothing about values.
 KNOWN = set(
     "type enum const pattern minLength maxLength minItems maxItems uniqueItems minimum maximum exclusiveMinimum exclusiveMaximum multipleOf "
-    "required properties items additionalProperties format title description $schema $id $comment examples default x-schema-version deprecated readOnly writeOnly".split()
+    "required properties items additionalProperties format title description $schema $id $comment examples default x-schema-version deprecated readOnly writeOnly choice".split()
 )
 ISSUE = "array<struct<pointer:string,category:string>>"
 
@@ -42,6 +42,10 @@ def _one(test: Column, path: Column, category: str) -> Column:
     return F.when(F.coalesce(test, F.lit(False)), row).otherwise(F.expr(f"cast(array() as {ISSUE})"))
 
 
+def _none_of(found: list[Column]) -> Column:
+    return F.size(F.concat(*found)) == 0 if found else F.lit(True)
+
+
 def violations(c: Column, t: T.DataType, node: dict) -> Column:
     """All violations of a document column."""
     found = _violations(values.normal_value(c, t), values.normal_type(t), node, F.lit(""), False)
@@ -63,6 +67,11 @@ def _violations(c: Column, t: T.DataType, node: dict, path: Column, missing_is_s
         return out
     if "null" not in kinds and not missing_is_said:
         add(c.isNull(), "type")
+    if "choice" in node:  # whatever a branch has against a value, the choice as a whole is what fails
+        which, parts = node["choice"]
+        fitting = reduce(lambda a, b: a + b, [_none_of(_violations(c, t, p, path, True)).cast("int") for p in parts])
+        add(present & ((fitting != 1) if which == "oneOf" else (fitting == 0)), "schema")
+        return out
     allowed = node["enum"] if "enum" in node else [node["const"]] if "const" in node else None
     if allowed is not None:
         same = [values.equal(c, t, *values.literal(v)) for v in allowed]

@@ -120,9 +120,9 @@ class _Reader:
                 parts = [self.resolve(p, path, trail) for p in node[choice]]
                 if any("object" in p["type"] and p.get("properties") for p in parts):
                     raise issues.fail(issues.UNSUPPORTED_SCHEMA_FEATURE, f"{choice} of objects", path)
-                # one field with the types of all branches
+                # one field with the types of all branches; values are held against the branches themselves
                 out = dict(next((p for p in parts if p["type"] != ["null"]), parts[0])) | {k: v for k, v in node.items() if k in ("title", "description")}
-                return out | {"type": [t for t in TYPES if any(t in p["type"] for p in parts)]}
+                return out | {"type": [t for t in TYPES if any(t in p["type"] for p in parts)], "choice": (choice, parts)}
         out = {k: v for k, v in node.items() if k not in ("properties", "items", "$defs")}
         out["type"] = self.kinds(node)
         if "properties" in node:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .documents import canonical, load_document
 from .json_schema import Schema
 
 #: Sizes of the generated samples.
@@ -18,6 +19,12 @@ def read_samples(spark: SparkSession, path: str, source: Schema, target: Schema)
     return parse_samples(spark.read.text(path), source, target)
 
 
+def read_document(spark: SparkSession, path: str, source: Schema) -> DataFrame:
+    """One row, input and raw (the document as it was written), of a JSON or YAML file."""
+    text = spark.createDataFrame([(canonical(load_document(path)),)], "value string")
+    return text.select(F.from_json("value", source.spark_type()).alias("input"), F.parse_json("value").alias("raw"))
+
+
 def parse_samples(lines: DataFrame, source: Schema, target: Schema) -> DataFrame:
     """The same from a column ``value`` of lines; a line that isn't JSON is kept too, with ``problem`` set."""
     lines = lines.where("trim(value) <> ''").select(F.try_parse_json("value").alias("v"))

@@ -9,7 +9,7 @@ from schemaloom.operators import assist, matching, metrics, reports, review, sta
 from schemaloom.plans.mapping import Mapping, verify_samples
 from schemaloom.sources.documents import canonical, parse_text, write_all
 from schemaloom.sources.json_schema import load_schema, read_openapi, read_schema, units
-from schemaloom.sources.samples import SIZES, generate, read_samples, with_expected
+from schemaloom.sources.samples import SIZES, generate, read_document, read_samples, with_expected
 from schemaloom.streaming.stream import mapped_stream
 
 OBJECT = lambda required, **p: {"type": "object", "required": required, "properties": p}
@@ -150,6 +150,19 @@ def test_written_mappings(tmp_path):
     assert Mapping("m", m.rules, (), "s").sha256() != m.sha256()
 
 
+def test_read_document(spark, tmp_path):
+    (tmp_path / "d.yaml").write_text("orderNo: a\nnote: null\n")
+    df = read_document(spark, str(tmp_path / "d.yaml"), SOURCE)
+    m = Mapping.parse({"mapping_version": "0.1", "id": "m", "rules": [{"target": "/a", "expression": {"op": "get", "path": "/note"}}, {"target": "/b", "expression": {"op": "coalesce", "operands": [{"op": "get", "path": "/qty"}, {"op": "literal", "value": 0}]}}]})
+    assert m.transform(df, input_column="input", raw="raw").first()["output"].asDict() == {"a": None, "b": 0}
+    assert rule("/a", {"op": "get", "path": "/qty"}).transform(df, input_column="input", raw="raw").first()["err"] == issues.SOURCE_PATH_NOT_FOUND
+
+
+def test_reports_read_back(spark):
+    report = matching.suggest(spark, SOURCE, TARGET, HINTS)
+    assert matching.Report.parse(json.loads(canonical(report.document()))).sha256() == report.sha256()
+
+
 def test_lookup_tables(spark):
     """A table that is joined gives what one written into the plan gives, nulls and errors too."""
     values = {str(k): k * 10 for k in range(2000)}
