@@ -17,7 +17,8 @@ hashes standing for shingles and 128 bits for sets:
    the likeliest pair of two components first, the others only where that one fails.
 5. Components of all links (alternating large and small stars, written out each round).
 
-Documents with one doc_id count as linked. Null ids have no component; null texts are empty; an empty table gives an empty
+Rows that share a doc_id are each judged by their own text; a class is named by its smallest doc_id, so classes of one name share
+a component. Null ids have no component; null texts are empty; an empty table gives an empty
 result; only doc_id and text are read; no candidate is capped.
 """
 from __future__ import annotations
@@ -166,7 +167,9 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             keep = [linked(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
+    # merged, never broadcast: a task that makes sets and compares them too would have two Python workers
+    side = lambda c, t: sets.select(F.col("doc_id").alias(c), F.col("tokens").alias(t)).hint("merge")
+    joined = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a")
     return joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
