@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, keep_rows, stored
 
-EDITS, SHORT, SAMPLED, RECALL, BLOCK, MOST = 0.2, 4, 3, 0.97, 20_000, 48
+EDITS, SHORT, SAMPLED, RECALL, BLOCK, MOST = 0.2, 4, 3, 0.99, 20_000, 48
 FOUND = "doc_id long, item_id long, edits int, start_word long, end_word long, item_words int"
 _DROP = string.punctuation.encode()
 

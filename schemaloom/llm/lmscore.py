@@ -42,6 +42,8 @@ SUPPORT, TRUNK = 20, 2
 HELD, WORDS, FILTER = 1 << 17, 1 << 20, 27
 BOUNDARY, END = 0, 1
 PACK = 6 * (DEEP + 1)
+#: Symbols by which a walk down the tree starts.
+STATES = 3
 
 
 def _classes() -> np.ndarray:
@@ -176,34 +178,41 @@ class SuffixTree:
     least: int = 0
     told: tuple[np.ndarray, np.ndarray] | None = None
 
-    def walk_tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """The deepest node of at most DEPTH for every full context; the child of each node by the symbol that stands before."""
-        out, at = np.zeros(RADIX**DEPTH, np.int32), 1
-        first = []
+    def walk_tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The deepest node of at most ``STATES`` symbols for all that many last symbols; of each node the row of its children (0: none), and
+        a row's children by the symbol that stands before."""
+        out, at, first = np.zeros(RADIX**STATES, np.int32), 1, []
         for depth, codes in enumerate(self.nodes, 1):
             first.append(at)
-            if depth <= DEPTH:
-                out.reshape(RADIX ** (DEPTH - depth), RADIX**depth)[:, codes] = np.arange(at, at + len(codes), dtype=np.int32)
+            if depth <= STATES:
+                out.reshape(RADIX ** (STATES - depth), RADIX**depth)[:, codes] = np.arange(at, at + len(codes), dtype=np.int32)
             at += len(codes)
-        child = np.zeros((at, RADIX), np.int32)
-        for depth in range(DEPTH, len(self.nodes)):
+        row_of, rows, many = np.zeros(at, np.int32), [np.zeros((1, RADIX), np.int32)], 1
+        for depth in range(STATES, len(self.nodes)):
             codes, below = self.nodes[depth], self.nodes[depth - 1]
             suffix = codes % RADIX**depth
             if len(below):
                 where = np.searchsorted(below, suffix).clip(0, len(below) - 1)
                 there = below[where] == suffix
-                child[first[depth - 1] + where[there], codes[there] // RADIX**depth] = first[depth] + np.flatnonzero(there)
-        return out, child
-
-    def score(self, found: np.ndarray, data: np.ndarray, starts: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        states, child = tables
+                parents, place = np.unique(where[there], return_inverse=True)
+                own = np.zeros((len(parents), RADIX), np.int32)
+                own[place, codes[there] // RADIX**depth] = first[depth] + np.flatnonzero(there)
+                row_of[first[depth - 1] + parents] = many + np.arange(len(parents))
+                rows.append(own)
+                many += len(parents)
+        return out, row_of, np.concatenate(rows)
+
+    def score(self, found: np.ndarray, data: np.ndarray, starts: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        states, row_of, child = tables
         codes = grams(found, starts)
         at = np.flatnonzero(codes >= 0)
-        node = states[codes[at] // RADIX]
+        node = states[codes[at] // RADIX % RADIX**STATES]
         going = np.arange(len(at))
-        for depth in range(DEPTH + 1, len(self.nodes) + 1):
-            going = going[at[going] >= depth]
-            deeper = child[node[going], found[at[going] - depth]]
+        for depth in range(STATES + 1, len(self.nodes) + 1):
+            row = row_of[node[going]]
+            more = (row > 0) & (at[going] >= depth)
+            going, row = going[more], row[more]
+            deeper = child[row, found[at[going] - depth]]
             going, deeper = going[deeper > 0], deeper[deeper > 0]
             node[going] = deeper
         out = np.zeros(len(found))

@@ -416,9 +416,8 @@ def test_suffix_tree_sums_to_one(spark, docs):
     words = counts.where("word is not null").select("word", F.col("n").alias("c"))
     tree = lmscore.grow(counts, lmscore.deep_grams(words))
     assert np.allclose((10.0 ** tree.logp.astype(float)).sum(1), 1, atol=1e-4) and len(tree.logp) > 1
-    states, child = tree.walk_tables()
     found, data, starts, _ = lmscore.symbols([b"the an er", b""])
-    assert tree.score(found, data, starts, (states, child)).shape == (2,)
+    assert tree.score(found, data, starts, tree.walk_tables()).shape == (2,)
 
 
 def test_suffix_tree_grows_with_the_input(spark):
