@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 
 from ..issues import INVALID_INPUT, fail
 from ..sources.documents import canonical
+from ..sources.json_schema import Schema
 from .matching import Report
 from .review import Outcome
 
@@ -32,6 +33,14 @@ def suggestions(report: Report, form: str = "markdown") -> str:
     return body if form == "json" else f"{body}\n{canonical(counts)}\n"
 
 
+def fields(schema: Schema, form: str = "text") -> str:
+    """A schema's catalogue, its id and version first."""
+    rows = [{"path": f.pointer, "types": ",".join(sorted(f.types)), "required": f.required, "enum": canonical(list(f.enum)) if f.enum else None, "description": f.description} for f in schema.fields]
+    if form == "json":
+        return canonical({"id": schema.id, "version": schema.version, "fields": rows})
+    return f"{schema.id} {schema.version}\n\n" + table(rows, ["path", "types", "required", "enum", "description"], form)
+
+
 def findings(found: list[tuple[str, str, str, str]], form: str = "text") -> str:
     """What static verification found, its verdict first."""
     rows = [dict(zip(("severity", "code", "target", "message"), x)) for x in found]

@@ -84,17 +84,32 @@ def yaml_text(value: Any) -> str:
 
 
 def write_all(files: dict[str, str], force: bool = False) -> None:
-    """All files or none: each is written beside its place first; what exists is only replaced by ``force``."""
+    """All files or none: each is written beside its place first; what exists is only replaced by ``force``, and is put back if a later
+    file can't be put in its place."""
     if not force and (there := [p for p in files if os.path.exists(p)]):
         raise issues.fail(issues.INVALID_INPUT, "the file exists", there[0])
-    made = []
+    made: list[str] = []
+    kept: dict[str, str | None] = {}
     try:
         for path, text in files.items():
             made.append(path + ".part")
             with open(path + ".part", "w", encoding="utf-8") as f:
                 f.write(text)
         for path in files:
+            old = path + ".old" if os.path.exists(path) else None
+            if old:
+                os.replace(path, old)
+            kept[path] = old
             os.replace(path + ".part", path)
+    except BaseException:
+        for path, old in kept.items():
+            if old:
+                os.replace(old, path)
+            elif os.path.exists(path):
+                os.remove(path)
+        raise
+    else:
+        made += [old for old in kept.values() if old]
     finally:
         for p in made:
             if os.path.exists(p):

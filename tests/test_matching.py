@@ -3,7 +3,7 @@ import json
 
 import pytest
 
-from schemaloom import issues
+from schemaloom import api, issues
 from schemaloom.functions.similarity import name_tokens, ratio
 from schemaloom.operators import assist, matching, metrics, reports, review, static
 from schemaloom.plans.mapping import Mapping, verify_samples
@@ -200,3 +200,44 @@ def test_packs(spark):
         got = metrics.benchmark(spark, metrics.Pack.load(f"{folder}/{name}", given))
         off = {k for k, v in got["metrics"].items() if published.get((name, k)) != v}
         assert off <= {"compile_success_rate", "target_schema_pass_rate"} and all(v[2] == published[name, k][2] for k, v in got["metrics"].items()) and all(got["gates"].values())
+
+
+def test_operations_on_files(spark, tmp_path):
+    """Inspect, suggest, review, verify, run, compile and model context, from files to files."""
+    at = lambda name: str(tmp_path / name)
+    for name, schema in (("src.json", SOURCE), ("tgt.json", TARGET)):
+        (tmp_path / name).write_text(canonical(schema.resolved))
+    (tmp_path / "hints.json").write_text(canonical(HINTS))
+    lines = [{"id": "a", "input": {"orderNo": "n1", "qty": 3, "state": "A"}, "expected": {"orderNumber": "n1", "quantity": 3, "status": "Open"}}, {"id": "b", "input": {"orderNo": "n2", "qty": 4, "state": "C"}, "expected_error": "SOURCE_SCHEMA_VALIDATION"}]
+    (tmp_path / "samples.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    (tmp_path / "doc.json").write_text(json.dumps(lines[0]["input"]))
+    (tmp_path / "bad.json").write_text(json.dumps(lines[1]["input"]))
+    assert "/qty" in api.inspect(at("src.json")) and json.loads(api.inspect(at("src.json"), form="json"))["fields"][0]["types"] == "object"
+    report = api.suggest(spark, at("src.json"), at("tgt.json"), at("hints.json"), at("samples.jsonl"))
+    (tmp_path / "report.json").write_text(canonical(report.document()))
+    decisions = [{"target_path": "/orderNumber", "action": "select_candidate", "source_path": "/orderNo"}, {"target_path": "/quantity", "action": "select_candidate", "source_path": "/qty"}, {"target_path": "/remark", "action": "reject"}]
+    (tmp_path / "review.json").write_text(canonical({"review_version": "0.1", "suggestion_report_sha256": report.sha256(), "mapping_id": "m", "decisions": decisions}))
+    made = api.assemble(spark, at("report.json"), at("src.json"), at("tgt.json"), at("review.json"), complete=True, out=at("m.yaml"))
+    assert made.issues == () and Mapping.load(at("m.yaml")) == made.mapping and "reject" in reports.decisions(made)
+    valid, found, done = api.verify(spark, at("m.yaml"), at("src.json"), at("tgt.json"), at("samples.jsonl"))
+    assert not valid and not static.errors(found) and {r["id"]: r["err"] for r in done.collect()} == {"a": None, "b": issues.SOURCE_SCHEMA_VALIDATION}
+    assert api.run(spark, at("m.yaml"), at("doc.json"), at("src.json"), at("tgt.json"), at("out.json")) == lines[0]["expected"]
+    assert (tmp_path / "out.json").read_text() == '{"orderNumber":"n1","quantity":3,"status":"Open"}\n'
+    with pytest.raises(issues.MappingError, match=issues.SOURCE_SCHEMA_VALIDATION):
+        api.run(spark, at("m.yaml"), at("bad.json"), at("src.json"), at("tgt.json"))
+    assert "orderNo" in api.compile_mapping(spark, at("m.yaml"), at("src.json"), at("tgt.json"))
+    assert [t["path"] for p in api.model_context(spark, at("src.json"), at("tgt.json"), 5000) for t in p["targets"]] == ["/orderNumber", "/quantity", "/remark", "/status"]
+
+
+def test_files_are_put_back(tmp_path):
+    (tmp_path / "a").write_text("old")
+    (tmp_path / "b").mkdir()
+    with pytest.raises(OSError):
+        write_all({str(tmp_path / "a"): "new", str(tmp_path / "c"): "new", str(tmp_path / "b" / "no" / "d"): "new"}, True)
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "x").write_text("")
+    (tmp_path / "e.old").mkdir()
+    (tmp_path / "e.old" / "y").write_text("")
+    with pytest.raises(OSError):
+        write_all({str(tmp_path / "a"): "new", str(tmp_path / "c"): "new", str(tmp_path / "e"): "new"}, True)
+    assert (tmp_path / "a").read_text() == "old" and not (tmp_path / "c").exists() and not (tmp_path / "a.part").exists()
