@@ -187,40 +187,45 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
+def lookup(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """``big`` with the row of ``small``, an aggregation by ``key``, for its key. The key is turned over first, so that the aggregation's own
+    partitioning doesn't serve the join: then a key with very many rows in ``big`` can be split.
+    """
+    turned = small.withColumn(key, F.bitwise_not(F.col(key))).withColumnRenamed(key, "_turned")
+    return big.join(turned, F.bitwise_not(F.col(key)) == F.col("_turned"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of every node that has an edge (a, b); a stored table. Least neighbours are written out
-    before they are joined, so that the join may split a node with very many edges."""
+    """node, component (its smallest node) of every node that has an edge (a, b); ``release`` deletes what it is read from."""
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # nodes smaller than all their neighbours keep no edge of their own: their neighbours point at them
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = stored(large.distinct(), "large")
-        small_least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(small_least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(small_least.select("a", F.col("m").alias("b")))
+        large = lookup(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = lookup(large, small_least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(small_least.select("a", F.col("m").alias("b")))
         fresh = stored(small.distinct(), "edges")
-        release(edges, least, large, small_least)
+        release(edges)
         edges = fresh
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    out = stored(nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "nodes")
-    release(edges)
+    out = nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out._stored_at = edges._stored_at
     return out
 
 
 def leaders(classes: DataFrame) -> DataFrame:
     """Pairs (a, b): each class and the smallest id of each of its min-hash buckets, where sizes allow a link."""
     buckets = classes.select(F.col("class_id").alias("doc_id"), "n", F.posexplode(F.array(*MINS)).alias("k", "h"))
-    first = stored(buckets.groupBy("k", "h").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("members")).where("members > 1"), "buckets")
-    pairs = buckets.join(first.select("k", "h", F.col("first.doc_id").alias("b"), F.col("first.n").alias("m")), ["k", "h"]).where("doc_id <> b")
-    out = stored(pairs.where(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)").select(F.col("doc_id").alias("a"), "b").distinct(), "leaders")
-    release(first)
-    return out
+    first = buckets.groupBy("k", "h").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")
+    first = first.select(F.col("k").alias("fk"), "h", F.col("first.doc_id").alias("b"), F.col("first.n").alias("m"))
+    pairs = lookup(buckets, first, "h").where("k = fk and doc_id <> b")
+    return pairs.where(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)").select(F.col("doc_id").alias("a"), "b").distinct()
 
 
 def cells(docs: DataFrame, members: DataFrame, moved: DataFrame, common: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
@@ -332,8 +337,8 @@ def group_pairs(matrix: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "ca long, ka long, cb long, kb long").distinct()
 
 
-def open_groups(docs: DataFrame, members: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Edges (a, b) between components, one for each pair of components of which two members link; a stored table."""
+def open_groups(docs: DataFrame, members: DataFrame, classes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (a, b) between components, one for each pair of components of which two members link, and the tables they are read from."""
     wanted = pairs.select(F.col("ca").alias("component"), F.col("ka").alias("chunk")).unionByName(pairs.select(F.col("cb").alias("component"), F.col("kb").alias("chunk"))).distinct()
     rows = classes.select(F.col("class_id").alias("doc_id"), "n", "sketch")
     own = stored(members.join(wanted, ["component", "chunk"]).join(rows, "doc_id"), "opened")
@@ -368,13 +373,11 @@ def open_groups(docs: DataFrame, members: DataFrame, classes: DataFrame, pairs:
     left = stored(left.distinct(), "candidates")
     release(own, matrix, opened)
     best = stored(left.groupBy("ca", "cb").agg(F.max(F.struct("share", "a", "b")).alias("best")).select("ca", "cb", "best.a", "best.b"), "best")
-    linked_best = stored(verify(docs, best.select("a", "b")), "linked")
-    done = stored(best.join(linked_best, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "done")
+    done = stored(best.join(verify(docs, best.select("a", "b")), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "done")
     rest = stored(left.join(done.select(F.col("a").alias("ca"), F.col("b").alias("cb")), ["ca", "cb"], "left_anti").join(best.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    linked_rest = stored(verify(docs, rest.select("a", "b").distinct()), "linked")
-    edges = stored(done.unionByName(rest.join(linked_rest, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))).distinct(), "found")
-    release(left, best, linked_best, done, rest, linked_rest)
-    return edges
+    release(left, best)
+    linked_rest = verify(docs, rest.select("a", "b").distinct())
+    return done.unionByName(rest.join(linked_rest, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))), [done, rest]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -383,26 +386,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = signed.where("n > 0 and doc_id is not null")
     least = full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("class_id"), *[F.min(c).alias(c) for c in MINS], F.first("sketch").alias("sketch"))
     classes = stored(least, "classes")
-    led = leaders(classes)
-    near = stored(bounded(led, classes), "near")
-    found = stored(verify(docs, near), "led")
-    first = components(found)
+    near = stored(bounded(leaders(classes), classes), "near")
+    first = components(verify(docs, near))
     comps = classes.groupBy(F.col("class_id").alias("doc_id")).agg(F.sum("n").alias("n"))
     comps = stored(comps.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "grouped")
-    sizes = stored(comps.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_TOKENS)).alias("chunks")).where("chunks > 1"), "sizes")
-    chunk = F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).cast("long")
-    members = stored(comps.join(sizes, "component", "left").select("doc_id", "component", chunk.alias("chunk")), "members")
-    release(led, near, found, first, comps, sizes)
+    sizes = comps.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_TOKENS)).alias("chunks"))
+    chunk = F.when(F.col("chunks") == 1, 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).cast("long")
+    members = stored(lookup(comps, sizes, "component").select("doc_id", "component", chunk.alias("chunk")), "members")
+    release(near, first, comps)
     copies = stored(full.select("doc_id").join(members.select("doc_id"), "doc_id", "left_anti").distinct(), "copies")
     common = common_tokens(docs, copies, int(full.agg(F.sum("n")).first()[0] or 0))
-    moved = stored(copies.unionByName(members.where("component <> doc_id or chunk <> 0").select("doc_id")).distinct(), "moved")
+    moved = copies.unionByName(members.where("component <> doc_id or chunk <> 0").select("doc_id")).distinct()
     pairs = stored(group_pairs(cells(docs, members, moved, common)), "pairs")
-    more = open_groups(docs, members, classes, pairs)
+    more, read = open_groups(docs, members, classes, pairs)
     final = components(more)
     place = members.join(final.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
     place = place.select(F.col("doc_id").alias("class_id"), F.coalesce("root", "component").alias("component_id"))
     placed = stored(classes.select("f1", "f2", "n", "class_id").join(place, "class_id").select("f1", "f2", "n", "component_id"), "placed")
-    release(copies, moved, pairs, more, final, members, classes)
+    release(copies, pairs, *read, final, members, classes)
     with_place = full.select("doc_id", "n", "f1", "f2").join(placed, ["f1", "f2", "n"])
     none = signed.where("n = 0 or doc_id is null")
     return with_place.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(
