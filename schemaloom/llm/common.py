@@ -100,9 +100,21 @@ def labelled_ids(labels: DataFrame, column: str, bound: int, folds: int = 3, hel
     return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 24)) < int(share * (1 << 24)))
 
 
+#: Bytes of rows that go to a Python worker at once. The JVM keeps what it sends in direct memory, several times over.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what is sent to Python at once by bytes, unless the session was set up with a bound of its own: texts may be very long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def keep_rows(docs: DataFrame, judge: Callable[[list[str]], list[bool]], at_once: int = 512) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps by their texts (null: empty), as they are: no id, join or shuffle is needed. Only where
     ``text`` isn't a string column, a copy of it goes along."""
+    small_batches(docs.sparkSession)
     own = "text" if docs.schema["text"].dataType.typeName() == "string" else fresh(docs, "_judged")
     sent = docs if own == "text" else docs.withColumn(own, F.col("text").cast("string"))
     at_column, columns = sent.columns.index(own), range(len(docs.columns))
@@ -118,6 +130,7 @@ def keep_rows(docs: DataFrame, judge: Callable[[list[str]], list[bool]], at_once
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

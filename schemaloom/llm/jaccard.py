@@ -187,27 +187,21 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
-def lookup(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
-    """``big`` with the row of ``small``, an aggregation by ``key``, for its key. The key is turned over first, so that the aggregation's own
-    partitioning doesn't serve the join: then a key with very many rows in ``big`` can be split.
-    """
-    turned = small.withColumn(key, F.bitwise_not(F.col(key))).withColumnRenamed(key, "_turned")
-    return big.join(turned, F.bitwise_not(F.col(key)) == F.col("_turned"))
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of every node that has an edge (a, b); ``release`` deletes what it is read from."""
+    """node, component (its smallest node) of every node that has an edge (a, b); ``release`` deletes what it is read from. Least neighbours
+    are written out before they are joined, so that the join may split a node with very many edges."""
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         # nodes smaller than all their neighbours keep no edge of their own: their neighbours point at them
-        large = lookup(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = lookup(large, small_least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(small_least.select("a", F.col("m").alias("b")))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = stored(large.distinct(), "large")
+        small_least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(small_least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(small_least.select("a", F.col("m").alias("b")))
         fresh = stored(small.distinct(), "edges")
-        release(edges)
+        release(edges, least, large, small_least)
         edges = fresh
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
@@ -222,10 +216,11 @@ def components(edges: DataFrame) -> DataFrame:
 def leaders(classes: DataFrame) -> DataFrame:
     """Pairs (a, b): each class and the smallest id of each of its min-hash buckets, where sizes allow a link."""
     buckets = classes.select(F.col("class_id").alias("doc_id"), "n", F.posexplode(F.array(*MINS)).alias("k", "h"))
-    first = buckets.groupBy("k", "h").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")
-    first = first.select(F.col("k").alias("fk"), "h", F.col("first.doc_id").alias("b"), F.col("first.n").alias("m"))
-    pairs = lookup(buckets, first, "h").where("k = fk and doc_id <> b")
-    return pairs.where(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)").select(F.col("doc_id").alias("a"), "b").distinct()
+    first = stored(buckets.groupBy("k", "h").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("members")).where("members > 1"), "buckets")
+    pairs = buckets.join(first.select("k", "h", F.col("first.doc_id").alias("b"), F.col("first.n").alias("m")), ["k", "h"]).where("doc_id <> b")
+    out = pairs.where(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)").select(F.col("doc_id").alias("a"), "b").distinct()
+    out._stored_at = first._stored_at
+    return out
 
 
 def cells(docs: DataFrame, members: DataFrame, moved: DataFrame, common: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
@@ -386,14 +381,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = signed.where("n > 0 and doc_id is not null")
     least = full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("class_id"), *[F.min(c).alias(c) for c in MINS], F.first("sketch").alias("sketch"))
     classes = stored(least, "classes")
-    near = stored(bounded(leaders(classes), classes), "near")
+    led = leaders(classes)
+    near = stored(bounded(led, classes), "near")
     first = components(verify(docs, near))
     comps = classes.groupBy(F.col("class_id").alias("doc_id")).agg(F.sum("n").alias("n"))
     comps = stored(comps.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "grouped")
-    sizes = comps.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_TOKENS)).alias("chunks"))
-    chunk = F.when(F.col("chunks") == 1, 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).cast("long")
-    members = stored(lookup(comps, sizes, "component").select("doc_id", "component", chunk.alias("chunk")), "members")
-    release(near, first, comps)
+    sizes = stored(comps.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_TOKENS)).alias("chunks")).where("chunks > 1"), "sizes")
+    chunk = F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).cast("long")
+    members = stored(comps.join(sizes, "component", "left").select("doc_id", "component", chunk.alias("chunk")), "members")
+    release(led, near, first, comps, sizes)
     copies = stored(full.select("doc_id").join(members.select("doc_id"), "doc_id", "left_anti").distinct(), "copies")
     common = common_tokens(docs, copies, int(full.agg(F.sum("n")).first()[0] or 0))
     moved = copies.unionByName(members.where("component <> doc_id or chunk <> 0").select("doc_id")).distinct()

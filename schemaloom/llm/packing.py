@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import stored
+from .common import small_batches, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -142,6 +142,7 @@ def _encoder(spec: str) -> WordEncoder:
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece of every document."""
+    small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     end = np.asarray([end_id], "<u4").tobytes()
