@@ -42,8 +42,8 @@ SUPPORT, TRUNK = 20, 2
 HELD, WORDS, FILTER = 1 << 17, 1 << 20, 27
 BOUNDARY, END = 0, 1
 PACK = 6 * (DEEP + 1)
-#: Symbols by which a walk down the tree starts.
-STATES = 3
+#: Symbols by which a walk down the tree starts; a worker holds 4 * RADIX ** STATES bytes for it.
+STATES = 4
 
 
 def _classes() -> np.ndarray:
@@ -206,7 +206,7 @@ class SuffixTree:
         states, row_of, child = tables
         codes = grams(found, starts)
         at = np.flatnonzero(codes >= 0)
-        node = states[codes[at] // RADIX % RADIX**STATES]
+        node = states[codes[at] >> 6 & RADIX**STATES - 1]
         going = np.arange(len(at))
         for depth in range(STATES + 1, len(self.nodes) + 1):
             row = row_of[node[going]]
@@ -223,12 +223,12 @@ class SuffixTree:
         """Of each text, what is to be looked up in the table: depth, context and next symbol, 3 + 42 + 6 bits."""
         codes = grams(found, starts)
         at = np.flatnonzero(codes >= 0)
-        context, places, keys, (mask, deeper) = codes[at] // RADIX, [], [], self.told
+        context, places, keys, (mask, deeper) = codes[at] >> 6, [], [], self.told
         there = mask[context]
 
         def ask(depth: int, own: np.ndarray) -> None:
             places.append(at[own])
-            keys.append((context[own] % RADIX**depth | depth << 6 * DEEP) * RADIX + found[at[own]])
+            keys.append((context[own] & RADIX**depth - 1 | depth << 6 * DEEP) << 6 | found[at[own]])
 
         for depth in range(1, DEPTH + 1):
             ask(depth, np.flatnonzero(there >> np.uint8(depth - 1) & 1))
@@ -420,11 +420,11 @@ def score(docs: DataFrame, counts: DataFrame, tree: SuffixTree, nodes: DataFrame
                 sizes = np.cumsum([0, *map(len, unheld)] if unheld else np.zeros(len(ids) + 1)).astype(np.int32)
                 base, seen, rare = [], [], []
                 for own in split:
-                    values = [known.get(w) for w in own]
-                    other = [w for w, x in zip(own, values) if x is None]
+                    values = list(map(known.get, own))
+                    other = [w for w, x in zip(own, values) if x is None] if None in values else []
                     rare.append(other)
                     seen.append(len(own) - len(other) + end_known)
-                    base.append(sum(x for x in values if x is not None) + end if other else sum(values) + end)
+                    base.append(sum(filter(None, values) if other else values) + end)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(range(row, row + len(ids)), pa.int64()), ids, pa.array([fold_py(i, folds) == held_out for i in ids.to_pylist()], pa.bool_()),
